@@ -23,17 +23,19 @@ def l2_normalise(v: Column) -> Column:
     return F.element_at(scaled, 1)
 
 
-def _bucket_counts(dim: int):
+def _bucket_vectors(dim: int):
     @F.arrow_udf("array<double>")
-    def counts(buckets: pa.Array) -> pa.Array:
+    def vectors(buckets: pa.Array) -> pa.Array:
         flat = buckets.flatten().to_numpy(zero_copy_only=False)
         lengths = np.asarray(buckets.value_lengths().fill_null(0))
         row = np.repeat(np.arange(len(buckets)), lengths)
-        dense = np.bincount(row * dim + flat, minlength=len(buckets) * dim).astype("float64")
+        dense = np.bincount(row * dim + flat, minlength=len(buckets) * dim).astype("float64").reshape(-1, dim)
+        norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+        unit = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
         offsets = pa.array(np.arange(0, (len(buckets) + 1) * dim, dim, dtype="int32"))
-        return pa.ListArray.from_arrays(offsets, pa.array(dense))
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
 
-    return counts
+    return vectors
 
 
 def hash_embed(text: Column, dim: int = V.EMBED_DIM) -> Column:
@@ -43,7 +45,7 @@ def hash_embed(text: Column, dim: int = V.EMBED_DIM) -> Column:
     buckets = F.transform(
         tokens(F.coalesce(text, F.lit(""))),
         lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int") % dim)
-    return l2_normalise(_bucket_counts(dim)(buckets))
+    return _bucket_vectors(dim)(buckets)
 
 
 def query_text(text: Column, model: str) -> Column:

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import base_queries  # noqa: F401
+from . import base_queries, history_queries, profile_queries, search_queries  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
