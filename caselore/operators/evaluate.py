@@ -91,7 +91,7 @@ def no_retrieval_tv(queries: DataFrame, patterns: DataFrame, outcomes: DataFrame
     Only outcomes a pattern has are joined; the prior mass of all others is what remains of its total.
     """
     cases = patterns.select("pattern_id", "total_cases")
-    o = outcomes.join(cases, "pattern_id").select("pattern_id", "resolution_id", "share", "total_cases")
+    o = outcomes.select("pattern_id", "resolution_id", "share").join(cases, "pattern_id")
     total = cases.agg(F.sum("total_cases")).scalar()
     prior = o.groupBy("resolution_id").agg((F.sum(F.col("share") * F.col("total_cases")) / total).alias("prior"))
     mass = prior.agg(F.sum("prior").alias("m"))

@@ -39,7 +39,8 @@ def index_rows(patterns: DataFrame, examples: DataFrame | None = None) -> DataFr
     if examples is None:
         texts = patterns.select("pattern_id", F.array(label).alias("texts"))
     else:
-        texts = patterns.join(examples.select("pattern_id", "complaints"), "pattern_id", "left").select(
+        known = patterns.select("pattern_id", *V.LABELS)
+        texts = known.join(examples.select("pattern_id", "complaints"), "pattern_id", "left").select(
             "pattern_id",
             F.slice(F.concat(F.array(label), F.coalesce("complaints", F.array().cast("array<string>"))), 1, V.SLOTS)
             .alias("texts"))

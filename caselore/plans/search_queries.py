@@ -409,7 +409,7 @@ def score_percentiles(spark, sf):
 
 
 PICKS = RANKED5 + """,
-sel as (select vec_id as query_id, cast(floor(vec_id / 3) % 7 as int) as selected_candidate,
+sel as (select vec_id as query_id, nullif(cast(floor(vec_id / 3) % 8 as int), 7) as selected_candidate,
  ['low', 'medium', 'high'][(vec_id % 3 + 1)::int] as confidence, cast(vec_id % 5 + 1 as int) as severity,
  case when vec_id % 2 = 0 then 'angry' else 'frustrated' end as sentiment from embeddings),
 picked as (select t.query_id, t.in_domain, t.gold_pattern, t.gold_type, t.pattern_id as top1, t.score as top_score,

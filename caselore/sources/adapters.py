@@ -120,11 +120,11 @@ def complaints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def selections(spark: SparkSession, sf: str) -> DataFrame:
-    """Outside picks: one row per complaint, 0 = no candidate fits."""
+    """Outside picks: one row per complaint, 0 = no candidate fits, null = the outside step gave no answer."""
     e = table(spark, sf, "embeddings")
     return e.select(
         F.col("vec_id").alias("query_id"),
-        (F.floor(F.col("vec_id") / 3) % 7).cast("int").alias("selected_candidate"),
+        F.nullif((F.floor(F.col("vec_id") / 3) % 8).cast("int"), F.lit(7)).alias("selected_candidate"),
         F.element_at(F.array(*[F.lit(x) for x in ("low", "medium", "high")]), (F.col("vec_id") % 3 + 1).cast("int"))
         .alias("confidence"),
         (F.col("vec_id") % 5 + 1).cast("int").alias("severity"),
@@ -152,8 +152,7 @@ def drafts(spark: SparkSession, sf: str) -> DataFrame:
         "query_id", "attempt",
         F.substring_index(F.element_at("lines", 1), ".", 1).alias("opening"),
         F.element_at(items, 1).alias("summary"),
-        F.expr("slice(items, 2, greatest(size(items) - 1, 0))").alias("steps")
-        if False else F.slice(items, F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))).alias("steps"))
+        F.slice(items, F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))).alias("steps"))
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
