@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _SPLIT = 134217729.0  # 2**27 + 1: splits a double into two halves whose small products are exact
 
 
+def let(x: Column, fn) -> Column:
+    """``fn(x)`` with ``x`` computed once per row, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def round_half_even(x: Column, digits: int = 0) -> Column:
     """Round a double to ``digits`` places by its exact binary value, ties to even.
 
@@ -16,16 +21,18 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
     the high half times the scale is exact, and so is its difference to the nearby tie.
     """
     scale = float(10**digits)
-    x = x.cast("double")
-    a = F.abs(x)
-    c = a * _SPLIT
-    hi = c - (c - a)
-    lo = a - hi
-    k = F.floor(a * scale)
-    to_tie = (hi * (2 * scale) - (k * 2 + 1)) + lo * (2 * scale)
-    up = (to_tie > 0) | ((to_tie == 0) & (k % 2 == 1))
-    out = (k + F.when(up, 1).otherwise(0)) / F.lit(scale)
-    return F.when(x.isNotNull() & F.isnan(x), x).when(x < 0, -out).otherwise(out)
+
+    def rounded(v: Column) -> Column:
+        a = F.abs(v)
+        c = a * _SPLIT
+        hi = c - (c - a)
+        k = F.floor(a * scale)
+        to_tie = (hi * (2 * scale) - (k * 2 + 1)) + (a - hi) * (2 * scale)
+        up = (to_tie > 0) | ((to_tie == 0) & (k % 2 == 1))
+        out = (k + F.when(up, 1).otherwise(0)) / F.lit(scale)
+        return F.when(F.isnan(v), v).when(v < 0, -out).otherwise(out)
+
+    return let(x.cast("double"), rounded)
 
 
 def percent_text(share: Column) -> Column:
@@ -33,34 +40,26 @@ def percent_text(share: Column) -> Column:
     return F.concat(round_half_even(share * 100).cast("bigint").cast("string"), F.lit("%"))
 
 
-def one_decimal(x: Column) -> Column:
-    tenths = F.abs(round_half_even(x, 1) * 10)
-    tenths = F.round(tenths).cast("bigint")
-    return F.concat(
-        F.when(x < 0, "-").otherwise(""),
-        F.floor(tenths / 10).cast("string"),
-        F.lit("."),
-        (tenths % 10).cast("string"),
-    )
+def fixed_places(x: Column, digits: int) -> Column:
+    """A number with exactly ``digits`` decimals, such as ``0.731``."""
+    scale = 10**digits
+
+    def text(whole: Column) -> Column:
+        return F.concat(F.floor(whole / scale).cast("string"), F.lit("."), F.lpad((whole % scale).cast("string"), digits, "0"))
+
+    whole = F.round(F.abs(round_half_even(x, digits)) * scale).cast("bigint")
+    return F.concat(F.when(x < 0, "-").otherwise(""), let(whole, text))
 
 
 def format_duration(hours: Column) -> Column:
     """Hours with one decimal; from 48 hours on the rounded days are added."""
-    short = F.concat(one_decimal(hours), F.lit(" hours"))
-    days = round_half_even(hours / 24).cast("bigint").cast("string")
-    return F.when(hours >= 48, F.concat(short, F.lit(" (about "), days, F.lit(" days)"))).otherwise(short)
 
+    def text(h: Column) -> Column:
+        short = F.concat(fixed_places(h, 1), F.lit(" hours"))
+        days = round_half_even(h / 24).cast("bigint").cast("string")
+        return F.when(h >= 48, F.concat(short, F.lit(" (about "), days, F.lit(" days)"))).otherwise(short)
 
-def fixed_places(x: Column, digits: int) -> Column:
-    """Non-negative number with exactly ``digits`` decimals (for notes such as ``0.731``)."""
-    scale = 10**digits
-    whole = F.round(F.abs(round_half_even(x, digits)) * scale).cast("bigint")
-    return F.concat(
-        F.when(x < 0, "-").otherwise(""),
-        F.floor(whole / scale).cast("string"),
-        F.lit("."),
-        F.lpad((whole % scale).cast("string"), digits, "0"),
-    )
+    return let(hours, text)
 
 
 def support_bucket(n: Column, buckets) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .numbers import let
 
 _SPACE = r"[\s\x1c-\x1f]"
 
@@ -51,9 +52,13 @@ def identity_hash(*parts: Column) -> Column:
 
 def tidy_label(x: Column) -> Column:
     """Title case for labels written fully in capitals; a capital follows every non-letter."""
-    is_upper = x.rlike(r"\p{Lu}") & ~x.rlike(r"[\p{Ll}\p{Lt}]")
-    runs = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.when(is_upper, F.array_join(F.transform(runs, F.initcap), "")).otherwise(x)
+
+    def titled(v: Column) -> Column:
+        is_upper = v.rlike(r"\p{Lu}") & ~v.rlike(r"[\p{Ll}\p{Lt}]")
+        runs = F.regexp_extract_all(v, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+        return F.when(is_upper, F.array_join(F.transform(runs, F.initcap), "")).otherwise(v)
+
+    return let(x, titled)
 
 
 def _join_labels(sep: str, labels) -> Column:
@@ -93,13 +98,16 @@ def first_sentences(x: Column, n: int) -> Column:
 
 def shorten(x: Column, width: int, placeholder: str = " [...]") -> Column:
     """Collapse white space; if too long keep the leading words that fit together with the placeholder."""
-    flat = collapse(x)
     room = width - len(placeholder)
     # The longest start of the text that fits the room and ends at a space or behind the hyphen of a word.
     stop = r"(?= |$)|(?<=[^\d\W]{2}-)(?=[^\d\W]-?[^\d\W])"
-    head = F.regexp_extract(flat, rf"(?U)^(.{{1,{room}}})(?:{stop})", 1)
-    cut = F.when(head == "", F.lit(placeholder.strip())).otherwise(F.concat(head, F.lit(placeholder)))
-    return F.when(F.length(flat) <= width, flat).otherwise(cut)
+
+    def cut(flat: Column) -> Column:
+        head = F.regexp_extract(flat, rf"(?U)^(.{{1,{room}}})(?:{stop})", 1)
+        short = let(head, lambda h: F.when(h == "", placeholder.strip()).otherwise(F.concat(h, F.lit(placeholder))))
+        return F.when(F.length(flat) <= width, flat).otherwise(short)
+
+    return let(collapse(x), cut)
 
 
 def numbers_in(x: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text as T
-from ..functions.numbers import fixed_places, format_duration, percent_text, round_half_even
+from ..functions.numbers import fixed_places, format_duration, let, percent_text, round_half_even
+from ..session import materialise
 
 SIBLING_OUTCOMES = 2
 TEXT_LIMIT, EVIDENCE_LIMIT = 700, 110
@@ -172,13 +173,18 @@ def _item(text: Column, *citations: Column) -> Column:
 
 def outcome_lines(main: Column, rids: Column, n: int = 4) -> Column:
     """The most frequent outcomes as facts, each cited, and what the shown ones leave over."""
-    shown = F.filter(F.slice(main["resolutions"], 1, n), lambda r: F.array_contains(rids, r["resolution_id"]))
-    lines = F.transform(shown, lambda r: _item(
-        F.concat(percent_text(r["share"]), F.lit(" of tickets: "), T.first_sentences(r["text"], 1)),
-        F.lit("P1"), _rid(rids, r["resolution_id"])))
-    rest = round_half_even(1 - F.aggregate(shown, F.lit(0.0), lambda a, r: a + r["share"]), 2)
-    more = F.array(_item(F.concat(percent_text(rest), F.lit(" of tickets: " + V.REMAINDER_TEXT)), F.lit("P1")))
-    return F.when(rest >= V.REMAINDER_MIN, F.concat(lines, more)).otherwise(lines)
+    listed = F.filter(F.slice(main["resolutions"], 1, n), lambda r: F.array_contains(rids, r["resolution_id"]))
+
+    def render(shown: Column) -> Column:
+        lines = F.transform(shown, lambda r: _item(
+            F.concat(percent_text(r["share"]), F.lit(" of tickets: "), T.first_sentences(r["text"], 1)),
+            F.lit("P1"), _rid(rids, r["resolution_id"])))
+        left = round_half_even(1 - F.aggregate(shown, F.lit(0.0), lambda a, r: a + r["share"]), 2)
+        more = let(left, lambda rest: F.when(rest >= V.REMAINDER_MIN, F.array(_item(
+            F.concat(percent_text(rest), F.lit(" of tickets: " + V.REMAINDER_TEXT)), F.lit("P1")))))
+        return F.concat(lines, F.coalesce(more, F.array().cast(f"array<{ITEM}>")))
+
+    return let(listed, render)
 
 
 def template_answer(main: Column, rids: Column) -> Column:
@@ -301,7 +307,8 @@ def answer_batch(cases: DataFrame, selections: DataFrame, drafts: DataFrame, gat
                  max_attempts: int = 2) -> DataFrame:
     """Complaints with hits -> answers. Two joins by complaint bring in the outside picks and drafts."""
     routed = route(apply_selection(similarity_gate(cases, gate), selections), drafts.select("query_id").distinct(), siblings)
-    src = with_sources(routed)
+    # Search, gates and sources are read twice from here on: written once, so that no search runs twice.
+    src = materialise(with_sources(routed), "sources")
     ready = src.where(F.col("planned") == "llm").select("query_id", F.map_keys("sources").alias("ids"), "numbers")
     best = best_attempt(check_drafts(drafts, ready), max_attempts).withColumnRenamed("violations", "remaining")
     return finish_answers(src, best, gate)

@@ -11,11 +11,13 @@ from ..operators import monitor as M
 from ..operators import patterns as P
 from ..operators import retrieve as R
 from ..operators.changes import verdict_default
+from ..session import materialise
 from ..sources import adapters as A
 from .base_queries import ITEM_TEXT, _duration_sql, _labels_sql, draft_items
 from .check_sql import with_
 from .registry import query
 from .search_queries import GATE, PICKS, Setup
+from .shared import stored
 
 # --- check SQL ---
 
@@ -144,7 +146,7 @@ def routed(spark, sf, siblings=0):
 
 
 def sourced(spark, sf, siblings=0):
-    return G.with_sources(routed(spark, sf, siblings))
+    return materialise(G.with_sources(routed(spark, sf, siblings)), "sources")
 
 
 def ready(src):
@@ -159,6 +161,10 @@ def answers(spark, sf):
     return G.answer_batch(cases(spark, sf), A.selections(spark, sf), A.drafts(spark, sf), GATE)
 
 
+def kept_answers(spark, sf):
+    return stored(spark, sf, "answers", lambda: answers(spark, sf))
+
+
 # --- gates, routing, sources ---
 
 
@@ -315,7 +321,7 @@ select mn.query_id, main as pattern_id, planned as method, {NOTES} as notes, {_l
 from mn join shown s on s.query_id = mn.query_id and s.rank = 1 where degraded"""))
 def degraded_answer(spark, sf):
     """What a complaint gets when the outside pick or draft is missing."""
-    a = answers(spark, sf).where(F.col("method") == "template_degraded")
+    a = kept_answers(spark, sf).where(F.col("method") == "template_degraded")
     return a.select("query_id", "pattern_id", "method", F.array_join("policy_notes", "|").alias("notes"), "category",
                     F.col("answer.summary.text").alias("summary"))
 
@@ -335,7 +341,7 @@ join shown s on s.query_id = f.query_id and s.rank = 1 where method <> 'llm'
 union all select query_id, 3, 'step', md5('Set expectations: the median time to close was ' || {_duration_sql('median_close_hours')}
  || ', and 90% of tickets closed within ' || {_duration_sql('p90_close_hours')} || '.') from final where method <> 'llm'"""))
 def claims(spark, sf):
-    return G.claims(answers(spark, sf)).select("query_id", "id", "kind", F.md5("text").alias("text_md5"))
+    return G.claims(kept_answers(spark, sf)).select("query_id", "id", "kind", F.md5("text").alias("text_md5"))
 
 
 @query("answer_batch", with_(ANSWERED, f"""
@@ -369,7 +375,7 @@ def draft_prompt(spark, sf):
 
 @query("judge_prompt")
 def judge_prompt(spark, sf):
-    a = answers(spark, sf).where(~F.col("abstained"))
+    a = kept_answers(spark, sf).where(~F.col("abstained"))
     texts = F.concat(F.array("answer.summary.text"), F.transform("answer.steps", lambda s: s["text"]))
     return a.select("query_id", G.judge_prompt(F.col("source_block"), texts).alias("prompt"))
 
@@ -412,7 +418,7 @@ select count(*) as n, {_pct1('count(*) filter (answered)', 'count(*)')} as answe
  (select count(*) from fx where not in_domain) as ood_n,
  (select {_pct1('count(*) filter (not answered)', 'count(*)')} from fx where not in_domain) as ood_abstained_pct from fi"""))
 def generation_report(spark, sf):
-    a = answers(spark, sf)
+    a = kept_answers(spark, sf)
     v = verdict_default(G.claims(a), A.verdicts(spark, sf), ["query_id", "id"])
     return M.generation_report(a, v)
 
@@ -423,7 +429,7 @@ union all select 'tier', tier, count(*) from final where in_domain and main is n
 union all select 'method', method, count(*) from final where in_domain and main is not null group by 2
 union all select 'supported_items', method, count(*) filter (verdict = 'supported') from jv join final using (query_id) where in_domain group by 2"""))
 def generation_breakdowns(spark, sf):
-    a = answers(spark, sf)
+    a = kept_answers(spark, sf)
     v = verdict_default(G.claims(a), A.verdicts(spark, sf), ["query_id", "id"])
     return M.report_breakdowns(a, v)
 

@@ -13,9 +13,15 @@ from ..operators import profile as PR
 from ..sources.adapters import table, tickets_export, tickets_raw
 from .check_sql import CLEAN, EXPORT, PATTERNS, RAW, with_
 from .registry import query
+from .shared import stored
 
 
 def clean(spark, sf):
+    """The clean tickets as the history keeps them: a stored table."""
+    return stored(spark, sf, "clean-tickets", lambda: clean_from_raw(spark, sf))
+
+
+def clean_from_raw(spark, sf):
     return C.clean_tickets(tickets_raw(spark, sf))
 
 
@@ -23,7 +29,7 @@ def clean(spark, sf):
 select pattern_id, complaint_type, descriptor, descriptor_2, total_cases, n_resolutions, top1_share, tier,
  median_close_hours, p90_close_hours from patterns order by total_cases desc, pattern_id"""))
 def pattern_table(spark, sf):
-    return P.build_patterns(clean(spark, sf)).drop("top1_raw").orderBy(F.desc("total_cases"), "pattern_id")
+    return P.build_patterns(clean_from_raw(spark, sf)).drop("top1_raw").orderBy(F.desc("total_cases"), "pattern_id")
 
 
 @query("fix_mojibake", """
@@ -120,7 +126,7 @@ def identity_hash(spark, sf):
 select unique_key, created_date, closed_date, complaint_type, descriptor, descriptor_2, resolution_description,
  close_hours, pattern_id, resolution_id from clean"""))
 def clean_tickets(spark, sf):
-    return clean(spark, sf)
+    return clean_from_raw(spark, sf)
 
 
 def _tidy_sql(x: str) -> str:

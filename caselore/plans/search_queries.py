@@ -19,6 +19,7 @@ from ..sources import adapters as A
 from .base_queries import _labels_sql, clean
 from .check_sql import PATTERNS, clean_of, patterns_of, with_
 from .registry import query
+from .shared import stored
 
 GATE = 0.4  # the blurred queries score lower than real complaints
 
@@ -95,12 +96,12 @@ class Setup:
     def __init__(self, spark, sf):
         self.queries = A.vector_queries(spark, sf)
         self.vectors = A.vector_index(spark, sf)
-        t = C.clean_tickets(A.vector_tickets(spark, sf))
-        self.tickets = t
-        self.counts = P.outcome_counts(t)
-        self.patterns = P.build_patterns(t)
-        self.volume = P.pattern_volume(self.counts)
-        self.resolutions = P.resolution_catalogue(t)
+        keep = partial(stored, spark, sf)
+        t = keep("vector-tickets", lambda: C.clean_tickets(A.vector_tickets(spark, sf)))
+        self.counts = keep("vector-counts", lambda: P.outcome_counts(t))
+        self.patterns = keep("vector-patterns", lambda: P.pattern_table(self.counts, P.close_counts(t)))
+        self.volume = self.patterns
+        self.resolutions = keep("vector-resolutions", lambda: P.resolution_catalogue(t))
 
     def ranked(self, k=5, **kw):
         return R.rank_queries(self.queries, self.vectors, self.volume, k, **kw).drop("embedding")
