@@ -15,6 +15,10 @@ MISSING_TOKENS = ["", "n/a", "na", "nan", "none", "null"]
 CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                  "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+# --- fixed values: white space ---
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 # --- fixed values: tiers and support ---
 FAST_SHARE, FAST_CASES, LIGHT_SHARE = 0.9, 30, 0.5
 SUPPORT_BUCKETS = [("n>=100", 100), ("30<=n<100", 30), ("5<=n<30", 5), ("n<5", 0)]

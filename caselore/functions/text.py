@@ -22,11 +22,11 @@ def fix_mojibake(x: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Strip Unicode white space on both sides; null becomes empty."""
-    return F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(F.coalesce(x, F.lit("")), F.lit(V.WHITE_SPACE))
 
 
 def rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U){_SPACE}+$", "")
+    return F.rtrim(x, F.lit(V.WHITE_SPACE))
 
 
 def words(x: Column) -> Column:
@@ -126,7 +126,7 @@ def tokens(x: Column) -> Column:
 
 def bare_citation(c: Column) -> Column:
     """A citation without the brackets and blanks around it."""
-    return F.regexp_replace(c, r"^[\[\] ]+|[\[\] ]+$", "")
+    return F.btrim(c, F.lit("[] "))
 
 
 def log_row(request: Column, text: Column) -> Column:
