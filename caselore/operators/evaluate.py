@@ -9,7 +9,7 @@ from .. import fixed_values as V
 from ..functions.numbers import support_bucket
 from ..functions.ranking import exact_percentiles, running_total
 from .changes import tv_distance
-from .retrieve import rank_patterns
+from .retrieve import max_pool, rank_pooled
 
 ABSENT = 10**6
 
@@ -28,9 +28,10 @@ def gold_position(ranked: Column, gold: Column) -> Column:
 
 
 def ranked_by_alpha(near: DataFrame, k: int = max(V.RECALL_KS), alphas: list[float] = V.ALPHAS) -> DataFrame:
-    """Every support weight ranks the same neighbours inside the row; the search itself runs once."""
-    each = near.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    return each.withColumn("ranked", rank_patterns(F.col("neighbours"), k, F.col("alpha"))).drop("neighbours")
+    """Every support weight ranks the same pooled neighbours inside the row; search and pooling run once."""
+    pooled = near.withColumn("neighbours", max_pool(F.col("neighbours")))
+    each = pooled.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    return each.withColumn("ranked", rank_pooled(F.col("neighbours"), k, F.col("alpha"))).drop("neighbours")
 
 
 def scored_queries(ranked: DataFrame, patterns: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -61,24 +61,53 @@ def histogram_quantile(q: float, buckets: list[float], counts: list[Column], tot
 SLIDE = "5 minutes"
 
 
-def alert_windows(log: DataFrame, window: str, slide: str = SLIDE) -> DataFrame:
-    """All signals per sliding window, from additive counts only, so the same code runs on a stream."""
+def _signals() -> dict[str, Column]:
+    """What is counted per window. Counts add up, so they can be taken per pane and summed."""
     answered = ~F.col("abstained")
-    lat = [F.count_if(F.col("total_ms") / 1000 <= b).alias(f"l{i}") for i, b in enumerate(V.LATENCY_BUCKETS)]
-    cos = [F.count_if(F.col("top_score") <= b).alias(f"c{i}") for i, b in enumerate(V.COSINE_BUCKETS)]
-    w = log.groupBy(F.window("ts", window, slide).alias("w")).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if("abstained").alias("abstained"),
-        F.count_if(answered).alias("answered"), F.count_if(answered & (F.col("method") == "template_degraded")).alias("degraded"),
-        F.count_if(answered & (F.col("first_attempt_violations") > 0)).alias("retries"),
-        F.count_if(F.col("reason") == "internal error").alias("errors"), *lat, *cos)
+    out = {
+        "requests": F.lit(True), "abstained": F.col("abstained"), "answered": answered,
+        "degraded": answered & (F.col("method") == "template_degraded"),
+        "retries": answered & (F.col("first_attempt_violations") > 0), "errors": F.col("reason") == "internal error"}
+    out.update({f"l{i}": F.col("total_ms") / 1000 <= b for i, b in enumerate(V.LATENCY_BUCKETS)})
+    out.update({f"c{i}": F.col("top_score") <= b for i, b in enumerate(V.COSINE_BUCKETS)})
+    return out
+
+
+def _rates(w: DataFrame) -> DataFrame:
     n = F.col("requests")
     return w.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests",
         (F.col("abstained") / n).alias("abstain_rate"),
-        histogram_quantile(0.5, V.COSINE_BUCKETS, [F.col(f"c{i}") for i in range(len(cos))], n).alias("median_top_score"),
+        histogram_quantile(0.5, V.COSINE_BUCKETS, [F.col(f"c{i}") for i in range(len(V.COSINE_BUCKETS))], n)
+        .alias("median_top_score"),
         "degraded", (F.col("retries") / F.nullif(F.col("answered"), F.lit(0))).alias("retry_rate"),
-        histogram_quantile(0.95, V.LATENCY_BUCKETS, [F.col(f"l{i}") for i in range(len(lat))], n).alias("p95_latency"),
-        "errors")
+        histogram_quantile(0.95, V.LATENCY_BUCKETS, [F.col(f"l{i}") for i in range(len(V.LATENCY_BUCKETS))], n)
+        .alias("p95_latency"), "errors")
+
+
+def log_panes(log: DataFrame, slide: str = SLIDE) -> DataFrame:
+    """The log counted once per slide. Every window length is a sum of these few rows."""
+    return log.groupBy(F.window("ts", slide).alias("p")).agg(
+        *[F.count_if(c).alias(n) for n, c in _signals().items()]).withColumn("start", F.col("p.start")).drop("p")
+
+
+def windows_of_panes(panes: DataFrame, window: str, slide: str = SLIDE) -> DataFrame:
+    names = [c for c in panes.columns if c != "start"]
+    return _rates(panes.groupBy(F.window("start", window, slide).alias("w")).agg(*[F.sum(c).alias(c) for c in names]))
+
+
+def alert_windows(log: DataFrame, window: str, slide: str = SLIDE) -> DataFrame:
+    """All signals per sliding window; the length must be a multiple of the slide.
+
+    Log rows are not copied into every window they belong to: panes are.
+    """
+    return windows_of_panes(log_panes(log, slide), window, slide)
+
+
+def alert_windows_direct(log: DataFrame, window: str, slide: str = SLIDE) -> DataFrame:
+    """The same in one aggregation, the form a stream needs."""
+    return _rates(log.groupBy(F.window("ts", window, slide).alias("w")).agg(
+        *[F.count_if(c).alias(n) for n, c in _signals().items()]))
 
 
 def with_alerts(windows: DataFrame) -> DataFrame:
@@ -97,10 +126,11 @@ ALERT_WINDOWS = {"high_abstain_rate": "30 minutes", "top_similarity_drift": "1 h
 
 def window_alerts(log: DataFrame) -> DataFrame:
     """(window, alert) rows: every rule over its own window length."""
+    panes = log_panes(log)
     parts = None
     for length in sorted(set(ALERT_WINDOWS.values())):
         rules = [r for r, w in ALERT_WINDOWS.items() if w == length]
-        w = with_alerts(alert_windows(log, length)).select(
+        w = with_alerts(windows_of_panes(panes, length)).select(
             "window_start", "window_end", F.explode(F.filter("alerts", lambda a: a.isin(rules))).alias("alert"))
         parts = w if parts is None else parts.unionByName(w)
     return parts

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from ..fixed_values import WHITE_SPACE
 from ..functions.numbers import cut_bins, round_half_even
 from ..functions.ranking import exact_percentiles
+from ..functions.text import strip
 
 PAIR = ["complaint_type", "descriptor"]
 TRIPLE = [*PAIR, "descriptor_2"]
@@ -39,7 +41,7 @@ def usable_cases(df: DataFrame) -> DataFrame:
 
 def _usable() -> Column:
     return ((F.col("status") == "Closed") & F.col(RES).isNotNull()
-            & (F.upper(F.regexp_replace(RES, r"(?U)^\s+|\s+$", "")) != "N/A"))
+            & (F.upper(strip(F.col(RES))) != "N/A"))
 
 
 def usable_share(df: DataFrame) -> DataFrame:
@@ -93,7 +95,8 @@ def nested_type_audit(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """Rows per value with its share of the non-null rows; nulls are not counted."""
     n = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    out = n.withColumn("pct", pct(F.col("n"), n.agg(F.sum("n")).scalar()))
+    total = n.withColumn("__total", n.agg(F.sum("n")).scalar())
+    out = total.withColumn("pct", pct(F.col("n"), F.col("__total"))).drop("__total")
     return out.orderBy(F.desc("n"), "value").limit(top) if top else out
 
 
@@ -107,7 +110,7 @@ def crosstab_margins(df: DataFrame) -> DataFrame:
 
 def na_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     v = column_values(df.select(*cols))
-    na = F.upper(F.regexp_replace("value", r"(?U)^\s+|\s+$", "")) == "N/A"
+    na = F.upper(F.btrim("value", F.lit(WHITE_SPACE))) == "N/A"
     return v.groupBy("column_name").agg(
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
         F.sum(F.when(na, F.col("n")).otherwise(0)).alias("na_text"), F.count("value").alias("unique_values"))
@@ -168,7 +171,8 @@ def topn_coverage(df: DataFrame, col: str = RES, tops: tuple = (5, 10, 20, 50, 1
     rows = rn.select("rn", "n", F.explode(F.array(*[F.lit(t) for t in tops])).alias("top_n"))
     covered = F.sum(F.when(F.col("rn") <= F.col("top_n"), F.col("n")).otherwise(0))
     return (rows.groupBy("top_n").agg(covered.alias("cases"))
-            .withColumn("pct", pct(F.col("cases"), total.scalar())))
+            .withColumn("__total", total.scalar())
+            .withColumn("pct", pct(F.col("cases"), F.col("__total"))).drop("__total"))
 
 
 def counts_by_month(df: DataFrame, time: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.numbers import let, round_half_even
 from ..functions.ranking import top_per_key
 from .vectors import SCORE_PLACES, knn
 
@@ -14,22 +15,26 @@ def max_pool(neighbours: Column) -> Column:
     """The best vector of each pattern; vectors whose pattern is gone are dropped. No shuffle: works inside the row."""
     live = F.filter(neighbours, lambda n: n["total_cases"].isNotNull() & (n["score"] > -1.0))
     # live is sorted by score: the first place of a pattern is its best vector.
-    bound = F.transform(F.array(live), lambda l: F.filter(
-        l, lambda n, i: F.array_position(F.transform(l, lambda m: m["pattern_id"]), n["pattern_id"]) == i + 1))
-    return F.element_at(bound, 1)
+    return let(live, lambda found: let(
+        F.transform(found, lambda n: n["pattern_id"]),
+        lambda ids: F.filter(found, lambda n, i: F.array_position(ids, n["pattern_id"]) == i + 1)))
 
 
-def rank_patterns(neighbours: Column, k: int, alpha: Column | float = 0.0, min_cases: int = 0) -> Column:
-    """Top k patterns by cosine + alpha * log10(1 + cases); the score shown stays the raw cosine."""
+def rank_pooled(pooled: Column, k: int, alpha: Column | float = 0.0, min_cases: int = 0) -> Column:
+    """Top k pooled patterns by cosine + alpha * log10(1 + cases); the score shown stays the raw cosine."""
     alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    pooled = F.filter(max_pool(neighbours), lambda n: n["total_cases"] >= min_cases)
-    keyed = F.transform(pooled, lambda n: F.struct(
+    kept = F.filter(pooled, lambda n: n["total_cases"] >= min_cases)
+    keyed = F.transform(kept, lambda n: F.struct(
         (-F.round(n["score"] + alpha * F.log10(n["total_cases"] + 1), SCORE_PLACES)).alias("sort_key"),
         n["pattern_id"].alias("pattern_id"), n["score"].alias("score"), n["total_cases"].alias("total_cases")))
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda n, i: F.struct(
         (i + 1).alias("rank"), n["pattern_id"].alias("pattern_id"), n["score"].alias("score")))
 
 
+def rank_patterns(neighbours: Column, k: int, alpha: Column | float = 0.0, min_cases: int = 0) -> Column:
+    return rank_pooled(max_pool(neighbours), k, alpha, min_cases)
+
+
 def live_index(vectors: DataFrame, patterns: DataFrame) -> DataFrame:
     """Vectors with the case count of their pattern (null where the pattern is gone)."""
     return vectors.select("vec_id", "pattern_id", "embedding").join(
@@ -51,8 +56,6 @@ def rank_queries(queries: DataFrame, vectors: DataFrame, patterns: DataFrame, k:
 
 def pattern_cards(patterns: DataFrame, counts: DataFrame, resolutions: DataFrame, top: int) -> DataFrame:
     """Pattern rows with their first ``top`` outcomes and the recorded text of each."""
-    from ..functions.numbers import round_half_even
-
     first = top_per_key(counts.select("pattern_id", "resolution_id", "count"), ["pattern_id"],
                         [F.desc("count"), F.col("resolution_id")], top)
     first = (first.join(patterns.select("pattern_id", "total_cases"), "pattern_id")

@@ -11,7 +11,6 @@ from ..operators import monitor as M
 from ..operators import patterns as P
 from ..operators import retrieve as R
 from ..operators.changes import verdict_default
-from ..session import materialise
 from ..sources import adapters as A
 from .base_queries import ITEM_TEXT, _duration_sql, _labels_sql, draft_items
 from .check_sql import with_
@@ -132,9 +131,14 @@ final as (select mn.*, b.attempts, b.first_attempt_violations, nv.n as remaining
 # --- inputs ---
 
 
-def cases(spark, sf, queries=None):
+def cases(spark, sf):
+    """Complaints with their hits, searched once per session."""
+    return stored(spark, sf, "cases", lambda: searched(spark, sf))
+
+
+def searched(spark, sf):
     s = Setup(spark, sf)
-    q = (queries if queries is not None else A.complaints(spark, sf))
+    q = A.complaints(spark, sf)
     ranked = R.rank_queries(q.select("query_id", "embedding"), s.vectors, s.volume, 5)
     cards = R.pattern_cards(s.patterns, s.counts, s.resolutions, 5)
     return G.collect_hits(q.drop("embedding"), ranked, cards)
@@ -146,7 +150,7 @@ def routed(spark, sf, siblings=0):
 
 
 def sourced(spark, sf, siblings=0):
-    return materialise(G.with_sources(routed(spark, sf, siblings)), "sources")
+    return stored(spark, sf, f"sources-{siblings}", lambda: G.with_sources(routed(spark, sf, siblings)))
 
 
 def ready(src):
@@ -158,7 +162,7 @@ def checked(spark, sf):
 
 
 def answers(spark, sf):
-    return G.answer_batch(cases(spark, sf), A.selections(spark, sf), A.drafts(spark, sf), GATE)
+    return G.answer_batch(searched(spark, sf), A.selections(spark, sf), A.drafts(spark, sf), GATE)
 
 
 def kept_answers(spark, sf):

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.embed import Embed, hash_embed
+from ..functions.numbers import round_half_even
 from ..operators import changes as D
 from ..operators import clean as C
 from ..operators import patterns as P
 from ..operators import vectors as X
+from ..session import materialise
 from ..sources import state as S
 from ..sources.tickets import append_json, check_contract
 
@@ -28,16 +30,12 @@ class BatchReport:
 
 
 def _patterns_from(counts: DataFrame, times: DataFrame) -> DataFrame:
-    from ..functions.numbers import round_half_even
-
     return P.pattern_volume(counts).join(times, "pattern_id", "left").select(
         "pattern_id", *V.LABELS, "total_cases", "n_resolutions", round_half_even(F.col("top1_raw"), 4).alias("top1_share"),
         "tier", "median_close_hours", "p90_close_hours", "top1_raw")
 
 
 def _times(close: DataFrame) -> DataFrame:
-    from ..functions.numbers import round_half_even
-
     return P.close_percentiles(close).withColumns({
         c: round_half_even(F.col(c), 2) for c in ("median_close_hours", "p90_close_hours")})
 
@@ -83,7 +81,9 @@ def apply_batch(spark: SparkSession, root: str, raw: DataFrame, examples: DataFr
     check_contract(raw, max_rows)
     v, batch = old.v + 1, old.batch + 1
     funnel = C.clean_funnel(raw).first()
-    tickets = S.put_batch(D.dedupe_against_state(C.clean_tickets(raw), old.tickets), root, "tickets", batch)
+    # The batch is cleaned once; the key lookup and the fresh rows both read the cleaned copy.
+    cleaned = materialise(C.clean_tickets(raw), "cleaned")
+    tickets = S.put_batch(D.dedupe_against_state(cleaned, old.tickets), root, "tickets", batch)
     ingested = tickets.count()
     base = {"received": funnel.raw_rows, "usable": funnel.usable, "duplicates_skipped": funnel.usable - ingested,
             "ingested": ingested, "closed": funnel.closed, "with_resolution": funnel.with_resolution}
