@@ -65,10 +65,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
 
 def percentiles_of_counts(freq: DataFrame, keys: list[str], value: str, count: str,
                           probs: dict[str, float], width: float = 1.0) -> DataFrame:
-    """The same from ``(keys, value, count)`` rows that hold each value once per key."""
+    """The same from ``(keys, value, count)`` rows that hold each value once per key.
+
+    Null values weigh nothing instead of being filtered out: a filter would be pushed into the plan below and keep it
+    from being shared with other readers of the same counts.
+    """
     freq = freq.select(*keys, F.col(value).cast("double").alias("__v"), F.col(count).alias("__n"),
                        F.floor(F.col(value) / F.lit(float(width))).alias("__b"))
-    hist = freq.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
+    hist = freq.groupBy(*keys, "__b").agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0)).alias("__bn"))
     run = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*keys, "__b", "__bn",
                        F.coalesce(F.sum("__bn").over(run), F.lit(0)).alias("__from"),

@@ -79,7 +79,11 @@ def pattern_table(counts: DataFrame, close: DataFrame) -> DataFrame:
 
 
 def build_patterns(tickets: DataFrame) -> DataFrame:
-    return pattern_table(outcome_counts(tickets), close_counts(tickets))
+    """One pass over the tickets: both count tables come from one shared aggregation, whose shuffle Spark reuses."""
+    both = tickets.groupBy("pattern_id", *V.LABELS, "resolution_id", "close_hours").agg(F.count(F.lit(1)).alias("n"))
+    counts = both.groupBy("pattern_id", *V.LABELS, "resolution_id").agg(F.sum("n").alias("count"))
+    close = both.groupBy("pattern_id", "close_hours").agg(F.sum("n").alias("n"))
+    return pattern_table(counts, close)
 
 
 def outcome_table(counts: DataFrame) -> DataFrame:
