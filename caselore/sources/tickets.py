@@ -19,10 +19,15 @@ def null_tokens(df: DataFrame, tokens=None, cols=None) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(tokens), F.col(c)) for c in (cols or df.columns)})
 
 
-def read_tickets_csv(spark: SparkSession, path: str, columns: list[str] | None = None, na_tokens=None) -> DataFrame:
-    """All columns as text, never inferred. Without ``columns`` the header row names them."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option(
-        "mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+def read_tickets_csv(spark: SparkSession, path: str, columns: list[str] | None = None, na_tokens=None,
+                     multi_line: bool = True) -> DataFrame:
+    """All columns as text, never inferred. Without ``columns`` the header row names them, with it they must agree.
+
+    Quoted line breaks need ``multi_line``, which reads each file as a whole; where the texts have none, turn it off
+    so that large files are split. Short rows are filled with nulls.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("enforceSchema", False).option("escape", '"').option(
+        "mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if columns:
         reader = reader.schema(ST.StructType([ST.StructField(c, ST.StringType()) for c in columns]))
     return null_tokens(reader.csv(path), na_tokens)
