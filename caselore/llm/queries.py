@@ -4,18 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import html_text, mtree, packing, preference, shards, token_counts
 from .common import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .token_counts import vocabulary_path
 
 
+@query("op2_html_text")
+def op2(spark, sf):
+    return html_text.extract(table(spark, sf, "pages"))
+
+
+@query("op4_sharding")
+def op4(spark, sf):
+    return shards.shard(table(spark, sf, "documents"), shards=24).withColumns(
+        {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 @query("op5_packing")
 def op5(spark, sf):
     return packing.pack(table(spark, sf, "documents"), vocabulary_path(), keep_ids=False).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op6_preference", """
+    with last as (
+      select conv_id, max(turn) as t from conversations where role = 'assistant' group by conv_id),
+    reply as (
+      select c.conv_id, c.turn, c.text from conversations c join last l on c.conv_id = l.conv_id and c.turn = l.t),
+    rejected as (
+      select c.conv_id, c.turn, c.role, case when r.turn = c.turn then o.text else c.text end as text
+      from conversations c left join reply r on r.conv_id = c.conv_id
+      left join reply o on o.conv_id = xor(c.conv_id, 1)),
+    rejected_turns as (select * from rejected where text is not null),
+    ends as (
+      select coalesce(c.conv_id, r.conv_id) as pair_id, min(coalesce(c.turn, r.turn)) as first_other
+      from conversations c full join rejected_turns r on c.conv_id = r.conv_id and c.turn = r.turn
+      where c.text is distinct from r.text or c.role is distinct from r.role group by 1),
+    parts as (
+      select conv_id as pair_id, 'chosen' as side, turn, role, text from conversations
+      union all select conv_id, 'rejected', turn, role, text from rejected_turns)
+    select p.pair_id, case when first_other is null or turn < first_other then 'prompt' else side end as part, turn, role,
+           '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered,
+           coalesce(turn >= first_other, false) and role = 'assistant' as loss
+    from parts p left join ends e on e.pair_id = p.pair_id
+    where side = 'chosen' or turn >= first_other""")
+def op6(spark, sf):
+    return preference.segments(*preference.swapped_replies(table(spark, sf, "conversations")))
+
+
+@query("op9_mtree_top5", """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+      select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint as score
+      from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
+    ranked as (
+      select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+      from scored)
+    select * from ranked where rank <= 5""")
+def op9(spark, sf):
+    return mtree.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op10_token_counts")
 def op10(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary_path())
