@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_text, mtree, packing, preference, shards, token_counts
+from . import html_text, mtree, neardup, packing, preference, shards, token_counts
 from .common import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .token_counts import vocabulary_path
@@ -53,6 +53,26 @@ def op6(spark, sf):
     return preference.segments(*preference.swapped_replies(table(spark, sf, "conversations")))
 
 
+@query("op7_near_duplicates", """
+    with recursive w as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\\x20\\x09-\\x0D]+') as w from documents),
+    s as (
+      select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+             else list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) end) as shingle from w),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    links as (
+      select a.doc_id as a, b.doc_id as b from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+      join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+      group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+    reach as (
+      select doc_id as a, doc_id as b from w union select r.a, l.b from reach r join links l on l.a = r.b)
+    select w.doc_id, coalesce(n.n, 0) as n_shingles, c.least as component_id, c.least = w.doc_id as kept
+    from w left join n on n.doc_id = w.doc_id join (select a, min(b) as least from reach group by a) c on c.a = w.doc_id""")
+def op7(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents")).drop("text_hash")
+
+
 @query("op9_mtree_top5", """
     with v as (
       select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
