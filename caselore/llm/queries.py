@@ -4,12 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_text, mtree, neardup, packing, preference, shards, token_counts
+from . import html_text, mtree, neardup, packing, preference, quality, shards, token_counts, toxicity
 from .common import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .token_counts import vocabulary_path
 
 
+TOXIC_FROM = 0.5
+QUALITY_FROM = 0.5
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def held_out(id_column: str = "doc_id"):
+    """True for the third of ids whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def toxicity_chain(spark, sf):
+    """Low quality first, then toxic: the given labels name these two."""
+    return toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels"), CATEGORIES)
+
+
+def quality_model(spark, sf):
+    return quality.fit(table(spark, sf, "documents"), table(spark, sf, "labels").where(~held_out()))
+
+
+@query("op1_toxicity")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_chain(spark, sf)).select(
+        "doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC_FROM).cast("int").alias("toxic"))
+
+
 @query("op2_html_text")
 def op2(spark, sf):
     return html_text.extract(table(spark, sf, "pages"))
@@ -73,6 +99,13 @@ def op7(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents")).drop("text_hash")
 
 
+@query("op8_quality")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.score(docs, quality_model(spark, sf)).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 @query("op9_mtree_top5", """
     with v as (
       select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
