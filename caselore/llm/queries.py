@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_text, mtree, neardup, packing, preference, quality, shards, token_counts, toxicity
+from . import decontaminate, html_text, mtree, neardup, packing, preference, quality, shards, token_counts, toxicity
 from .common import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .token_counts import vocabulary_path
@@ -41,6 +41,11 @@ def op2(spark, sf):
     return html_text.extract(table(spark, sf, "pages"))
 
 
+@query("op3_decontamination")
+def op3(spark, sf):
+    return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op4_sharding")
 def op4(spark, sf):
     return shards.shard(table(spark, sf, "documents"), shards=24).withColumns(

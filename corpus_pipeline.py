@@ -1,10 +1,58 @@
-"""The training-data pipeline over documents: stages that each read what the one before has kept."""
+"""The training-data pipeline over documents. Each stage reads what the one before has kept and written.
+
+1. quality: rows that the quality classifier scores below 0.5 go.
+2. toxicity: rows that the classifier chain holds to be toxic go.
+3. near duplicates: of each component one document stays, the one with the smallest id.
+4. decontamination: rows that hold a stretch of a benchmark item go.
+5. packing: the texts left become sequences of 1,024 tokens; the result are their pieces.
+
+Rows without id or text take part like any other; repeated rows share their fate; further columns are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caselore.llm import decontaminate, neardup, packing, quality, queries, toxicity
+from caselore.llm.common import table, written
+from caselore.llm.token_counts import vocabulary_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = quality.score(docs, queries.quality_model(spark, sf_dir), name="quality_score")
+    return scored.where(F.col("quality_score") >= queries.QUALITY_FROM).drop("quality_score")
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(docs, queries.toxicity_chain(spark, sf_dir))
+    return scored.where(F.col("p_toxic") < queries.TOXIC_FROM).drop("p_low_quality", "p_toxic")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Dropped documents are named by id and text, so rows without id and ids with several texts are told apart."""
+    found = neardup.near_duplicates(docs).where(~F.col("kept")).select(
+        F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text_hash == F.col("gone_hash")), "left_anti")
+
+
+def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).where("not leaked").drop("leaked")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary_path(), keep_ids=False).drop("piece")
+
+
+STAGES = [("quality", keep_good), ("toxicity", keep_civil), ("near_duplicates", keep_one_of_each),
+          ("decontamination", keep_unleaked), ("packing", pack)]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
