@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.numbers import let, round_half_even
 from ..functions.ranking import top_per_key
-from .vectors import SCORE_PLACES, knn
+from .vectors import SCORE_PLACES, PreparedIndex, knn
 
 
 def max_pool(neighbours: Column) -> Column:
@@ -41,13 +41,19 @@ def live_index(vectors: DataFrame, patterns: DataFrame) -> DataFrame:
         patterns.select("pattern_id", "total_cases"), "pattern_id", "left")
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, patterns: DataFrame, k: int, **options) -> DataFrame:
+def prepare(vectors: DataFrame, patterns: DataFrame, **options) -> PreparedIndex:
+    """The searchable form of one version of the index; release it when the version is replaced."""
+    return PreparedIndex(live_index(vectors, patterns), ["pattern_id", "total_cases"], **options)
+
+
+def neighbours(queries: DataFrame, vectors: DataFrame | PreparedIndex, patterns: DataFrame | None, k: int, **options) -> DataFrame:
     """The k * 16 nearest vectors: a pattern owns at most 16, so k patterns are always among them."""
-    return knn(queries, live_index(vectors, patterns), k * V.SLOTS, ["pattern_id", "total_cases"], **options)
+    index = vectors if isinstance(vectors, PreparedIndex) else prepare(vectors, patterns, **options)
+    return knn(queries, index, k * V.SLOTS)
 
 
-def rank_queries(queries: DataFrame, vectors: DataFrame, patterns: DataFrame, k: int = 5, alpha: float = 0.0,
-                 min_cases: int = 0, **options) -> DataFrame:
+def rank_queries(queries: DataFrame, vectors: DataFrame | PreparedIndex, patterns: DataFrame | None = None, k: int = 5,
+                 alpha: float = 0.0, min_cases: int = 0, **options) -> DataFrame:
     """One row per (query, rank): pattern_id and raw cosine, plus the columns of the query."""
     near = neighbours(queries, vectors, patterns, k, **options)
     hits = near.withColumn("hit", F.explode(rank_patterns(F.col("neighbours"), k, alpha, min_cases)))

@@ -14,8 +14,9 @@ from .. import fixed_values as V
 from ..functions import text as T
 from ..functions.embed import Embed
 from ..functions.ranking import top_per_key
-from ..session import BROADCAST_LIMIT
+from ..session import materialise
 
+SHIP_LIMIT = 64 * 1024 * 1024  # bytes of an index that goes to every executor whole
 SCORE_PLACES = 9  # equal vectors must score equally whatever the order of the additions
 
 
@@ -133,31 +134,52 @@ def _neighbour_lists(queries, index: np.ndarray, payload: pa.Table, k: int) -> p
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), items)
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, payload: list[str] = (), dim: int = V.EMBED_DIM,
-        broadcast_limit: int = BROADCAST_LIMIT, query_key: str = "query_id", shard_rows: int = 50_000,
-        block_rows: int = 20_000) -> DataFrame:
-    """Exact top-k inner products: adds ``neighbours array<struct<vec_id, payload.., score>>``, best first.
+class PreparedIndex:
+    """An index ready for ``knn``: measured once, shipped once if it is small, written for block search if it is not.
 
-    The index is counted first. Up to ``broadcast_limit`` bytes it is shipped to every executor once and the
-    queries never move. Beyond that both sides are cut into bounded blocks, each pair of blocks yields k rows
-    per query, and the partial results are merged; nothing is approximated or dropped.
+    Make one per index version and ``release`` it afterwards; ``knn`` on a plain table makes one for itself.
     """
-    keep = ["vec_id", *payload]
-    n = index.count()
-    if n * dim * 8 <= broadcast_limit:
-        return _knn_broadcast(queries, index, keep, k)
-    return _knn_blocks(queries, index, keep, k, math.ceil(n / shard_rows), block_rows, query_key)
 
+    def __init__(self, index: DataFrame, payload: list[str] = (), broadcast_limit: int = SHIP_LIMIT,
+                 shard_rows: int = 50_000):
+        self.keep = ["vec_id", *payload]
+        rows = index.select(*self.keep, "embedding")
+        texts = [c for c in self.keep if isinstance(index.schema[c].dataType, ST.StringType)]
+        width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(self.keep)))
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.size("embedding") * 16 + width).cast("bigint")),
+                                                                 F.lit(0)).alias("bytes")).first()
+        self.item = ST.StructType([rows.schema[c] for c in self.keep] + [ST.StructField("score", ST.DoubleType())])
+        self.shards = max(1, math.ceil(size["n"] / shard_rows))
+        self.shared = self.rows = None
+        if size["bytes"] <= broadcast_limit:
+            table = rows.toArrow().sort_by("vec_id")
+            context = index.sparkSession.sparkContext
+            self.shared = context.broadcast((_matrix(table.column("embedding")), table.select(self.keep)))
+        else:
+            self.rows = materialise(rows, "index")
+
+    def release(self) -> None:
+        if self.shared is not None:
+            self.shared.unpersist()
+
+
+def knn(queries: DataFrame, index: DataFrame | PreparedIndex, k: int, payload: list[str] = (), block_rows: int = 20_000,
+        **options) -> DataFrame:
+    """Exact top-k inner products: adds ``neighbours array<struct<vec_id, payload.., score>>``, best first.
 
-def _result_schema(queries: DataFrame, index: DataFrame, keep: list[str]) -> ST.StructType:
-    item = ST.StructType([index.schema[c] for c in keep] + [ST.StructField("score", ST.DoubleType())])
-    fields = [f for f in queries.schema.fields if f.name != "embedding"]
-    return ST.StructType([*fields, ST.StructField("neighbours", ST.ArrayType(item))])
+    Every query row is answered for itself, also if its other columns are null or repeat. The index is measured first,
+    payload included. A small one is shipped to every executor once and the queries never move. Beyond that both sides
+    are cut into bounded blocks, each pair of blocks yields k rows per query, and the partial results are merged;
+    nothing is approximated or dropped, and both ways give the same rows.
+    """
+    if not isinstance(index, PreparedIndex):
+        index = PreparedIndex(index, payload, **options)
+    return _knn_shipped(queries, index, k) if index.shared is not None else _knn_blocks(queries, index, k, block_rows)
 
 
-def _knn_broadcast(queries: DataFrame, index: DataFrame, keep: list[str], k: int) -> DataFrame:
-    rows = index.select(*keep, "embedding").toArrow().sort_by("vec_id")
-    shared = queries.sparkSession.sparkContext.broadcast((_matrix(rows.column("embedding")), rows.select(keep)))
+def _knn_shipped(queries: DataFrame, index: PreparedIndex, k: int) -> DataFrame:
+    shared = index.shared
+    fields = [f for f in queries.schema.fields if f.name != "embedding"]
 
     def search(batches):
         vectors, payload = shared.value
@@ -166,31 +188,30 @@ def _knn_broadcast(queries: DataFrame, index: DataFrame, keep: list[str], k: int
             names = [c for c in b.schema.names if c != "embedding"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists], [*names, "neighbours"])
 
-    return queries.mapInArrow(search, _result_schema(queries, index, keep))
+    return queries.mapInArrow(search, ST.StructType([*fields, ST.StructField("neighbours", ST.ArrayType(index.item))]))
 
 
-def _knn_blocks(queries: DataFrame, index: DataFrame, keep: list[str], k: int, shards: int, block_rows: int,
-                key: str) -> DataFrame:
-    blocks = max(1, math.ceil(queries.count() / block_rows))
-    q = queries.select(key, "embedding").withColumns({
-        "block": F.pmod(F.xxhash64(key), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-    v = index.select(*keep, "embedding").withColumns({
+def _knn_blocks(queries: DataFrame, index: PreparedIndex, k: int, block_rows: int) -> DataFrame:
+    # rows are numbered and written, so that both uses below see the same numbers
+    queries = materialise(queries.withColumn("query_row", F.monotonically_increasing_id()), "queries")
+    blocks, shards, keep = max(1, math.ceil(queries.count() / block_rows)), index.shards, index.keep
+    q = queries.select("query_row", "embedding").withColumns({
+        "block": F.pmod(F.xxhash64("query_row"), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    v = index.rows.withColumns({
         "shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"),
         "block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))})
-    schema = _result_schema(queries.select(key, "embedding"), index, keep)
+    schema = ST.StructType([queries.schema["query_row"], ST.StructField("neighbours", ST.ArrayType(index.item))])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("vec_id")
-        if not len(left):
-            return pa.table([left.column(key), pa.nulls(0)], [key, "neighbours"])
         lists = _neighbour_lists(left.column("embedding"), _matrix(right.column("embedding")), right.select(keep), k)
-        return pa.table([left.column(key), lists], [key, "neighbours"])
+        return pa.table([left.column("query_row"), lists], ["query_row", "neighbours"])
 
     part = (q.groupBy("block", "shard").cogroup(v.groupBy("block", "shard")).applyInArrow(search, schema)
-            .select(key, F.explode("neighbours").alias("n")))
-    best = top_per_key(part, [key], [F.desc("n.score"), F.col("n.vec_id")], k)
-    merged = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("x")).select(
-        key, F.transform("x", lambda e: e["n"]).alias("neighbours"))
+            .select("query_row", F.explode("neighbours").alias("n")))
+    best = top_per_key(part, ["query_row"], [F.desc("n.score"), F.col("n.vec_id")], k)
+    merged = best.groupBy("query_row").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("x")).select(
+        "query_row", F.transform("x", lambda e: e["n"]).alias("neighbours"))
     empty = F.array().cast(schema["neighbours"].dataType)
-    return (queries.drop("embedding").join(merged, key, "left")
+    return (queries.drop("embedding").join(merged, "query_row", "left").drop("query_row")
             .withColumn("neighbours", F.coalesce("neighbours", empty)))

@@ -220,6 +220,14 @@ def knn_exact(spark, sf):
     return n.select("query_id", "n.vec_id", F.round("n.score", 9).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
+@query("knn_blocks", with_(VEC, "select query_id, vec_id, score, rn::int as rank from near where rn <= 5"))
+def knn_blocks(spark, sf):
+    """The same search as ``knn_exact``, by blocks of both sides."""
+    out = X.knn(A.vector_queries(spark, sf), A.vector_index(spark, sf), 5, broadcast_limit=-1, shard_rows=10_000)
+    n = out.select("query_id", F.posexplode("neighbours").alias("pos", "n"))
+    return n.select("query_id", "n.vec_id", F.round("n.score", 9).alias("score"), (F.col("pos") + 1).alias("rank"))
+
+
 @query("max_pool_patterns", with_(VEC, """
 select query_id, pattern_id, max(score) as score from near where rn <= 80 and total_cases is not null group by 1, 2"""))
 def max_pool_patterns(spark, sf):

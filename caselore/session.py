@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_LIMIT = 256 * 1024 * 1024
-
 
 def build_session(app: str = "caselore", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators expect; the cluster's own settings win elsewhere."""

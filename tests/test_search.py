@@ -27,19 +27,39 @@ def neighbours(df):
 
 def test_knn_is_exact(data):
     q, v, qm, vm = data
-    got = neighbours(X.knn(q, v, 7, dim=8))
+    got = neighbours(X.knn(q, v, 7))
     scores = np.round(qm @ vm.T, 9)
     for i, row in enumerate(scores):
         assert [n for n, _ in got[i]] == list(np.lexsort((np.arange(90), -row))[:7])
 
 
-def test_blocked_search_equals_broadcast(data):
+def test_blocked_search_equals_shipped(data):
     q, v, _, _ = data
-    a = neighbours(X.knn(q, v, 7, dim=8))
-    b = neighbours(X.knn(q, v, 7, dim=8, broadcast_limit=0, shard_rows=20, block_rows=15))
+    a = neighbours(X.knn(q, v, 7))
+    b = neighbours(X.knn(q, v, 7, broadcast_limit=-1, shard_rows=20, block_rows=15))
     assert a == b
-    assert {len(x) for x in neighbours(X.knn(q, v, 500, dim=8)).values()} == {90}
-    assert {len(x) for x in neighbours(X.knn(q, v.limit(0), 5, dim=8)).values()} == {0}
+    assert {len(x) for x in neighbours(X.knn(q, v, 500)).values()} == {90}
+    for limit in (1 << 20, -1):
+        assert {len(x) for x in neighbours(X.knn(q, v.limit(0), 5, broadcast_limit=limit)).values()} == {0}
+        assert X.knn(q.limit(0), v, 5, broadcast_limit=limit).collect() == []
+
+
+def test_repeated_and_null_query_ids(spark, data):
+    _, v, _, vm = data
+    rows = [(1, [float(x) for x in vm[5]]), (1, [float(x) for x in vm[6]]), (None, [float(x) for x in vm[7]])]
+    q = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    want = sorted((str(i), int(np.lexsort((np.arange(90), -np.round(vm @ np.array(e), 9)))[0])) for i, e in rows)
+    for options in ({}, {"broadcast_limit": -1, "shard_rows": 20, "block_rows": 1}):
+        got = sorted((str(r.query_id), r.neighbours[0].vec_id) for r in X.knn(q, v, 1, **options).collect())
+        assert got == want
+
+
+def test_size_counts_numbers_and_payload(spark):
+    rows = [(i, [1.0] * 50, "p" * 100) for i in range(20)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, name string")
+    assert X.PreparedIndex(v, broadcast_limit=20 * 50 * 16).shared is None
+    assert X.PreparedIndex(v, ["name"], broadcast_limit=20 * (50 * 16 + 16)).shared is None
+    assert X.PreparedIndex(v, ["name"], broadcast_limit=20 * (50 * 16 + 16 + 100)).shared is not None
 
 
 def test_upsert_remove_and_shape(spark):
