@@ -35,6 +35,7 @@ from .components import components
 ROOT_SLOTS = 16  # twelve trees, every third of which picks a second slot
 SMALL = 96
 PIVOTS = 16
+STRAY = 128
 DENSE = 0.72
 DEPTH = 12
 SURE = 34  # of 64 slots equal: a pair at the threshold has fewer with a chance of 4e-5
@@ -76,7 +77,6 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     sketches = classes.where("n_shingles > 0").select("v", "sketch")
     roots = F.array(*[F.xxhash64(F.lit(i), F.get(F.col("sketch"), F.lit(i))) for i in range(ROOT_SLOTS)])
     rows = sketches.select("v", F.explode(roots).alias("node"), F.lit(None).cast("long").alias("of"))
-    rows = written(rows, "level")
     small, dense = [], []
     for depth in range(1, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("at"), "n")
@@ -85,13 +85,12 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         large = rows.where(F.col("n") > SMALL)
         stuck = (F.col("n") >= DENSE * F.col("of")) if depth < DEPTH else F.lit(True)
         stuck = F.coalesce(stuck, F.lit(False))
-        if large.isEmpty():
+        left = large.agg(F.count_if(stuck).alias("stuck"), F.count_if(~stuck).alias("on")).first()
+        if left["stuck"]:
+            dense.append(large.where(stuck).select("node", "v", "n"))
+        if not left["on"]:
             break
-        dense.append(large.where(stuck).select("node", "v", "n"))
-        rows = large.where(~stuck)
-        if rows.isEmpty():
-            break
-        rows = written(branched(sketches, rows), "level")
+        rows = branched(sketches, large.where(~stuck))
     units = small[0]
     for more in small[1:]:
         units = units.unionByName(more)
@@ -193,8 +192,20 @@ def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, id_column: s
     return arrow_map(rows, run, "v long, shingles binary")
 
 
+def stars(v: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
+    """Each member with the least member of the same name."""
+    out = []
+    for x in np.unique(names):
+        member = np.sort(v[names == x])
+        out += [(m, member[0]) for m in member[1:]]
+    return out
+
+
 def linked(clusters: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links, checked on full sets, that connect each cluster's members as all of its links would."""
+    """(a, b): stars over the parts of each cluster that its links, checked on full sets, hold together.
+
+    Members of one label count as connected from the start.
+    """
     rows = clusters.join(sets.select(F.col("v").alias("w"), "shingles"), F.col("v") == F.col("w"))
     rows = together(rows.select("cluster", "v", "label", "shingles"), "cluster")
 
@@ -204,6 +215,7 @@ def linked(clusters: DataFrame, sets: DataFrame) -> DataFrame:
             begin = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
             found = []
             for i, k in zip(begin, np.diff(np.r_[begin, len(cluster)]), strict=True):
+                new_links = False
                 sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(3).slice(i, k)]
                 names = list(np.unique(label[i:i + k], return_inverse=True)[1])
                 for x in range(1, k):
@@ -215,9 +227,11 @@ def linked(clusters: DataFrame, sets: DataFrame) -> DataFrame:
                             continue
                         both = S.shared(sets[x], sets[y])
                         if 100 * both >= SIMILAR * (p + q - both):
-                            found.append((v[i + x], v[i + y]))
+                            new_links = True
                             old, new = names[x], names[y]
                             names = [new if z == old else z for z in names]
+                if new_links:
+                    found += stars(v[i:i + k], np.array(names))
             if found:
                 pairs = np.array(found, np.int64)
                 yield [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
@@ -231,21 +245,23 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def strays(dense: DataFrame, roots: DataFrame) -> DataFrame:
-    """Units (unit, v, label) that bring each class outside its dense node's main component together with the whole node."""
+    """Units (unit, v, label) that bring all classes outside their dense node's main component together with the node.
+
+    Nodes of different trees that have the same main component are taken together, so each comparison happens once.
+    """
     rows = written(_labelled(dense, roots), "dense")
     sizes = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"))
-    main = main.join(rows.join(main.select(F.col("node").alias("at"), "main"), F.col("node") == F.col("at")).where("label <> main")
-                     .groupBy("node").agg(F.count("*").alias("others")).select(F.col("node").alias("at"), "others"),
-                     F.col("node") == F.col("at")).drop("at")  # nodes in one component have no strays
-    half = SMALL // 2
-    rows = rows.join(main.select(F.col("node").alias("at"), "main", "n", "others"), F.col("node") == F.col("at"))
-    o_blocks, n_blocks = F.ceil(F.col("others") / half).cast("int"), F.ceil(F.col("n") / half).cast("int")
-    mine = F.xxhash64("v", "node")
+    main = sizes.groupBy("node").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
+    main = main.where("labels > 1").select(F.col("node").alias("at"), "main")
+    rows = written(rows.join(main, F.col("node") == F.col("at")).select("main", "v", "label").distinct(), "dense")
+    sizes = rows.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("others"))
+    rows = rows.join(sizes.select(F.col("main").alias("of"), "n", "others"), F.col("main") == F.col("of"))
+    o_blocks, n_blocks = F.ceil(F.col("others") / STRAY).cast("int"), F.ceil(F.col("n") / STRAY).cast("int")
+    mine = F.xxhash64("v", "main")
     stray = rows.where("label <> main").withColumn("o", F.pmod(mine, o_blocks).cast("int")).withColumn(
         "b", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     every = rows.withColumn("b", F.pmod(mine, n_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), o_blocks - 1)))
-    out = [x.select(F.xxhash64("node", "o", "b", F.lit("stray")).alias("unit"), "v", "label") for x in (stray, every)]
+    out = [x.select(F.xxhash64("main", "o", "b", F.lit("stray")).alias("unit"), "v", "label") for x in (stray, every)]
     return out[0].unionByName(out[1]).distinct()
 
 
@@ -263,8 +279,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     if dense is not None:
         clusters = written(alike(strays(dense, roots), classes), "clusters")
         if not clusters.isEmpty():
-            links = links.unionByName(linked(clusters, full_sets(df, classes, clusters, id_column, text_column)))
-            roots = components(links)
+            more = linked(clusters, full_sets(df, classes, clusters, id_column, text_column))
+            roots = components(more.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
     labelled = _labelled(classes.select("v", "set_hash", F.col("first.id").alias("first_id")), roots)
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id")).select(F.col("label").alias("l"), "component_id")
     named = written(labelled.join(least, F.col("label") == F.col("l")).select(F.col("set_hash").alias("of"), "component_id"), "named")
