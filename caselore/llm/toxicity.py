@@ -128,31 +128,43 @@ def _fit_link(rows, values, y, n_features, n_earlier):
     return w, np.array([float(w[x] @ v) + w[-1] for x, v in zip(rows, values, strict=True)])
 
 
-def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Hashes whose share differs between the two kinds of rows by more than ``CERTAIN`` standard errors, KEPT at most."""
-    flat, label = np.concatenate(rows), np.repeat(y, [len(x) for x in rows])
-    names, index = np.unique(flat, return_inverse=True)
-    n1, n = np.bincount(index, label), np.bincount(index)
+def _telling(index: list[np.ndarray], y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Features whose share differs between the two kinds of rows by more than ``CERTAIN`` standard errors, KEPT at most."""
+    n1 = np.zeros(len(n))
+    for i in np.flatnonzero(y):
+        n1[index[i]] += 1
     total, positive = len(y), int(y.sum())
     share = n / total
     expected = share * positive
     error = np.sqrt(np.maximum(expected * (1 - share), 1e-9) * (1 - positive / total))
     z = np.abs(n1 - expected) / np.maximum(error, 0.5)
-    z[n < 4] = 0
     best = np.argsort(-z, kind="stable")[:KEPT]
-    return names[best[z[best] >= CERTAIN]]
+    return np.sort(best[z[best] >= CERTAIN])
 
 
-def fit_rows(rows: list[np.ndarray], y: np.ndarray, names: list[str]) -> Chain:
-    """``rows``: distinct hashes of each text; ``y``: 0/1 by text and category."""
+def _places(rows: list[np.ndarray], names: np.ndarray) -> list[np.ndarray]:
+    """The places of each row's hashes in ``names``, those that are there."""
+    out = []
+    for x in rows:
+        at = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
+        out.append(at[names[at] == x].astype(np.int32) if len(names) else np.zeros(0, np.int32))
+    return out
+
+
+def fit_rows(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, names: list[str]) -> Chain:
+    """``flat``: the distinct hashes of each text, one text after the other; ``y``: 0/1 by text and category."""
+    rows = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    every = np.sort(flat)
+    begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[begin, len(every)])
+    common, n = every[begin[n >= 4]], n[n >= 4]  # the rest tells nothing
+    del every, begin
+    index = _places(rows, common)
     fine = [len(rows) > 0 and 0 < y[:, c].sum() < len(rows) for c in range(len(names))]
-    kept = [_telling(rows, y[:, c]) if fine[c] else np.zeros(0, np.uint64) for c in range(len(names))]
+    kept = [common[_telling(index, y[:, c], n)] if fine[c] else np.zeros(0, np.uint64) for c in range(len(names))]
     hashes = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
     m, fold = len(hashes), np.arange(len(rows)) % FOLDS
-    index = []
-    for x in rows:
-        at = np.minimum(np.searchsorted(hashes, x), max(m - 1, 0))
-        index.append(at[hashes[at] == x] if m else np.zeros(0, np.int64))
+    index = _places(rows, hashes)
     earlier, links = np.zeros((len(rows), 0)), []
     for c in range(len(names)):
         if not fine[c]:
@@ -196,7 +208,13 @@ def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], rows: int
     kind = df.schema[id_column].dataType.simpleString()
     got = arrow_map(sample, run, f"id {kind}, marks array<int>, found binary").toArrow().sort_by("id")
     y = np.array(got.column("marks").to_pylist(), np.int64).reshape(got.num_rows, len(names))
-    return fit_rows([np.frombuffer(x, "<u8") for x in got.column("found").to_pylist()], y, names)
+    found = got.column("found").cast(pa.large_binary()).combine_chunks()
+    found = found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
+    if not len(found):
+        return fit_rows(np.zeros(0, np.uint64), np.zeros(1, np.int64), y, names)
+    _, offsets, data = found.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[found.offset:found.offset + len(found) + 1] // 8
+    return fit_rows(np.frombuffer(data, "<u8")[:offsets[-1]] if data is not None else np.zeros(0, np.uint64), offsets, y, names)
 
 
 def score(df: DataFrame, chain: Chain, text_column: str = "text", prefix: str = "p_") -> DataFrame:
