@@ -69,6 +69,17 @@ def tier_changes(new: DataFrame, old: DataFrame, margin: float = 0.0) -> DataFra
                           F.col("tier").alias("tier_to"))
 
 
+def batch_changes(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Every pattern a batch added, grew or moved, from one join: change is ``new``, ``tier`` or ``updated``."""
+    o = old.select(F.col("pattern_id").alias("old_id"), F.col("total_cases").alias("old_cases"), F.col("tier").alias("tier_from"))
+    j = new.join(o, F.col("pattern_id") == F.col("old_id"), "left")
+    change = (F.when(F.col("old_id").isNull(), "new").when(F.col("tier") != F.col("tier_from"), "tier")
+              .when(F.col("total_cases") != F.col("old_cases"), "updated"))
+    named = F.concat(_label(), F.lit(" (n="), F.col("total_cases").cast("string"), F.lit(")"))
+    return j.select(change.alias("change"), "pattern_id", F.when(change == "new", named).otherwise(_label()).alias("pattern"),
+                    "tier_from", F.col("tier").alias("tier_to"), F.col("old_cases"), "total_cases").where("change is not null")
+
+
 def tier_transitions(new: DataFrame, old: DataFrame) -> DataFrame:
     """Before x after, including patterns absent on one side."""
     o = old.select("pattern_id", F.col("tier").alias("tier_before"))

@@ -39,11 +39,17 @@ def close_hours(created: Column, closed: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", created, closed) / F.lit(3.6e9)
 
 
-def clean_tickets(raw: DataFrame) -> DataFrame:
-    """One narrow projection chain; no shuffle."""
+def flagged(raw: DataFrame) -> DataFrame:
+    """Repaired rows with the filters they pass (``closed``, ``resolved``, ``usable``, each implying the one before)."""
     t = repair_text(raw)
-    t = t.where(is_closed(t)).where(has_resolution()).where(has_labels())
-    t = t.withColumns({"created_date": to_time(F.col("created_date")), "closed_date": to_time(F.col("closed_date"))})
+    closed = is_closed(t)
+    resolved = closed & has_resolution()
+    return t.withColumns({"closed": closed, "resolved": resolved, "usable": resolved & has_labels()})
+
+
+def usable_tickets(t: DataFrame) -> DataFrame:
+    """The clean tickets out of flagged rows."""
+    t = t.where("usable").withColumns({"created_date": to_time(F.col("created_date")), "closed_date": to_time(F.col("closed_date"))})
     return t.select(
         "unique_key", "created_date", "closed_date", *V.LABELS, "resolution_description",
         close_hours(F.col("created_date"), F.col("closed_date")).alias("close_hours"),
@@ -52,14 +58,16 @@ def clean_tickets(raw: DataFrame) -> DataFrame:
     )
 
 
+def clean_tickets(raw: DataFrame) -> DataFrame:
+    """One narrow projection chain; no shuffle."""
+    return usable_tickets(flagged(raw))
+
+
+def count_flags(t: DataFrame) -> DataFrame:
+    return t.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if("closed").alias("closed"),
+                 F.count_if("resolved").alias("with_resolution"), F.count_if("usable").alias("usable"))
+
+
 def clean_funnel(raw: DataFrame) -> DataFrame:
     """Rows left after each filter, counted in one pass."""
-    t = repair_text(raw)
-    closed = is_closed(t)
-    resolved = closed & has_resolution()
-    return t.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(closed).alias("closed"),
-        F.count_if(resolved).alias("with_resolution"),
-        F.count_if(resolved & has_labels()).alias("usable"),
-    )
+    return count_flags(flagged(raw))

@@ -337,6 +337,38 @@ def apply_batch(spark, sf):
     return I.apply_batch(spark, root, later_raw(spark, sf)).summary.drop("seconds")
 
 
+@query("audit", with_(DIFF, f"""
+select n.pattern_id, case when o.pattern_id is null then 'new' else 'tier' end as change,
+ {NEW_LABEL} || case when o.pattern_id is null then ' (n=' || n.total_cases || ')' else '' end as pattern,
+ o.tier as tier_from, n.tier as tier_to,
+ (select count(*) from raw where try_cast(created_date as timestamp) >= timestamp '2000-07-01') as received,
+ (select count(*) from later) as usable
+from n_patterns n left join o_patterns o on n.pattern_id = o.pattern_id where o.pattern_id is null or n.tier <> o.tier"""))
+def audit(spark, sf):
+    """What the audit of a batch holds: the cleaning funnel, every new pattern and every change of tier."""
+    root, _ = base_state(spark, sf)
+    I.apply_batch(spark, root, later_raw(spark, sf))
+    row = S.audit(spark, root).select(F.col("v").alias("of"), "received", "usable")
+    moved = S.audit_changes(spark, root).where("change in ('new', 'tier')")
+    return moved.join(F.broadcast(row), F.col("v") == F.col("of")).select(  # one row per batch
+        "pattern_id", "change", "pattern", "tier_from", "tier_to", "received", "usable")
+
+
+@query("state_reinit", with_(SPLIT, """
+select (select count(*) from base) as tickets, (select count(*) from o_patterns) as patterns, true as refused"""))
+def state_reinit(spark, sf):
+    """A second first load is refused and the state stays as it was."""
+    root, _ = base_state(spark, sf)
+    try:
+        I.init_state(spark, root, split(spark, sf)[1])
+        refused = False
+    except ValueError:
+        refused = True
+    now = S.current(spark, root)
+    return now.tickets.agg(F.count(F.lit(1)).alias("tickets"), now.patterns.agg(F.count(F.lit(1))).scalar().alias("patterns"),
+                           F.lit(refused).alias("refused"))
+
+
 @query("read_state", with_(DIFF, """
 select pattern_id, complaint_type, descriptor, descriptor_2, total_cases, n_resolutions, top1_share, tier,
  median_close_hours, p90_close_hours from n_patterns"""))

@@ -17,9 +17,10 @@ from ..operators import patterns as P
 from ..operators import vectors as X
 from ..session import materialise
 from ..sources import state as S
-from ..sources.tickets import append_json, check_contract
+from ..sources.tickets import check_columns, check_size, write_report
 
 HASH_MODEL = "hashed-words"
+LABEL_ONLY, WITH_EXAMPLES = "label only", "label + synthetic example complaints"
 
 
 @dataclass
@@ -42,7 +43,13 @@ def _times(close: DataFrame) -> DataFrame:
 
 def init_state(spark: SparkSession, root: str, clean: DataFrame, examples: DataFrame | None = None,
                embed: Embed = hash_embed, model: str = HASH_MODEL, dim: int = V.EMBED_DIM) -> S.Snapshot:
-    """Version 0 from clean tickets; the tickets are read once and everything else comes from what was written."""
+    """Version 0 from clean tickets; the tickets are read once and everything else comes from what was written.
+
+    A root that holds a committed state is refused: its folders are being read.
+    """
+    live = S.current(spark, root)
+    if live is not None:
+        raise ValueError(f"{root} already holds version {live.v}; load into a new root")
     tickets = S.put_batch(clean, root, "tickets", 0)
     counts = S.put_version(P.outcome_counts(tickets), root, "outcome_counts", 0)
     close = S.put_batch(P.close_counts(tickets), root, "close_counts", 0)
@@ -53,7 +60,7 @@ def init_state(spark: SparkSession, root: str, clean: DataFrame, examples: DataF
         kept = examples.join(patterns.select("pattern_id"), "pattern_id", "left_semi")
         kept.write.mode("overwrite").json(f"{root}/examples/batch=0")
     _write_vectors(patterns, kept, root, 0, embed, dim)
-    S.commit(spark, root, 0, 0, model, "label only" if examples is None else "label + synthetic example complaints", dim)
+    S.commit(spark, root, 0, 0, model, LABEL_ONLY if examples is None else WITH_EXAMPLES, dim)
     return S.current(spark, root)
 
 
@@ -78,12 +85,13 @@ def apply_batch(spark: SparkSession, root: str, raw: DataFrame, examples: DataFr
     if old is None:
         raise ValueError(f"no state at {root}")
     X.guard_model(old.model_name, model)
-    check_contract(raw, max_rows)
+    check_columns(raw)
     v, batch = old.v + 1, old.batch + 1
-    funnel = C.clean_funnel(raw).first()
-    # The batch is cleaned once; the key lookup and the fresh rows both read the cleaned copy.
-    cleaned = materialise(C.clean_tickets(raw), "cleaned")
-    tickets = S.put_batch(D.dedupe_against_state(cleaned, old.tickets), root, "tickets", batch)
+    # The raw batch is read once; the funnel, the key lookup and the fresh rows come from the repaired copy.
+    repaired = materialise(C.flagged(raw), "repaired")
+    funnel = C.count_flags(repaired).first()
+    check_size(funnel.raw_rows, max_rows)
+    tickets = S.put_batch(D.dedupe_against_state(C.usable_tickets(repaired), old.tickets), root, "tickets", batch)
     ingested = tickets.count()
     base = {"received": funnel.raw_rows, "usable": funnel.usable, "duplicates_skipped": funnel.usable - ingested,
             "ingested": ingested, "closed": funnel.closed, "with_resolution": funnel.with_resolution}
@@ -103,22 +111,25 @@ def apply_batch(spark: SparkSession, root: str, raw: DataFrame, examples: DataFr
                    .groupBy("resolution_id", "resolution_description").agg(F.sum("total_count").alias("total_count")))
     resolutions = S.put_version(resolutions, root, "resolutions", v)
 
-    new_rows = patterns.join(old_patterns.select("pattern_id"), "pattern_id", "left_anti")
+    moved = S.put_version(D.batch_changes(patterns, old_patterns), root, "changes", v)
+    new_rows = patterns.join(moved.where("change = 'new'").select("pattern_id"), "pattern_id", "left_semi")
     kept, generated = None, 0
     if examples is not None:
         kept = examples.join(new_rows.select("pattern_id"), "pattern_id", "left_semi")
         kept.write.mode("overwrite").json(f"{root}/examples/batch={batch}")
         generated = kept.agg(F.coalesce(F.sum(F.size("complaints")), F.lit(0))).first()[0]
     vectors = _write_vectors(new_rows, kept, root, batch, embed, old.dim)
-    new, moved = D.new_patterns(patterns, old_patterns), D.tier_changes(patterns, old_patterns)
+    seen = moved.agg(F.count_if(F.col("change") == "new").alias("new"), F.count_if(F.col("change") == "tier").alias("tier"),
+                     F.count_if(F.col("old_cases") != F.col("total_cases")).alias("updated")).first()
     extra = {
-        "new_patterns": new.count(), "updated_patterns": D.updated_patterns(patterns, old_patterns).count(),
-        "tier_changes": moved.count(),
+        "new_patterns": seen.new, "updated_patterns": seen.updated, "tier_changes": seen.tier,
         "new_resolutions": resolutions.join(old.resolutions, "resolution_id", "left_anti").count(),
         "examples_generated": generated, "index_vectors": old.vectors.count() + vectors.count()}
-    report = BatchReport(_row(spark, {**base, **extra}, t0), new, moved)
-    append_json(report.summary.withColumn("at", F.current_timestamp()), f"{root}/audit")
-    S.commit(spark, root, v, batch, model, "label + synthetic example complaints", old.dim)
+    report = BatchReport(_row(spark, {**base, **extra}, t0),
+                         moved.where("change = 'new'").select("pattern_id", "pattern"),
+                         moved.where("change = 'tier'").select("pattern_id", "pattern", "tier_from", "tier_to"))
+    write_report(report.summary.withColumn("at", F.current_timestamp()).coalesce(1), f"{root}/audit/v={v}")
+    S.commit(spark, root, v, batch, model, old.doc_format if examples is None else WITH_EXAMPLES, old.dim)
     return report
 
 

@@ -58,18 +58,26 @@ def missing_columns(df: DataFrame) -> list[str]:
     return [c for c in V.REQUIRED if c not in df.columns]
 
 
-def check_contract(df: DataFrame, max_rows: int | None = V.MAX_BATCH) -> dict:
-    """Required columns present and 1..max_rows rows (None: any number); raises ``ValueError`` otherwise."""
+def check_columns(df: DataFrame) -> int:
+    """The number of columns beyond the required ones; raises ``ValueError`` if one of those is missing."""
     missing = missing_columns(df)
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    if max_rows is not None:
-        n = df.limit(max_rows + 1).count()
-        if not 1 <= n <= max_rows:
-            raise ValueError(f"a batch must have 1 to {max_rows} rows")
-    elif df.isEmpty():
+    return len(set(df.columns) - set(V.REQUIRED))
+
+
+def check_size(n: int, max_rows: int | None = V.MAX_BATCH) -> None:
+    if n < 1:
         raise ValueError("a batch must not be empty")
-    return {"missing": [], "extra_columns": len(set(df.columns) - set(V.REQUIRED))}
+    if max_rows is not None and n > max_rows:
+        raise ValueError(f"a batch must have 1 to {max_rows} rows")
+
+
+def check_contract(df: DataFrame, max_rows: int | None = V.MAX_BATCH) -> dict:
+    """Required columns present and 1..max_rows rows (None: any number); raises ``ValueError`` otherwise."""
+    extra = check_columns(df)
+    check_size(df.limit((max_rows or 0) + 1).count(), max_rows)
+    return {"missing": [], "extra_columns": extra}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

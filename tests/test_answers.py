@@ -9,9 +9,9 @@ from caselore.operators import answer as G
 from caselore.operators import monitor as M
 from caselore.operators import retrieve as R
 from caselore.streaming.jobs import stream_alert_windows, triage
-from conftest import complaints
+from conftest import OPEN, SIZE, complaints, hours_of
 
-TEXTS = ["street noise drums at night", "radiator stays cold", "road deep hole", "zebra quartz violin"]
+TEXTS = ["library card refused at the gate", "ferry crossing missed", "parcel arrived wet", "zebra quartz violin"]
 SEL = "query_id long, selected_candidate int, confidence string, severity int, sentiment string"
 DRAFT = ("query_id long, attempt int, opening string, summary struct<text:string,citations:array<string>>, "
          "steps array<struct<text:string,citations:array<string>>>")
@@ -42,10 +42,10 @@ def test_routes(spark, cases):
     assert [got[i].method for i in range(4)] == ["llm", "llm", "template", None]
     assert [got[i].tier for i in range(3)] == ["rag_core", "rag_light", "fast_lookup"]
     assert got[3].abstained and got[3].abstain_reason.startswith("low_similarity (top cosine 0.") and got[3].severity is None
-    assert got[0].answer.summary.text == GOOD[1][0] and len(got[0].answer.outcomes) == 3
+    assert got[0].answer.summary.text == GOOD[1][0] and len(got[0].answer.outcomes) == 4
     assert got[1].policy_notes == ["High severity (5/5): prioritise this ticket.", V.EMERGENCY_NOTE]
-    assert got[2].answer.summary.text == "100% of 40 past tickets of this type ended with the same recorded resolution."
-    assert got[0].category == "Street Noise" and got[0].product == "Drums at night"
+    assert got[2].answer.summary.text == "94% of 36 past tickets of this type ended with the same recorded resolution."
+    assert got[0].category == OPEN and got[0].product == "Refused at the gate"
 
 
 def test_no_candidate_and_missing_steps(spark, cases):
@@ -78,16 +78,19 @@ def check(spark, src, *items, opening="Sorry to hear that.", attempt=1):
 
 def test_sources_block(src):
     r = src.first()
-    assert r.source_lines[0].startswith('[P1] Past closed tickets of type "Street Noise / Drums at night": 60 tickets; median time to close 6.0 hours')
-    assert r.source_lines[0].endswith("Share of tickets by recorded resolution: R1 (40%), R2 (35%), R3 (25%).")
-    assert r.source_lines[1] == '[R1] Recorded resolution: "The patrol found nothing on arrival."'
-    assert set(r.sources) == {"P1", "R1", "R2", "R3"} and r.sources["R1"].truncated_in_source is False
+    hours = sorted(hours_of(i) for n in (18, 15, 12, 9) for i in range(n))
+    middle = (hours[26] + hours[27]) / 2
+    assert r.source_lines[0].startswith(
+        f'[P1] Past closed tickets of type "{OPEN} / Refused at the gate": {SIZE[OPEN]} tickets; median time to close {middle:.1f} hours')
+    assert r.source_lines[0].endswith("Share of tickets by recorded resolution: R1 (33%), R2 (28%), R3 (22%), R4 (17%).")
+    assert r.source_lines[1] == '[R1] Recorded resolution: "The card was charged anew."'
+    assert set(r.sources) == {"P1", "R1", "R2", "R3", "R4"} and r.sources["R1"].truncated_in_source is False
 
 
 def test_rules_for_items(spark, src):
     got = check(spark, src, ("no citation", []), ("unknown", ["R99"]), ("took 9999 hours", ["P1"]), ("  ", ["P1"]),
-                ("they will respond", ["P1"]), ("60 tickets, 40% alike, says R2", ["[P1]", " R1 "]))
-    assert [s.text for s in got.steps] == ["60 tickets, 40% alike, says R2"] and got.steps[0].citations == ["P1", "R1"]
+                ("they will respond", ["P1"]), ("54 tickets, 33% alike, says R2", ["[P1]", " R1 "]))
+    assert [s.text for s in got.steps] == ["54 tickets, 33% alike, says R2"] and got.steps[0].citations == ["P1", "R1"]
     assert [v.split(": ")[1].split(" ->")[0] for v in got.violations][:4] == [
         "no citation", "cites unknown source(s) ['R99']", "number(s) ['9999'] not found in the sources", "empty text"]
     assert got.violations[0] == 'steps[0]: no citation -> "no citation"' and "predicts the future" in got.violations[4]
@@ -109,8 +112,8 @@ def test_template_passes_the_rules(spark, src):
 def test_remainder_line(src):
     two = F.array("rids")[0]
     lines = src.select(G.outcome_lines(F.col("main"), F.slice(two, 1, 2), 2)).first()[0]
-    assert [x.text.split("%")[0] for x in lines] == ["40", "35", "25"] and lines[-1].text.endswith("(not listed individually).")
-    assert lines[0].text == "40% of tickets: The patrol found nothing on arrival." and lines[0].citations == ["P1", "R1"]
+    assert [x.text.split("%")[0] for x in lines] == ["33", "28", "39"] and lines[-1].text.endswith("(not listed individually).")
+    assert lines[0].text == "33% of tickets: The card was charged anew." and lines[0].citations == ["P1", "R1"]
 
 
 def test_attempts(spark, src):
@@ -133,7 +136,7 @@ def test_siblings_share_numbering(spark, cases):
     r = G.apply_selection(G.similarity_gate(cases), picks(spark, [(0, 1, 3)]))
     s = G.with_sources(G.route(r.where("query_id = 0"), drafts(spark, (0, 1, GOOD)), siblings=2)).first()
     kinds = [line[:4] for line in s.source_lines]
-    assert kinds[:4] == ["[P1]", "[R1]", "[R2]", "[R3]"] and kinds.count("[P2]") == 1 and kinds.count("[P3]") == 1
+    assert kinds[:5] == ["[P1]", "[R1]", "[R2]", "[R3]", "[R4]"] and kinds.count("[P2]") == 1 and kinds.count("[P3]") == 1
     assert len(s.rids) == len(set(s.rids)) == sum(k.startswith("[R") for k in kinds)
 
 
@@ -142,7 +145,7 @@ def test_claims_and_prompts(spark, cases):
     c = G.claims(a.where("query_id = 0")).orderBy("id").collect()
     assert [(r.id, r.kind) for r in c] == [(1, "summary"), (2, "step")]
     block = cases.where("query_id = 2").select(G.candidate_block(F.col("hits"))).first()[0]
-    assert block.startswith("1. Road / Deep hole\n   agency evidence: The crew filled the hole and left a sign.")
+    assert block.startswith("1. Parcel / Arrived wet\n   agency evidence: A new parcel was sent.")
 
 
 def test_triage_needs_no_outside_step(spark, history):

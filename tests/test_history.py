@@ -12,7 +12,7 @@ from caselore.session import fresh_path
 from caselore.sources import state as S
 from caselore.sources import tickets as K
 from caselore.streaming import jobs as J
-from conftest import COLUMNS, CORE, FAST, LIGHT, make_tickets
+from conftest import COLUMNS, OPEN, PLAN, SETTLED, SIZE, SPLIT, TOTAL, tickets
 
 
 def raw(spark, **changes):
@@ -50,14 +50,14 @@ def test_tiers(spark, history):
     assert [r[0] for r in edges.select(P.assign_tier(F.col("s"), F.col("n"))).collect()] == [
         "fast_lookup", "rag_light", "rag_light", "rag_core", "rag_light"]
     tiers = {r.complaint_type: r.tier for r in history.patterns.collect()}
-    assert tiers == {"Street Noise": "rag_core", "Radiator": "rag_light", "Road": "fast_lookup"}
+    assert tiers == {OPEN: "rag_core", SPLIT: "rag_light", SETTLED: "fast_lookup"}
 
 
 def test_shares_sum_to_one_and_nest(spark, history):
     o = P.outcome_table(history.counts)
     assert all(abs(r.s - 1) < 1e-9 for r in o.groupBy("pattern_id").agg(F.sum("share_raw").alias("s")).collect())
     nested = P.nest_outcomes(o, page=2).collect()
-    assert sorted((r.page_no, len(r.resolution_dist)) for r in nested) == [(0, 1), (0, 2), (0, 2), (1, 1)]
+    assert sorted((r.page_no, len(r.resolution_dist)) for r in nested) == [(0, 2), (0, 2), (0, 2), (1, 1), (1, 2)]
 
 
 def test_contract(spark):
@@ -79,77 +79,115 @@ def test_resume_and_lines(spark):
     assert sorted(r.value for r in K.read_lines(spark, path).collect()) == ["a", "b"]
 
 
-NEW = (("Telephone", "No tone"), [("The line was repaired.", 14), ("The box was replaced.", 11), ("No fault was found.", 10)])
+# A batch: one class nobody has seen, and more tickets of the class without a majority.
+FRESH = [("Ticket machine", "Keeps the coin", "The coin was returned.", 21), ("Ticket machine", "Keeps the coin", "The machine was emptied.", 8)]
+MORE = [(OPEN, "Refused at the gate", "A fee was still open.", 17)]
+FRESH_SIZE, MORE_SIZE = 29, 17
 
 
 @pytest.fixture()
 def state(spark):
     root = fresh_path(spark, "state")
-    return root, I.init_state(spark, root, C.clean_tickets(make_tickets(spark)))
+    return root, I.init_state(spark, root, C.clean_tickets(tickets(spark)))
 
 
 def test_batch_equals_rebuild(spark, state):
     root, old = state
-    batch = make_tickets(spark, (NEW, (LIGHT[0], [("Nobody opened the door.", 20)])), prefix="N")
+    batch = tickets(spark, FRESH + MORE, "B")
     report = I.apply_batch(spark, root, batch)
     s = report.summary.first()
-    assert (s.ingested, s.duplicates_skipped, s.new_patterns, s.updated_patterns, s.new_resolutions) == (55, 0, 1, 1, 3)
-    assert [r.pattern for r in report.new_patterns.collect()] == ["Telephone. No tone (n=35)"]
+    assert (s.ingested, s.duplicates_skipped, s.new_patterns, s.updated_patterns, s.new_resolutions) == (46, 0, 1, 1, 2)
+    assert [r.pattern for r in report.new_patterns.collect()] == [f"Ticket machine. Keeps the coin (n={FRESH_SIZE})"]
     now = S.current(spark, root)
-    whole = P.build_patterns(C.clean_tickets(make_tickets(spark).unionByName(batch)))
-    cols = [c for c in whole.columns]
-    assert sorted(map(tuple, now.patterns.select(cols).collect())) == sorted(map(tuple, whole.collect()))
-    assert now.vectors.count() == 4 and old.patterns.count() == 3 and old.tickets.count() == 140
+    whole = P.build_patterns(C.clean_tickets(tickets(spark).unionByName(batch)))
+    assert sorted(map(tuple, now.patterns.select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert now.vectors.count() == 4 and old.patterns.count() == 3 and old.tickets.count() == TOTAL
 
 
 def test_replay_and_repeats(spark, state):
     root, _ = state
-    again = I.apply_batch(spark, root, make_tickets(spark)).summary.first()
-    assert (again.ingested, again.duplicates_skipped) == (0, 140) and S.current(spark, root).v == 0
+    again = I.apply_batch(spark, root, tickets(spark)).summary.first()
+    assert (again.ingested, again.duplicates_skipped) == (0, TOTAL) and S.current(spark, root).v == 0
     one = raw(spark, unique_key="twice")
     both = one.unionByName(one)
     assert I.apply_batch(spark, root, both).summary.first().ingested == 2
     clean = C.clean_tickets(both)
     assert D.dedupe_against_state(clean, clean.limit(0), dedupe_within_batch=True).count() == 1
-    assert spark.read.json(f"{root}/audit").count() == 1
+    assert S.audit(spark, root).count() == 1
 
 
 def test_examples_index_new_classes(spark, state):
     root, _ = state
-    batch = make_tickets(spark, (NEW,), prefix="N")
+    batch = tickets(spark, FRESH, "B")
     pid = C.clean_tickets(batch).first().pattern_id
-    ex = spark.createDataFrame([(pid, [f"my telephone is silent {i}" for i in range(20)]), ("unknown", ["x"])], K.EXAMPLE_SCHEMA)
+    ex = spark.createDataFrame([(pid, [f"the machine ate coin {i}" for i in range(20)]), ("unknown", ["x"])], K.EXAMPLE_SCHEMA)
     s = I.apply_batch(spark, root, batch, examples=ex).summary.first()
     assert s.examples_generated == 20 and s.index_vectors == 3 + 16
     assert X.id_check(S.current(spark, root).vectors).first().ids_unique
+    assert S.current(spark, root).doc_format == I.WITH_EXAMPLES
+
+
+def test_doc_format_stays(spark, state):
+    root, _ = state
+    I.apply_batch(spark, root, tickets(spark, FRESH, "B"))
+    assert S.current(spark, root).doc_format == I.LABEL_ONLY
 
 
 def test_model_mismatch_is_refused(spark, state):
     with pytest.raises(ValueError, match="index built with"):
-        I.apply_batch(spark, state[0], make_tickets(spark, (NEW,), prefix="N"), model="other")
+        I.apply_batch(spark, state[0], tickets(spark, FRESH, "B"), model="other")
     assert S.current(spark, state[0]).v == 0
 
 
+def test_second_first_load_is_refused(spark, state):
+    root, _ = state
+    I.apply_batch(spark, root, tickets(spark, FRESH, "B"))
+    with pytest.raises(ValueError, match="already holds version 1"):
+        I.init_state(spark, root, C.clean_tickets(tickets(spark, MORE, "C")))
+    assert S.current(spark, root).tickets.count() == TOTAL + FRESH_SIZE
+
+
+def test_only_a_missing_folder_means_no_state(spark, tmp_path):
+    assert S.current(spark, str(tmp_path / "nothing")) is None
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        S.current(spark, "nosuchscheme://x/y")
+
+
+def test_audit_belongs_to_committed_versions(spark, state):
+    root, _ = state
+    I.apply_batch(spark, root, tickets(spark, FRESH + MORE, "B"))
+    row = S.audit(spark, root).first()
+    assert (row.v, row.new_patterns, row.updated_patterns, row.closed) == (1, 1, 1, 46)
+    kinds = {(r.change, r.pattern): (r.tier_from, r.tier_to) for r in S.audit_changes(spark, root).collect()}
+    assert kinds["new", f"Ticket machine. Keeps the coin (n={FRESH_SIZE})"] == (None, "rag_light")
+    # an attempt that died before its commit leaves an audit nobody sees
+    spark.range(1).selectExpr("9L as received").write.json(f"{root}/audit/v=2")
+    assert S.audit(spark, root).count() == 1
+    I.apply_batch(spark, root, tickets(spark, FRESH, "C"))
+    assert sorted(r.v for r in S.audit(spark, root).collect()) == [1, 2]
+    assert {r.received for r in S.audit(spark, root).collect()} == {46, FRESH_SIZE}
+
+
 def test_uncommitted_files_stay_invisible(spark, state):
     root, _ = state
-    S.put_batch(C.clean_tickets(make_tickets(spark, (NEW,), prefix="N")), root, "tickets", 1)
-    assert S.current(spark, root).tickets.count() == 140
-    I.apply_batch(spark, root, make_tickets(spark, (NEW,), prefix="M"))
-    assert S.current(spark, root).tickets.count() == 175
+    S.put_batch(C.clean_tickets(tickets(spark, FRESH, "B")), root, "tickets", 1)
+    assert S.current(spark, root).tickets.count() == TOTAL
+    I.apply_batch(spark, root, tickets(spark, MORE, "C"))
+    assert S.current(spark, root).tickets.count() == TOTAL + MORE_SIZE
 
 
 def test_stream_equals_batch(spark, state):
     root, _ = state
     other = fresh_path(spark, "state")
-    I.init_state(spark, other, C.clean_tickets(make_tickets(spark)))
-    batch = make_tickets(spark, (NEW, FAST), prefix="N")
+    I.init_state(spark, other, C.clean_tickets(tickets(spark)))
+    batch = tickets(spark, FRESH + PLAN[:2], "B")
     I.apply_batch(spark, other, batch)
     inbox = fresh_path(spark, "inbox")
     batch.repartition(2).write.parquet(inbox)
     q = J.stream_ingest(J.ticket_files(spark, inbox, batch.schema, 1), root, fresh_path(spark, "cp"))
     q.awaitTermination()
     a, b = S.current(spark, root), S.current(spark, other)
-    assert a.v == 2 and b.v == 1
+    assert a.v == 2 and b.v == 1 and b.tickets.count() == TOTAL + FRESH_SIZE + SIZE[SETTLED]
     assert sorted(map(tuple, a.patterns.collect())) == sorted(map(tuple, b.patterns.collect()))
 
 
@@ -166,7 +204,3 @@ def test_hysteresis(spark):
     new = make([("p", "a", "b", "", 60, "rag_core", 0.495), ("q", "a", "c", "", 60, "rag_core", 0.4)])
     assert D.tier_changes(new, old).count() == 2
     assert [r.pattern_id for r in D.tier_changes(new, old, margin=0.02).collect()] == ["q"]
-
-
-def test_core_fixture_names_are_used(history):
-    assert {r.descriptor for r in history.patterns.collect()} == {CORE[0][1], LIGHT[0][1], FAST[0][1]}
