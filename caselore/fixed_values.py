@@ -46,6 +46,7 @@ OPENING_MAX_WORDS = 35
 REMAINDER_MIN = 0.02
 
 # --- fixed values: sentences ---
+NO_DURATION = "nan hours"
 CUT_NOTE = " [text cut off in the source data]"
 REMAINDER_TEXT = "Other recorded resolutions (not listed individually)."
 EMERGENCY_NOTE = ("If there is immediate danger to life or safety, tell the customer to call 911. "

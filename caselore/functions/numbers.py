@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
+
 _SPLIT = 134217729.0  # 2**27 + 1: splits a double into two halves whose small products are exact
 
 
@@ -52,14 +54,14 @@ def fixed_places(x: Column, digits: int) -> Column:
 
 
 def format_duration(hours: Column) -> Column:
-    """Hours with one decimal; from 48 hours on the rounded days are added."""
+    """Hours with one decimal; from 48 hours on the rounded days are added. Missing hours have a fixed text."""
 
     def text(h: Column) -> Column:
         short = F.concat(fixed_places(h, 1), F.lit(" hours"))
         days = round_half_even(h / 24).cast("bigint").cast("string")
         return F.when(h >= 48, F.concat(short, F.lit(" (about "), days, F.lit(" days)"))).otherwise(short)
 
-    return let(hours, text)
+    return F.coalesce(let(hours, text), F.lit(V.NO_DURATION))
 
 
 def support_bucket(n: Column, buckets) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.numbers import round_half_even, support_bucket
+from ..session import materialise
 from . import patterns as P
 from .changes import dedupe_against_state
 
@@ -18,17 +19,30 @@ VALUES = ["seen", "type_seen", "res_seen", "p_pattern", "p_type", "p_global", "t
           "pred_top1_share"]
 
 
-def scored_pairs(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Distinct (pattern, outcome) pairs of the test tickets with their count and all backtest values."""
+def history_counts(train: DataFrame) -> DataFrame:
+    """The tickets per (pattern, outcome), written: the history is read once and every lookup is a sum of these rows."""
+    return materialise(P.outcome_counts(train), "history")
+
+
+def _shares(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Share of each outcome per key (overall without keys), out of the counts."""
+    per = counts.groupBy(*keys, "resolution_id").agg(F.sum("count").alias("n"))
+    return P.shares(per, keys).select(*keys, "resolution_id", F.col("share").alias(name))
+
+
+def scored_pairs(counts: DataFrame, test: DataFrame) -> DataFrame:
+    """Distinct (pattern, outcome) pairs of the test tickets with their count and all backtest values.
+
+    ``counts`` is ``history_counts`` of the training tickets.
+    """
     pairs = test.groupBy("pattern_id", "complaint_type", "resolution_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = P.outcome_counts(train)
     known = P.pattern_volume(counts).select(
         "pattern_id", F.lit(True).alias("seen"), "tier", F.col("total_cases").alias("train_n"),
         round_half_even(F.col("top1_raw"), 4).alias("pred_top1_share"))
     ranked = P.outcome_table(counts).select("pattern_id", "resolution_id", F.col("share").alias("p_pattern"), "rank")
-    by_type = P.type_dist(train).select("complaint_type", "resolution_id", F.col("share").alias("p_type"))
-    types = train.select("complaint_type").distinct().withColumn("type_seen", F.lit(True))
-    overall = P.global_dist(train).select("resolution_id", F.col("share").alias("p_global"))
+    by_type = _shares(counts, ["complaint_type"], "p_type")
+    types = counts.select("complaint_type").distinct().withColumn("type_seen", F.lit(True))
+    overall = _shares(counts, [], "p_global")
     j = (pairs.join(known, "pattern_id", "left").join(ranked, ["pattern_id", "resolution_id"], "left")
          .join(types, "complaint_type", "left").join(by_type, ["complaint_type", "resolution_id"], "left")
          .join(overall, "resolution_id", "left"))
@@ -47,7 +61,7 @@ def scored_pairs(train: DataFrame, test: DataFrame) -> DataFrame:
 def backtest_rows(train: DataFrame, test: DataFrame) -> DataFrame:
     """One row per later ticket; tickets already in the history are skipped."""
     test = dedupe_against_state(test, train)
-    pairs = scored_pairs(train, test).drop("n")
+    pairs = scored_pairs(history_counts(train), test).drop("n")
     return test.select("unique_key", "pattern_id", "resolution_id").join(
         pairs, ["pattern_id", "resolution_id"]).select("unique_key", "pattern_id", *VALUES)
 
@@ -65,7 +79,7 @@ def _means(d: DataFrame, keys: list[str]) -> DataFrame:
 
 def backtest_summary(train: DataFrame, test: DataFrame) -> DataFrame:
     """Means over the tickets of known patterns: overall, by tier, by support. One pass over the weighted pairs."""
-    s = scored_pairs(train, dedupe_against_state(test, train)).where("seen")
+    s = scored_pairs(history_counts(train), dedupe_against_state(test, train)).where("seen")
     views = F.array(
         F.struct(F.lit("overall").alias("part"), F.lit("overall").alias("bucket")),
         F.struct(F.lit("tier").alias("part"), F.col("tier").alias("bucket")),
@@ -74,7 +88,8 @@ def backtest_summary(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def backtest_totals(train: DataFrame, test: DataFrame) -> DataFrame:
-    s = scored_pairs(train, dedupe_against_state(test, train))
+    counts = history_counts(train)
+    s = scored_pairs(counts, dedupe_against_state(test, train))
 
     def share(c):
         return round_half_even(100 * F.sum(F.when(F.col(c), F.col("n")).otherwise(0)) / F.sum("n"), 2)
@@ -82,4 +97,4 @@ def backtest_totals(train: DataFrame, test: DataFrame) -> DataFrame:
     out = s.agg(F.sum("n").alias("test_tickets"), share("seen").alias("pattern_seen_pct"),
                 share("type_seen").alias("complaint_type_seen_pct"), share("res_seen").alias("resolution_template_seen_pct"),
                 F.countDistinct(F.when(~F.col("seen"), F.col("pattern_id"))).alias("new_patterns"))
-    return out.withColumn("train_tickets", train.agg(F.count(F.lit(1))).scalar())
+    return out.withColumn("train_tickets", counts.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar())

@@ -110,15 +110,15 @@ def nest_outcomes(ranked: DataFrame, page: int = PAGE) -> DataFrame:
 
 def global_dist(tickets: DataFrame) -> DataFrame:
     n = tickets.groupBy("resolution_id").agg(F.count(F.lit(1)).alias("n"))
-    return _shares(n, [])
+    return shares(n, [])
 
 
 def type_dist(tickets: DataFrame) -> DataFrame:
     n = tickets.groupBy("complaint_type", "resolution_id").agg(F.count(F.lit(1)).alias("n"))
-    return _shares(n, ["complaint_type"])
+    return shares(n, ["complaint_type"])
 
 
-def _shares(n: DataFrame, keys: list[str]) -> DataFrame:
+def shares(n: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
         out = n.join(n.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
     else:

@@ -204,16 +204,17 @@ def is_truncated(spark, sf):
 
 
 def _duration_sql(h: str) -> str:
-    return f"""case when {h} >= 48 then format('{{:.1f}} hours (about {{:.0f}} days)', {h}, ({h}) / 24)
+    return f"""case when {h} is null then '{V.NO_DURATION}' when {h} >= 48 then format('{{:.1f}} hours (about {{:.0f}} days)', {h}, ({h}) / 24)
  else format('{{:.1f}} hours', {h}) end"""
 
 
 @query("format_duration", f"""
-select event_id, {_duration_sql('value')} as short, {_duration_sql('value * 10')} as long,
+select event_id, {_duration_sql('case when event_id % 10 <> 0 then value end')} as unknown, {_duration_sql('value')} as short, {_duration_sql('value * 10')} as long,
  format('{{:.4f}}', value / 7)::double as rounded from events""")
 def format_duration(spark, sf):
     v = F.col("value")
-    return table(spark, sf, "events").select("event_id", N.format_duration(v).alias("short"),
+    some = F.when(F.col("event_id") % 10 != 0, v)
+    return table(spark, sf, "events").select("event_id", N.format_duration(some).alias("unknown"), N.format_duration(v).alias("short"),
                                              N.format_duration(v * 10).alias("long"),
                                              N.round_half_even(v / 7, 4).alias("rounded"))
 

@@ -3,7 +3,7 @@
 RAW = """raw as (
  select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as unique_key,
   cast(o_orderdate as varchar) as created_date,
-  case when l_discount = 0.05 and l_tax = 0.03 then 'pending' else cast(l_shipdate as varchar) end as closed_date,
+  case when l_discount = 0.05 and l_tax = 0.03 or p_size = 50 and p_partkey % 3 = 0 then 'pending' else cast(l_shipdate as varchar) end as closed_date,
   case when o_orderdate >= timestamp '2000-10-01' and p_size = 1 then 'NEWTYPE' else p_type end as complaint_type,
   case when p_size = 50 then concat(p_brand, ' ', p_name) else p_brand end as descriptor,
   case when o_orderpriority = '4-NOT SPECIFIED' then ' N/A ' else o_orderpriority end as descriptor_2,

@@ -34,13 +34,16 @@ vq as (select query_id, in_domain, gold_pattern, gold_type, list_transform(q, la
   case when label <> 9 then complaint_type end as gold_type,
   list_transform(range(1, 65), lambda i: e[i] * 0.45::double + e[65 - i]) as q from emb) t),
 vraw as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as unique_key,
-  cast(o_orderdate as varchar) as created_date, cast(l_shipdate as varchar) as closed_date, complaint_type, descriptor,
+  cast(o_orderdate as varchar) as created_date,
+  case when vec_id // 16 % 9 = 2 then 'pending' else cast(l_shipdate as varchar) end as closed_date,
+  concat('CLASS ', label) as complaint_type, descriptor,
   '' as descriptor_2, 'Closed' as status,
   case when label % 3 = 0 and l_quantity <= 48 then 'Returned in full. The unit was checked on arrival and found complete.'
    when label % 3 = 1 and l_quantity <= 28 then 'Refunded. No further action.'
    else concat('Recorded as ', l_returnflag, l_linestatus, ' in step ', l_linenumber,
     '. The case was closed after review! See note.') end as resolution_description
- from lineitem join emb on l_partkey = vec_id join orders on l_orderkey = o_orderkey where label <> 9),
+ from lineitem join (select vec_id, descriptor, case when label = 9 then vec_id % 9 else label end as label from emb) z
+ on l_partkey % (select count(*) from emb) = vec_id join orders on l_orderkey = o_orderkey),
 """ + clean_of("vraw", "vclean") + ",\n" + patterns_of("vclean", "v_") + """,
 pairs as (select query_id, in_domain, gold_pattern, gold_type, i.vec_id, i.pattern_id, total_cases,
   round(list_dot_product(q, e), 9) as score from vq, vindex i left join v_patterns p on i.pattern_id = p.pattern_id),

@@ -17,15 +17,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A single small file is one task however many cores there are; deal its rows out. Large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def tickets_raw(spark: SparkSession, sf: str) -> DataFrame:
     """All-string tickets out of lineitem x orders x part."""
-    li = spread(table(spark, sf, "lineitem"))
+    li = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders")
     p = table(spark, sf, "part")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
@@ -33,7 +27,8 @@ def tickets_raw(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("unique_key"),
         F.col("o_orderdate").cast("string").alias("created_date"),
-        F.when((F.col("l_discount") == 0.05) & (F.col("l_tax") == 0.03), "pending")
+        F.when((F.col("l_discount") == 0.05) & (F.col("l_tax") == 0.03) | (F.col("p_size") == 50) & (F.col("p_partkey") % 3 == 0),
+               "pending")
         .otherwise(F.col("l_shipdate").cast("string")).alias("closed_date"),
         F.when(late & (F.col("p_size") == 1), "NEWTYPE").otherwise(F.col("p_type")).alias("complaint_type"),
         F.when(F.col("p_size") == 50, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.col("p_brand"))
@@ -99,16 +94,24 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_tickets(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw tickets of the parts that have an embedding (part number = vector number)."""
-    e = indexed_embeddings(spark, sf).where(F.col("label") != OUT_OF_DOMAIN).drop("embedding", "pattern_id", "slot")
-    li = spread(table(spark, sf, "lineitem"))
+    """Raw tickets of all parts: part number modulo the number of vectors names the vector whose class a ticket has.
+
+    A vector outside the domain lends its number's class instead. The tickets of every ninth block are closed at times
+    nobody can read.
+    """
+    e = indexed_embeddings(spark, sf).drop("embedding", "pattern_id", "slot")
+    e = e.withColumn("label", F.when(F.col("label") == OUT_OF_DOMAIN, (F.col("vec_id") % OUT_OF_DOMAIN).cast("int"))
+                     .otherwise(F.col("label"))).withColumn(
+        "complaint_type", F.concat(F.lit("CLASS "), F.col("label").cast("string")))
+    li = table(spark, sf, "lineitem").withColumn(
+        "vec", F.col("l_partkey") % table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar())
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    j = li.join(e, li.l_partkey == e.vec_id).join(o, li.l_orderkey == o.o_orderkey)
+    j = li.join(e, li.vec == e.vec_id).join(o, li.l_orderkey == o.o_orderkey)
     kind = F.col("label") % 3
     return j.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("unique_key"),
         F.col("o_orderdate").cast("string").alias("created_date"),
-        F.col("l_shipdate").cast("string").alias("closed_date"),
+        F.when(F.floor(F.col("vec_id") / 16) % 9 == 2, "pending").otherwise(F.col("l_shipdate").cast("string")).alias("closed_date"),
         "complaint_type", "descriptor", "descriptor_2",
         F.when((kind == 0) & (F.col("l_quantity") <= 48),
                "Returned in full. The unit was checked on arrival and found complete.")
