@@ -90,7 +90,7 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             dense.append(large.where(stuck).select("node", "v", "n"))
         if not left["on"]:
             break
-        rows = branched(sketches, large.where(~stuck))
+        rows = written(branched(sketches, large.where(~stuck)), "level")  # read twice: counted, then joined with the counts
     units = small[0]
     for more in small[1:]:
         units = units.unionByName(more)
