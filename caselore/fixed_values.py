@@ -63,3 +63,13 @@ FEEDBACK_HEAD = "\n\nYour previous answer broke these rules. Fix them:\n"
 # --- fixed values: monitoring ---
 LATENCY_BUCKETS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0]
 COSINE_BUCKETS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.74, 0.8, 0.85, 0.9, 0.95]
+
+# Alert rules - signal, comparison, limit, window, and how long the condition must have held.
+ALERT_RULES = {
+    "high_abstain_rate": ("abstain_rate", ">", 0.25, "30 minutes", 30),
+    "top_similarity_drift": ("median_top_score", "<", 0.72, "1 hour", 60),
+    "degraded_mode": ("degraded", ">", 0, "10 minutes", 10),
+    "retries_rising": ("retry_rate", ">", 0.25, "1 hour", 60),
+    "slow_answers": ("p95_latency", ">", 10, "10 minutes", 15),
+    "errors_present": ("errors", ">", 0, "5 minutes", 5),
+}

@@ -39,12 +39,16 @@ def _bucket_vectors(dim: int):
 
 
 def hash_embed(text: Column, dim: int = V.EMBED_DIM) -> Column:
-    """Bag of words hashed into ``dim`` buckets (md5), unit length. Hashing runs in the JVM, counting on Arrow batches."""
-    if dim < 1 or dim > 256 or dim & (dim - 1):
-        raise ValueError("dim must be a power of two up to 256")
+    """Bag of words hashed into ``dim`` buckets (md5), unit length. Hashing runs in the JVM, counting on Arrow batches.
+
+    As many of the last hex digits are read as ``dim`` needs, two at least.
+    """
+    if dim < 1 or dim > 1 << 24 or dim & (dim - 1):
+        raise ValueError("dim must be a power of two up to 2^24")
+    digits = max(2, -(-(dim.bit_length() - 1) // 4))
     buckets = F.transform(
         tokens(F.coalesce(text, F.lit(""))),
-        lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int") % dim)
+        lambda t: F.conv(F.substring(F.md5(t), 33 - digits, digits), 16, 10).cast("int") % dim)
     return _bucket_vectors(dim)(buckets)
 
 

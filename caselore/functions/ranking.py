@@ -13,12 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality on all keys where null equals null."""
-    conds = [left[k].eqNullSafe(right[k]) for k in keys]
-    return reduce(lambda a, b: a & b, conds, F.lit(True))
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps the left copy of the keys."""
     if not keys:
@@ -30,6 +24,9 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
 
 
+FINER = 4096
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
                   weights: dict[str, str]) -> DataFrame:
     """Add for each ``out: column`` of ``weights`` the sum over all rows that sort before this one.
@@ -67,12 +64,18 @@ def percentiles_of_counts(freq: DataFrame, keys: list[str], value: str, count: s
                           probs: dict[str, float], width: float = 1.0) -> DataFrame:
     """The same from ``(keys, value, count)`` rows that hold each value once per key.
 
+    The buckets that hold a wanted rank are split again into ``FINER`` parts each, so that what has to be put in order
+    stays small however many values a step of ``width`` holds.
+
     Null values weigh nothing instead of being filtered out: a filter would be pushed into the plan below and keep it
     from being shared with other readers of the same counts.
     """
+    def weight(c: Column) -> Column:
+        return F.sum(F.when(F.col("__v").isNotNull(), c).otherwise(0))
+
     freq = freq.select(*keys, F.col(value).cast("double").alias("__v"), F.col(count).alias("__n"),
                        F.floor(F.col(value) / F.lit(float(width))).alias("__b"))
-    hist = freq.groupBy(*keys, "__b").agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0)).alias("__bn"))
+    hist = freq.groupBy(*keys, "__b").agg(weight(F.col("__n")).alias("__bn"))
     run = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*keys, "__b", "__bn",
                        F.coalesce(F.sum("__bn").over(run), F.lit(0)).alias("__from"),
@@ -89,8 +92,14 @@ def percentiles_of_counts(freq: DataFrame, keys: list[str], value: str, count: s
         wanted += [within(F.floor(rank(p)), F.col("__from"), F.col("__bn")),
                    within(F.ceil(rank(p)), F.col("__from"), F.col("__bn"))]
     picked = hist.where(reduce(lambda a, b: a | b, wanted)).select(*keys, "__b", "__from", "__total")
-    rows = join_on(freq, picked, [*keys, "__b"])
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = join_on(freq, picked, [*keys, "__b"]).withColumn("__c", F.floor(F.col("__v") / F.lit(width / FINER)))
+    fine = rows.groupBy(*keys, "__b", "__c").agg(weight(F.col("__n")).alias("__bn"), F.max("__from").alias("__from"),
+                                                 F.max("__total").alias("__total"))
+    run = Window.partitionBy(*keys, "__b").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("__from", F.col("__from") + F.coalesce(F.sum("__bn").over(run), F.lit(0)))
+    picked = fine.where(reduce(lambda a, b: a | b, wanted)).select(*keys, "__b", "__c", "__from", "__total")
+    rows = join_on(rows.drop("__from", "__total"), picked, [*keys, "__b", "__c"])
+    inside = Window.partitionBy(*keys, "__b", "__c").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__start", F.col("__from") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     aggs = []
     for name, p in probs.items():

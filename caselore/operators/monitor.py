@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -112,16 +112,13 @@ def alert_windows_direct(log: DataFrame, window: str, slide: str = SLIDE) -> Dat
 
 def with_alerts(windows: DataFrame) -> DataFrame:
     """Which limits a window breaks."""
-    rules = [("high_abstain_rate", F.col("abstain_rate") > 0.25), ("top_similarity_drift", F.col("median_top_score") < 0.72),
-             ("degraded_mode", F.col("degraded") > 0), ("retries_rising", F.col("retry_rate") > 0.25),
-             ("slow_answers", F.col("p95_latency") > 10), ("errors_present", F.col("errors") > 0)]
+    rules = [(name, F.col(signal) > limit if sign == ">" else F.col(signal) < limit)
+             for name, (signal, sign, limit, _, _) in V.ALERT_RULES.items()]
     fired = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules]), lambda x: x.isNotNull())
     return windows.withColumn("alerts", fired)
 
 
-# the windows of the six rules
-ALERT_WINDOWS = {"high_abstain_rate": "30 minutes", "top_similarity_drift": "1 hour", "degraded_mode": "10 minutes",
-                 "retries_rising": "1 hour", "slow_answers": "10 minutes", "errors_present": "5 minutes"}
+ALERT_WINDOWS = {name: rule[3] for name, rule in V.ALERT_RULES.items()}
 
 
 def window_alerts(log: DataFrame) -> DataFrame:
@@ -136,6 +133,36 @@ def window_alerts(log: DataFrame) -> DataFrame:
     return parts
 
 
+def alert_states(log: DataFrame, slide_minutes: int = 5) -> DataFrame:
+    """(alert, window_end, since, state): a broken rule is pending, and firing once it has been broken for its hold time.
+
+    Rules are judged every five minutes, at the ends of their windows; a window in which the rule is kept, or without any
+    request, starts the count anew. There are as many rows as broken windows, whatever the log holds.
+    """
+    broken = window_alerts(log).select("alert", F.col("window_end").alias("at"))
+    order = Window.partitionBy("alert").orderBy("at")
+    step = F.expr(f"interval {slide_minutes} minutes")
+    starts = F.when(F.lag("at").over(order) == F.col("at") - step, 0).otherwise(1)
+    runs = broken.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order))
+    runs = runs.withColumn("since", F.min("at").over(Window.partitionBy("alert", "run")))
+    hold = F.create_map(*[x for name, rule in V.ALERT_RULES.items() for x in (F.lit(name), F.lit(rule[4]))])[F.col("alert")]
+    held = F.timestamp_diff("MINUTE", F.col("since"), F.col("at"))
+    return runs.select("alert", F.col("at").alias("window_end"), "since",
+                       F.when(held >= hold, "firing").otherwise("pending").alias("state"))
+
+
+def stage_histogram(log: DataFrame) -> DataFrame:
+    """Latency histogram per stage, in seconds; ``stage_ms`` maps a stage to its milliseconds, "total" among them."""
+    staged = log.select(F.explode("stage_ms").alias("stage", "ms")).where("ms is not null")
+    return histogram_le(staged, F.col("ms") / 1000, V.LATENCY_BUCKETS, ("stage",))
+
+
+def stage_means(log: DataFrame) -> DataFrame:
+    """Mean milliseconds of each stage over the answered requests, by method."""
+    staged = log.where(~F.col("abstained")).select("method", F.explode("stage_ms").alias("stage", "ms")).where("ms is not null")
+    return staged.groupBy("method", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"))
+
+
 # --- report over answers ---
 
 

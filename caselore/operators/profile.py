@@ -62,23 +62,50 @@ def column_values(df: DataFrame) -> DataFrame:
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def missing_profile(df: DataFrame) -> DataFrame:
-    missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
-    return column_values(df).groupBy("column_name").agg(
-        missing.alias("missing_count"), pct(missing, F.sum("n")).alias("missing_pct"),
-        F.count("value").alias("unique_values"))
+def column_counts(df: DataFrame, **counts: Callable[[Column], Column]) -> DataFrame:
+    """(column_name, rows, the named aggregates): one plain aggregate over the table, no row is multiplied."""
+    row = df.agg(F.array(*[F.struct(
+        F.lit(f.name).alias("column_name"), F.count(F.lit(1)).alias("rows"),
+        *[fn(_as_text(f)).alias(name) for name, fn in counts.items()]) for f in df.schema]).alias("c"))
+    return row.select(F.inline("c"))
 
 
-def table_summary(df: DataFrame) -> DataFrame:
-    """Per column: filled rows, type, distinct values, the most frequent value (ties: the smaller one) and its count."""
+def distinct_values(df: DataFrame, unique: tuple[str, ...] = ()) -> DataFrame:
+    """(column_name, unique_values); of a column known to be unique only the filled rows are counted."""
+    others = df.drop(*unique)
+    counted = column_values(others).where(F.col("value").isNotNull()).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("unique_values"))
+    known = [c for c in unique if c in df.columns]
+    if known:
+        counted = counted.unionByName(column_counts(df.select(*known), unique_values=F.count).select("column_name", "unique_values"))
+    return counted
+
+
+def missing_profile(df: DataFrame, unique: tuple[str, ...] = ()) -> DataFrame:
+    c = column_counts(df, missing_count=lambda x: F.count_if(x.isNull()))
+    return c.join(distinct_values(df, unique), "column_name", "left").select(
+        "column_name", "missing_count", pct(F.col("missing_count"), F.col("rows")).alias("missing_pct"),
+        F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
+
+
+def table_summary(df: DataFrame, unique: tuple[str, ...] = ()) -> DataFrame:
+    """Per column: filled rows, type, distinct values, the most frequent value (ties: the smaller one) and its count.
+
+    A column known to be unique needs no counting of values: each occurs once, and the smallest is the first.
+    """
     types = F.create_map(*[x for f in df.schema for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
-    filled = column_values(df).where(F.col("value").isNotNull())
+    filled = column_values(df.drop(*unique)).where(F.col("value").isNotNull())
     # max_by needs one order: more rows first, then the smaller text. min over (-n, value) says exactly that.
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
     got = filled.groupBy("column_name").agg(F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct_values"),
                                             best.alias("b"))
-    return got.select("column_name", types[F.col("column_name")].alias("type"), "filled", "distinct_values",
-                      F.col("b.value").alias("top_value"), (-F.col("b.neg")).alias("top_count"))
+    got = got.select("column_name", "filled", "distinct_values", F.col("b.value").alias("top_value"), (-F.col("b.neg")).alias("top_count"))
+    known = [c for c in unique if c in df.columns]
+    if known:
+        once = column_counts(df.select(*known), filled=F.count, top_value=F.min).where("filled > 0")
+        got = got.unionByName(once.select("column_name", "filled", F.col("filled").alias("distinct_values"), "top_value",
+                                          F.lit(1).cast("bigint").alias("top_count")))
+    return got.select("column_name", types[F.col("column_name")].alias("type"), "filled", "distinct_values", "top_value", "top_count")
 
 
 def nested_type_audit(df: DataFrame) -> DataFrame:
@@ -109,11 +136,11 @@ def crosstab_margins(df: DataFrame) -> DataFrame:
 
 
 def na_audit(df: DataFrame, cols: list[str]) -> DataFrame:
-    v = column_values(df.select(*cols))
-    na = F.upper(F.btrim("value", F.lit(WHITE_SPACE))) == "N/A"
-    return v.groupBy("column_name").agg(
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-        F.sum(F.when(na, F.col("n")).otherwise(0)).alias("na_text"), F.count("value").alias("unique_values"))
+    d = df.select(*cols)
+    c = column_counts(d, missing=lambda x: F.count_if(x.isNull()),
+                      na_text=lambda x: F.count_if(F.upper(F.btrim(x, F.lit(WHITE_SPACE))) == "N/A"))
+    return c.join(distinct_values(d), "column_name", "left").select(
+        "column_name", "missing", "na_text", F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
 
 
 def distinct_per_group(df: DataFrame, keys: list[str], value: str, name: str = "n_distinct",

@@ -21,9 +21,9 @@ from .shared import stored
 # --- check SQL ---
 
 MAIN = PICKS + """,
-m1 as (select t.*, t.top_score < 0.4::double as low, s.selected_candidate,
-  t.top_score >= 0.4::double and s.selected_candidate is not null as asked, d.doc_id is not null as has_draft
- from picked t join sel s on t.query_id = s.query_id left join documents d on d.doc_id = t.query_id),
+m1 as (select d.doc_id as query_id, t.query_id as vec, t.* exclude (query_id), t.top_score < 0.4::double as low, s.selected_candidate,
+  t.top_score >= 0.4::double and s.selected_candidate is not null as asked, true as has_draft
+ from documents d join picked t on d.doc_id % (select count(*) from embeddings) = t.query_id join sel s on t.query_id = s.query_id),
 m2 as (select m1.*, not low and (not asked or (pick is not null and pp.tier <> 'fast_lookup' and not has_draft)) as degraded
  from m1 left join v_patterns pp on pick = pp.pattern_id),
 m3 as (select *, case when degraded then top1 when asked then pick end as main from m2),
@@ -39,7 +39,7 @@ def sources_sql(siblings: int) -> str:
     return f"""
 bl as (select query_id, 1 as b, main as pattern_id, n_res as k from mn where main is not null
  union all select query_id, b + 1, pattern_id, 2 from (select mn.query_id, r.pattern_id,
-  row_number() over (partition by mn.query_id order by r.rank) as b from mn join ranked r on mn.query_id = r.query_id
+  row_number() over (partition by mn.query_id order by r.rank) as b from mn join ranked r on mn.vec = r.query_id
   where main is not null and tier = 'rag_core' and not degraded and r.pattern_id <> main) z where b <= {siblings}),
 sh as (select bl.query_id, b, o.rank, o.resolution_id, o.share, c.resolution_description as text from bl
  join v_outcomes o on o.pattern_id = bl.pattern_id and o.rank <= k join v_catalogue c on c.resolution_id = o.resolution_id),
@@ -145,7 +145,7 @@ def searched(spark, sf):
 
 
 def routed(spark, sf, siblings=0):
-    picked = G.apply_selection(G.similarity_gate(cases(spark, sf), GATE), A.selections(spark, sf))
+    picked = G.apply_selection(G.similarity_gate(cases(spark, sf), GATE), A.document_selections(spark, sf))
     return G.route(picked, A.drafts(spark, sf).select("query_id").distinct(), siblings)
 
 
@@ -162,7 +162,7 @@ def checked(spark, sf):
 
 
 def answers(spark, sf):
-    return G.answer_batch(searched(spark, sf), A.selections(spark, sf), A.drafts(spark, sf), GATE)
+    return G.answer_batch(searched(spark, sf), A.document_selections(spark, sf), A.drafts(spark, sf), GATE)
 
 
 def kept_answers(spark, sf):
@@ -180,8 +180,8 @@ def similarity_gate(spark, sf):
 
 
 @query("candidate_prompt", with_(MAIN, f"""
-select query_id, md5(string_agg(r.rank || '. ' || {_labels_sql(' / ', 'p.complaint_type p.descriptor')} || chr(10) || '   agency evidence: '
- || c.resolution_description, chr(10) order by r.rank)) as block_md5 from ranked r join v_patterns p on p.pattern_id = r.pattern_id
+select mn.query_id, md5(string_agg(r.rank || '. ' || {_labels_sql(' / ', 'p.complaint_type p.descriptor')} || chr(10) || '   agency evidence: '
+ || c.resolution_description, chr(10) order by r.rank)) as block_md5 from mn join ranked r on r.query_id = mn.vec join v_patterns p on p.pattern_id = r.pattern_id
 join v_outcomes o on o.pattern_id = r.pattern_id and o.rank = 1 join v_catalogue c on c.resolution_id = o.resolution_id group by 1"""))
 def candidate_prompt(spark, sf):
     return cases(spark, sf).select("query_id", F.md5(G.candidate_block(F.col("hits"))).alias("block_md5"))
@@ -191,7 +191,7 @@ def candidate_prompt(spark, sf):
 select query_id, asked, case when asked then pick end as pattern_id, {REASON} as abstain_reason,
  case when asked then severity end as severity, case when asked then sentiment end as sentiment from mn"""))
 def apply_selection(spark, sf):
-    a = G.apply_selection(G.similarity_gate(cases(spark, sf), GATE), A.selections(spark, sf))
+    a = G.apply_selection(G.similarity_gate(cases(spark, sf), GATE), A.document_selections(spark, sf))
     return a.select("query_id", "asked", "picked.pattern_id", "abstain_reason", "severity", "sentiment")
 
 
@@ -477,6 +477,25 @@ def histogram_le(spark, sf):
     return a.unionByName(b).withColumn("sum", F.round("sum", 6))
 
 
+STAGES = LOG + """,
+staged as (select 'total' as stage, method, abstained, total_ms as ms from log union all select 'retrieve', method, abstained, total_ms / 4 from log
+ union all select 'parse', method, abstained, total_ms * 0.15::double from log where method <> 'template'
+ union all select 'generate', method, abstained, total_ms * 0.6::double from log where not abstained)"""
+
+
+@query("stage_histogram", with_(STAGES, f"""select stage, le, count(*) filter (ms / 1000 <= bound) as bucket_count, count(*) as count,
+ round(sum(ms / 1000), 6) as sum from staged, ({" union all ".join(f"select '{b}' as le, {b}::double as bound" for b in V.LATENCY_BUCKETS)}
+ union all select '+Inf', 1e308::double) b group by stage, le"""))
+def stage_histogram(spark, sf):
+    return M.stage_histogram(A.answer_log(spark, sf)).withColumn("sum", F.round("sum", 6))
+
+
+@query("stage_means", with_(STAGES, """
+select method, stage, count(*) as n, round(avg(ms), 6) as mean_ms from staged where not abstained group by method, stage"""))
+def stage_means(spark, sf):
+    return M.stage_means(A.answer_log(spark, sf))
+
+
 @query("latency_report", with_(LOG, """
 select method, floor(quantile_cont(total_ms, 0.5))::bigint as p50_ms, floor(quantile_cont(total_ms, 0.95))::bigint as p95_ms,
  floor(round(avg(total_ms), 6))::bigint as mean_ms from log where not abstained group by 1"""))
@@ -510,12 +529,26 @@ def alert_windows(spark, sf):
     return w.withColumns({c: F.round(c, 9) for c in ("abstain_rate", "median_top_score", "retry_rate", "p95_latency")})
 
 
-@query("window_alerts", with_(LOG, f"""
-select window_start, window_end, 'errors_present' as alert from {windows_sql(5)} a where errors > 0
+BROKEN = f"""select window_start, window_end, 'errors_present' as alert from {windows_sql(5)} a where errors > 0
 union all select window_start, window_end, 'degraded_mode' from {windows_sql(10)} b where degraded > 0
 union all select window_start, window_end, 'slow_answers' from {windows_sql(10)} c where p95_latency > 10
 union all select window_start, window_end, 'high_abstain_rate' from {windows_sql(30)} d where abstain_rate > 0.25::double
 union all select window_start, window_end, 'retries_rising' from {windows_sql(60)} e where retry_rate > 0.25::double
-union all select window_start, window_end, 'top_similarity_drift' from {windows_sql(60)} f where median_top_score < 0.72::double"""))
+union all select window_start, window_end, 'top_similarity_drift' from {windows_sql(60)} f where median_top_score < 0.72::double"""
+
+
+@query("window_alerts", with_(LOG, BROKEN))
 def window_alerts(spark, sf):
     return M.window_alerts(A.answer_log(spark, sf))
+
+
+@query("alert_states", with_(LOG + f""",
+broken as ({BROKEN}),
+marked as (select alert, window_end, case when lag(window_end) over (partition by alert order by window_end) = window_end - interval 5 minute
+ then 0 else 1 end as starts from broken),
+runs as (select *, sum(starts) over (partition by alert order by window_end) as run from marked),
+sinces as (select alert, window_end, min(window_end) over (partition by alert, run) as since from runs)""", f"""
+select alert, window_end, since, case when date_diff('minute', since, window_end) >= case alert
+ {' '.join(f"when '{n}' then {r[4]}" for n, r in V.ALERT_RULES.items())} end then 'firing' else 'pending' end as state from sinces"""))
+def alert_states(spark, sf):
+    return M.alert_states(A.answer_log(spark, sf))

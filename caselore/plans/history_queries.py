@@ -69,9 +69,9 @@ def source_pushdown(spark, sf):
 
 
 @query("date_bounded_pull", with_(EXPORT, """
-select * from export where created_date >= '1999-06-01' order by created_date, unique_key limit 10000"""))
+select * from export where created_date >= '1999-06-01' order by created_date, unique_key limit 100000"""))
 def date_bounded_pull(spark, sf):
-    return K.oldest_first(K.created_from(tickets_export(spark, sf), "1999-06-01"), 10_000)
+    return K.oldest_first(K.created_from(tickets_export(spark, sf), "1999-06-01"), 100_000)
 
 
 @query("schema_contract", with_(RAW, "select 0::bigint as missing, 3::bigint as extra_columns, count(*) as records from raw"))

@@ -34,7 +34,7 @@ def _pct(a, b):
     f"select '{c}' as column_name, count(*) - count({c}) as missing_count, {_pct(f'(count(*) - count({c}))', 'count(*)')} "
     f"as missing_pct, count(distinct {c}) as unique_values from export" for c in COLS)))
 def missing_profile(spark, sf):
-    return PR.missing_profile(ex(spark, sf))
+    return PR.missing_profile(ex(spark, sf), unique=("unique_key",))
 
 
 @query("table_summary", E(" union all ".join(
@@ -42,7 +42,7 @@ def missing_profile(spark, sf):
     f"first(v order by n desc, v) as top_value, max(n) as top_count from (select {c} as v, count(*) as n from export "
     f"where {c} is not null group by 1) t" for c in COLS)))
 def table_summary(spark, sf):
-    return PR.table_summary(ex(spark, sf))
+    return PR.table_summary(ex(spark, sf), unique=("unique_key",))
 
 
 @query("nested_type_audit", """

@@ -49,7 +49,7 @@ def stream_triage(spark, sf):
     s = Setup(spark, sf)
     cards = R.pattern_cards(s.patterns, s.counts, s.resolutions, 5)
     inbox, out = fresh_path(spark, "complaints"), fresh_path(spark, "triage")
-    complaints = s.queries.select("query_id", "embedding")
+    complaints = A.complaints(spark, sf).select("query_id", "embedding")
     complaints.write.parquet(inbox)
     q = J.stream_triage(J.ticket_files(spark, inbox, complaints.schema), s.vectors, s.volume, cards, out,
                         fresh_path(spark, "checkpoint"), GATE)

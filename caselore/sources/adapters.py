@@ -17,9 +17,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is one task (one small or unsplittable file) dealt out to the cores; anything larger stays as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+
+
 def tickets_raw(spark: SparkSession, sf: str) -> DataFrame:
     """All-string tickets out of lineitem x orders x part."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     o = table(spark, sf, "orders")
     p = table(spark, sf, "part")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
@@ -103,7 +108,7 @@ def vector_tickets(spark: SparkSession, sf: str) -> DataFrame:
     e = e.withColumn("label", F.when(F.col("label") == OUT_OF_DOMAIN, (F.col("vec_id") % OUT_OF_DOMAIN).cast("int"))
                      .otherwise(F.col("label"))).withColumn(
         "complaint_type", F.concat(F.lit("CLASS "), F.col("label").cast("string")))
-    li = table(spark, sf, "lineitem").withColumn(
+    li = spread(table(spark, sf, "lineitem")).withColumn(
         "vec", F.col("l_partkey") % table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar())
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     j = li.join(e, li.vec == e.vec_id).join(o, li.l_orderkey == o.o_orderkey)
@@ -122,14 +127,25 @@ def vector_tickets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def complaints(spark: SparkSession, sf: str) -> DataFrame:
-    """The vector queries with a complaint text (the document of the same number, if there is one)."""
-    q = vector_queries(spark, sf)
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("complaint"))
-    return q.join(d, "query_id", "left").withColumn("complaint", T.collapse(F.coalesce("complaint", F.lit(""))))
+    """Every document as a complaint; its number modulo the number of vectors names the vector query it asks with."""
+    return (_documents_by_vector(spark, sf).join(vector_queries(spark, sf).withColumnRenamed("query_id", "vec_id"), "vec_id")
+            .drop("vec_id").withColumn("complaint", T.collapse(F.coalesce("complaint", F.lit("")))))
+
+
+def _documents_by_vector(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("query_id"), F.col("text").alias("complaint"), (F.col("doc_id") % n).alias("vec_id"))
+
+
+def document_selections(spark: SparkSession, sf: str) -> DataFrame:
+    """The outside picks for the complaints: those of the vector each one asks with."""
+    picks = selections(spark, sf).withColumnRenamed("query_id", "vec_id")
+    return _documents_by_vector(spark, sf).drop("complaint").join(picks, "vec_id").drop("vec_id")
 
 
 def selections(spark: SparkSession, sf: str) -> DataFrame:
-    """Outside picks: one row per complaint, 0 = no candidate fits, null = the outside step gave no answer."""
+    """Outside picks: one row per vector query, 0 = no candidate fits, null = the outside step gave no answer."""
     e = table(spark, sf, "embeddings")
     return e.select(
         F.col("vec_id").alias("query_id"),
@@ -189,6 +205,9 @@ def log_of_events(ev: DataFrame) -> DataFrame:
         (F.col("event_id") % 5 + 1).cast("int").alias("severity"),
         (((F.col("event_id") * 37) % 500).cast("double") / 1000 + 0.5).alias("top_score"),
         (F.col("value") * 100).alias("total_ms"),
+        F.create_map(F.lit("total"), F.col("value") * 100, F.lit("retrieve"), F.col("value") * 25, F.lit("parse"),
+                     F.when(t != "purchase", F.col("value") * 15), F.lit("generate"),
+                     F.when(t != "error", F.col("value") * 60)).alias("stage_ms"),
         (F.col("event_id") % 3).cast("int").alias("first_attempt_violations"),
         (F.length("props") + F.col("event_id") % 50).alias("prompt_tokens"),
         (F.col("event_id") % 20).alias("completion_tokens"))

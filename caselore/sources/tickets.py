@@ -20,11 +20,11 @@ def null_tokens(df: DataFrame, tokens=None, cols=None) -> DataFrame:
 
 
 def read_tickets_csv(spark: SparkSession, path: str, columns: list[str] | None = None, na_tokens=None,
-                     multi_line: bool = True) -> DataFrame:
+                     multi_line: bool = False) -> DataFrame:
     """All columns as text, never inferred. Without ``columns`` the header row names them, with it they must agree.
 
-    Quoted line breaks need ``multi_line``, which reads each file as a whole; where the texts have none, turn it off
-    so that large files are split. Short rows are filled with nulls.
+    Large files are split at line ends. Texts with quoted line breaks need ``multi_line``, which reads each file as a
+    whole. Short rows are filled with nulls.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("enforceSchema", False).option("escape", '"').option(
         "mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

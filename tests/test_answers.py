@@ -179,3 +179,14 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     got = {r.window_end: tuple(r) for r in spark.read.parquet(out).select(F.col("window_end").cast("timestamp_ntz"), *cols[1:]).collect()}
     want = {r.window_end: tuple(r) for r in M.with_alerts(M.alert_windows(log, "10 minutes")).select(cols).collect()}
     assert 0 < len(got) <= len(want) and all(want[k] == v for k, v in got.items())
+
+
+def test_alerts_wait_for_their_hold_time(spark):
+    """Errors in four windows in a row fire from the second on; a gap starts anew."""
+    rows = [(m, "internal error") for m in (1, 6, 11, 16, 41)] + [(m, "none") for m in range(0, 60, 2)]
+    log = spark.createDataFrame(rows, "m int, reason string").select(
+        (F.timestamp_seconds(F.lit(1_700_000_000 // 300 * 300) + F.col("m") * 60)).cast("timestamp_ntz").alias("ts"),
+        F.lit(False).alias("abstained"), "reason", F.lit("llm").alias("method"), F.lit(0).alias("first_attempt_violations"),
+        F.lit(0.9).alias("top_score"), F.lit(100.0).alias("total_ms"))
+    got = [r.state for r in M.alert_states(log).where("alert = 'errors_present'").orderBy("window_end").collect()]
+    assert got == ["pending", "firing", "firing", "firing", "pending"]

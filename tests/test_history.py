@@ -40,7 +40,7 @@ def test_csv_eats_missing_tokens(spark):
                       raw(spark, unique_key="c", descriptor="none"), raw(spark, unique_key="d", descriptor='say "hi",\nthere')])
     path = fresh_path(spark, "csv")
     K.write_csv(df, path)
-    back = K.read_tickets_csv(spark, path)
+    back = K.read_tickets_csv(spark, path, multi_line=True)
     assert {r.unique_key: r.descriptor for r in back.collect()} == {"a": None, "b": " N/A ", "c": "none", "d": 'say "hi",\nthere'}
     assert {r.unique_key for r in C.clean_tickets(back).collect()} == {"b", "c", "d"}
 
