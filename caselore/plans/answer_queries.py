@@ -248,7 +248,7 @@ CITES = """case when (conv_id + turn) % 7 = 0 then []::varchar[] when (conv_id +
 
 @query("validate_items", f"""
 select conv_id, turn, {problem_sql('t', 'c', "['P1', 'R1', 'R2']", "['9', '24']")} as problem
-from (select conv_id, turn, {ITEM_TEXT} as t, {CITES} as c from conversations where role = 'assistant') s""")
+from (select conv_id, turn, {ITEM_TEXT} as t, {CITES} as c from conversations) s""")
 def validate_items(spark, sf):
     ids = F.array(*[F.lit(x) for x in ("P1", "R1", "R2")])
     numbers = F.array(F.lit("9"), F.lit("24"))
@@ -334,16 +334,19 @@ ANSWERED = DRAFTS + "," + outcomes_sql(3)
 TEMPLATE_SUMMARY = "format('{:.0f}%', share * 100) || ' of ' || total_cases || ' past tickets of this type ended with the same recorded resolution.'"
 
 
-@query("claims", with_(ANSWERED, f"""
-select f.query_id, 1 as id, 'summary' as kind, md5(case when method = 'llm' then f.summary else {TEMPLATE_SUMMARY} end) as text_md5
+CLAIMED = ANSWERED + f""",
+claimed as (select f.query_id, 1 as id, 'summary' as kind, case when method = 'llm' then f.summary else {TEMPLATE_SUMMARY} end as claim
 from final f join shown s on s.query_id = f.query_id and s.rank = 1
-union all select f.query_id, 1 + row_number() over (partition by f.query_id order by i.pos)::int, 'step', md5(trim(i.text)) from final f
+union all select f.query_id, 1 + row_number() over (partition by f.query_id order by i.pos)::int, 'step', trim(i.text) from final f
 join best b on b.query_id = f.query_id join items i on i.query_id = f.query_id and i.attempt = b.best_attempt
 where method = 'llm' and i.pos > 1 and i.problem is null
-union all select f.query_id, 2, 'step', md5('Tell the customer how these cases were resolved: ' || {first_sql('s.text', 2)}) from final f
+union all select f.query_id, 2, 'step', 'Tell the customer how these cases were resolved: ' || {first_sql('s.text', 2)} from final f
 join shown s on s.query_id = f.query_id and s.rank = 1 where method <> 'llm'
-union all select query_id, 3, 'step', md5('Set expectations: the median time to close was ' || {_duration_sql('median_close_hours')}
- || ', and 90% of tickets closed within ' || {_duration_sql('p90_close_hours')} || '.') from final where method <> 'llm'"""))
+union all select query_id, 3, 'step', 'Set expectations: the median time to close was ' || {_duration_sql('median_close_hours')}
+ || ', and 90% of tickets closed within ' || {_duration_sql('p90_close_hours')} || '.' from final where method <> 'llm')"""
+
+
+@query("claims", with_(CLAIMED, "select query_id, id, kind, md5(claim) as text_md5 from claimed"))
 def claims(spark, sf):
     return G.claims(kept_answers(spark, sf)).select("query_id", "id", "kind", F.md5("text").alias("text_md5"))
 
@@ -377,7 +380,9 @@ def draft_prompt(spark, sf):
                                                      F.col("source_block"))).alias("prompt_md5"))
 
 
-@query("judge_prompt")
+@query("judge_prompt", with_(CLAIMED, """
+select c.query_id, 'SOURCES:' || chr(10) || any_value(block) || chr(10) || chr(10) || 'CLAIMS:' || chr(10)
+ || string_agg(id || '. ' || claim, chr(10) order by id) as prompt from claimed c join blocks using (query_id) group by 1"""))
 def judge_prompt(spark, sf):
     a = kept_answers(spark, sf).where(~F.col("abstained"))
     texts = F.concat(F.array("answer.summary.text"), F.transform("answer.steps", lambda s: s["text"]))

@@ -234,7 +234,16 @@ def first_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.first_sentences(F.col("text"), 2)).alias("first_two"))
 
 
-@query("shorten_text")
+def _shorten_sql(width: int, placeholder: str = " [...]") -> str:
+    """For texts whose words are split by blanks alone; a word that does not fit at all leaves the placeholder."""
+    flat = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+    head = f"regexp_extract({flat} || ' ', '^(.{{1,{width - len(placeholder)}}}) ', 1)"
+    return f"""case when length({flat}) <= {width} then {flat} when {head} = '' then '{placeholder.strip()}'
+ else {head} || '{placeholder}' end"""
+
+
+@query("shorten_text", f"""
+select doc_id, {_shorten_sql(110)} as short, {_shorten_sql(700, ' ...')} as long from documents""")
 def shorten_text(spark, sf):
     x = F.col("text")
     return table(spark, sf, "documents").select(
@@ -256,8 +265,8 @@ ITEM_TEXT = """text || case when conv_id % 5 = 0 then ' It closed in 9999 hours.
 
 
 def draft_items(spark, sf):
-    """Assistant turns as drafted items, with invented numbers and promises mixed in."""
-    return table(spark, sf, "conversations").where("role = 'assistant'").select(
+    """All turns as drafted items, with invented numbers and promises mixed in."""
+    return table(spark, sf, "conversations").select(
         "conv_id", "turn", F.expr(ITEM_TEXT).alias("item_text"),
         F.expr("case when turn % 4 = 1 then 'P1' when turn % 4 = 3 then '[P1],R1' else 'R99' end").alias("c"),
     ).select("conv_id", "turn", "item_text",
@@ -268,7 +277,7 @@ def draft_items(spark, sf):
 
 @query("is_prediction", f"""
 select conv_id, turn, regexp_matches(t, '(?i)\\b(will|won''t|going to)\\b') as predicts
-from (select conv_id, turn, {ITEM_TEXT} as t from conversations where role = 'assistant') s""")
+from (select conv_id, turn, {ITEM_TEXT} as t from conversations) s""")
 def is_prediction(spark, sf):
     return draft_items(spark, sf).select("conv_id", "turn", T.is_prediction(F.col("item_text")).alias("predicts"))
 

@@ -469,16 +469,22 @@ def leaked_ood(spark, sf):
 
 def sample(df, n: int, key: str, seed: int):
     """A reproducible sample: the rows with the smallest salted hashes."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    return first_n(df.withColumn("__h", h), n, [F.col("__h"), F.col(key)], [F.shiftright(F.col("__h"), 48)]).drop("__h")
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
+    return first_n(df.withColumn("__h", h), n, [F.col("__h"), F.col(key)], [F.substring("__h", 1, 4)]).drop("__h")
 
 
-@query("seeded_sample")
+EVAL = TEXTS + """,
+eq as (select pattern_id || '-' || (pos - 1) as query_id, pattern_id as gold_pattern, complaints[pos] as complaint
+ from (select *, unnest(range(1, len(complaints) + 1)) as pos from tp) t)"""
+
+
+@query("seeded_sample", with_(EVAL, "select * from eq order by md5('0:' || query_id), query_id limit 100"))
 def seeded_sample(spark, sf):
     return sample(H.eval_queries(text_patterns(spark, sf)), 100, "query_id", 0)
 
 
-@query("label_sheet")
+@query("label_sheet", with_(EVAL, """
+select query_id, complaint, '' as severity, '' as sentiment from eq order by md5('7:' || query_id), query_id limit 40"""))
 def label_sheet(spark, sf):
     """40 sampled complaints with empty columns for labels given by hand."""
     s = sample(H.eval_queries(text_patterns(spark, sf)), 40, "query_id", 7)
