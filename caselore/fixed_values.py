@@ -73,3 +73,5 @@ ALERT_RULES = {
     "slow_answers": ("p95_latency", ">", 10, "10 minutes", 15),
     "errors_present": ("errors", ">", 0, "5 minutes", 5),
 }
+
+ABSTAIN_REASONS = ["low_similarity", "llm_no_matching_candidate"]

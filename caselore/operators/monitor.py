@@ -218,6 +218,29 @@ def report_breakdowns(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
     return counts.unionByName(by.select(F.lit("supported_items").alias("section"), F.col("method").alias("key"), "n"))
 
 
+def method_report(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per method: answers, judged items, supported items and their percentage."""
+    a = answers.where(F.coalesce("in_domain", F.lit(True)) & ~F.col("abstained"))
+    per = verdicts.groupBy("query_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("verdict") == "supported").alias("ok"))
+    s = a.select("query_id", "method").join(per, "query_id", "left").groupBy("method").agg(
+        F.count(F.lit(1)).alias("answers"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"),
+        F.coalesce(F.sum("ok"), F.lit(0)).alias("supported"))
+    return s.withColumn("supported_pct", F.when(F.col("items") > 0, round_half_even(100 * F.col("supported") / F.col("items"), 1)))
+
+
+def outside_report(answers: DataFrame, set_name: Column, let_through: int = 5) -> DataFrame:
+    """For each set of questions outside the domain: n, abstained %, rows per reason, and the first ids let through."""
+    a = answers.where(~F.coalesce("in_domain", F.lit(True))).withColumn("set_name", set_name)
+    reason = F.substring_index("abstain_reason", " ", 1)
+    first = a.where(~F.col("abstained")).withColumn("place", F.row_number().over(Window.partitionBy("set_name").orderBy("query_id")))
+    shown = first.where(F.col("place") <= let_through).groupBy("set_name").agg(
+        F.array_join(F.array_sort(F.collect_list("query_id")), "|").alias("let_through"))
+    per = a.groupBy("set_name").agg(
+        F.count(F.lit(1)).alias("n"), round_half_even(100 * F.count_if("abstained") / F.count(F.lit(1)), 1).alias("abstained_pct"),
+        *[F.count_if(F.col("abstained") & (reason == r)).alias(r) for r in V.ABSTAIN_REASONS])
+    return per.join(shown, "set_name", "left").withColumn("let_through", F.coalesce("let_through", F.lit("")))
+
+
 def latency_report(log: DataFrame) -> DataFrame:
     """p50 and p95 of the answered requests per method, whole milliseconds, and the mean."""
     a = log.where(~F.col("abstained"))

@@ -11,7 +11,9 @@ from ..operators import monitor as M
 from ..operators import patterns as P
 from ..operators import retrieve as R
 from ..operators.changes import verdict_default
+from ..session import fresh_path
 from ..sources import adapters as A
+from ..sources.tickets import write_report
 from .base_queries import ITEM_TEXT, _duration_sql, _labels_sql, draft_items
 from .check_sql import with_
 from .registry import query
@@ -443,6 +445,39 @@ def generation_breakdowns(spark, sf):
     return M.report_breakdowns(a, v)
 
 
+@query("method_report", with_(JUDGED + """,
+pv as (select query_id, count(*) as items, count(*) filter (verdict = 'supported') as ok from jv group by 1)""", f"""
+select method, count(*) as answers, coalesce(sum(items), 0)::bigint as items, coalesce(sum(ok), 0)::bigint as supported,
+ {_pct1('coalesce(sum(ok), 0)', 'coalesce(sum(items), 0)')} as supported_pct
+from final f left join pv on pv.query_id = f.query_id where in_domain and main is not null group by method"""))
+def method_report(spark, sf):
+    a = kept_answers(spark, sf)
+    return M.method_report(a, verdict_default(G.claims(a), A.verdicts(spark, sf), ["query_id", "id"]))
+
+
+@query("outside_report", with_(DRAFTS, f"""
+select set_name, count(*) as n, {_pct1('count(*) filter (main is null)', 'count(*)')} as abstained_pct,
+ count(*) filter (main is null and low) as low_similarity, count(*) filter (main is null and not low) as llm_no_matching_candidate,
+ coalesce(array_to_string(list_slice(list(query_id order by query_id) filter (main is not null), 1, 5), '|'), '') as let_through
+from (select *, case when query_id % 2 = 0 then 'even' else 'odd' end as set_name from final where not in_domain) t group by set_name"""))
+def outside_report(spark, sf):
+    """Two sets of complaints outside the domain."""
+    return M.outside_report(kept_answers(spark, sf), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
+
+
+@query("answer_samples", with_(ANSWERED, f"""
+select f.query_id, main is null as abstained, tier, method,
+ case when main is null then null when method = 'llm' then f.summary else {TEMPLATE_SUMMARY} end as summary, coalesce(attempts, 0)::bigint as attempts
+from final f left join shown s on s.query_id = f.query_id and s.rank = 1"""))
+def answer_samples(spark, sf):
+    """One JSON line per answer, for reading by hand, written and read back."""
+    path = fresh_path(spark, "samples")
+    a = kept_answers(spark, sf)
+    write_report(a.select("query_id", "abstained", "tier", "method", F.col("answer.summary.text").alias("summary"),
+                          F.col("grounding.attempts").alias("attempts")), path)
+    return spark.read.schema("query_id long, abstained boolean, tier string, method string, summary string, attempts long").json(path)
+
+
 # --- monitoring ---
 
 LOG = """log as (select event_id, ts, event_type = 'error' as abstained,

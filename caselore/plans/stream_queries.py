@@ -6,22 +6,25 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import hash_embed
 from ..operators import acceptance as Q
+from ..operators import answer as G
 from ..operators import evaluate as H
+from ..operators import monitor as M
 from ..operators import patterns as P
 from ..operators import retrieve as R
 from ..operators import vectors as X
+from ..operators.changes import verdict_default
 from ..session import fresh_path
 from ..sources import adapters as A
 from ..sources import state as S
 from ..sources import tickets as K
 from ..streaming import jobs as J
 from . import ingest as I
-from .answer_queries import LOG, MAIN, REASON, TEMPLATE_SUMMARY, outcomes_sql, sources_sql, windows_sql
+from .answer_queries import LOG, MAIN, REASON, TEMPLATE_SUMMARY, kept_answers, outcomes_sql, sources_sql, windows_sql
 from .base_queries import _labels_sql
 from .check_sql import DIFF, with_
 from .history_queries import base_state, later_raw
-from .registry import query
-from .search_queries import DOCQ, GATE, METRICS, SCORED, TOP, Setup, embed_sql, rounded, scored, text_patterns, top_scores
+from .registry import CHECKS, query
+from .search_queries import DOCQ, GATE, METRICS, SCORED, TOP, Setup, embed_sql, picked, rounded, scored, text_patterns, top_scores
 
 
 @query("stream_ingest", with_(DIFF, """
@@ -134,3 +137,30 @@ def run_comparison(spark, sf):
         H.no_retrieval_tv(s.queries, s.volume, s.outcomes()), H.abstention_auroc(top_scores(spark, sf)))
     K.write_report(report, f"{path}/base")
     return rounded(Q.run_comparison(spark, f"{path}/*").drop("no_retrieval_tv"))
+
+
+PICK_METRICS = ["gold_in_topk", "retrieval_top1_category", "pick_category", "answered_both_gates", "ood_reject_either"]
+ANSWER_METRICS = ["answered_pct", "end_to_end_category_acc_pct", "supported_pct", "ood_abstained_pct"]
+
+
+def _unpivoted(tag: str, sql: str, metrics: list[str]) -> str:
+    values = " union all ".join(f"select '{m}' as metric, cast({m} as double) as value from r" for m in metrics)
+    return f"select '{tag}' as tag, metric, value from (with r as ({sql}) {values}) u"
+
+
+@query("headline_comparison", " union all ".join([
+    _unpivoted("picks, gate 0.4", CHECKS["parser_eval"], PICK_METRICS),
+    _unpivoted("picks, gate 0.5", CHECKS["parser_eval"].replace("0.4::double", "0.5::double"), PICK_METRICS),
+    _unpivoted("answers", CHECKS["generation_report"], ANSWER_METRICS)]))
+def headline_comparison(spark, sf):
+    """Headline numbers of several runs, picks and answers, side by side out of their reports."""
+    path = fresh_path(spark, "headlines")
+    p = picked(spark, sf)
+    for tag, gate in (("picks, gate 0.4", 0.4), ("picks, gate 0.5", 0.5)):
+        K.write_report(rounded(H.parser_eval(p, gate)).withColumn("tag", F.lit(tag)), f"{path}/picks/{gate}")
+    a = kept_answers(spark, sf)
+    v = verdict_default(G.claims(a), A.verdicts(spark, sf), ["query_id", "id"])
+    K.write_report(M.generation_report(a, v).withColumn("tag", F.lit("answers")), f"{path}/answers/base")
+    rows = [Q.report_rows(spark, f"{path}/{kind}/*", ", ".join(["tag string", *[f"{m} double" for m in metrics]]), metrics)
+            for kind, metrics in (("picks", PICK_METRICS), ("answers", ANSWER_METRICS))]
+    return rows[0].unionByName(rows[1])
