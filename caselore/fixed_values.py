@@ -75,3 +75,19 @@ ALERT_RULES = {
 }
 
 ABSTAIN_REASONS = ["low_similarity", "llm_no_matching_candidate"]
+
+# The sentences of sources, templates, notes and prompts; {} takes a value.
+PATTERN_LINE = ('[P{}] Past closed tickets of type "{}": {} tickets; median time to close {}; 90% of tickets closed within {}. '
+                "Share of tickets by recorded resolution: {}.")
+OUTCOME_LINE = '[{}] Recorded resolution: "{}"'
+OUTCOME_SHARE = "{} of tickets: {}"
+SUMMARY = "{} of {} past tickets of this type ended with the same recorded resolution."
+STEP_RESOLVED = "Tell the customer how these cases were resolved: {}"
+STEP_TIMES = "Set expectations: the median time to close was {}, and 90% of tickets closed within {}."
+BORDERLINE_NOTE = ("Borderline match (similarity {}, threshold {}): check that the category fits before relying on this guidance.")
+LITTLE_NOTE = "Low evidence: this ticket type has only {} closed tickets, so the shares and times above are unreliable."
+SEVERE_NOTE = "High severity ({}/5): prioritise this ticket."
+SELECTION_PROMPT = 'Complaint:\n"""\n{}\n"""\n\nCandidates:\n{}'
+DRAFT_PROMPT = 'Customer complaint:\n"""\n{}\n"""\n\nDetected: {} / {}; severity {}/5; sentiment {}.\n\nSOURCES:\n{}'
+JUDGE_PROMPT = "SOURCES:\n{}\n\nCLAIMS:\n{}"
+EXAMPLE_PROMPT = "Problem category (hidden from the resident): {}\nWrite {} different complaints."

@@ -92,6 +92,17 @@ def sentences(x: Column) -> Column:
     return F.split(strip(x), rf"(?U)(?<=[.!?]){_SPACE}+")
 
 
+def filled(template: str, *values: Column) -> Column:
+    """The template with its places {} taken by the values, in order; null if one of them is."""
+    texts = template.split("{}")
+    if len(texts) != len(values) + 1:
+        raise ValueError(f"{len(values)} values for {len(texts) - 1} places")
+    parts = [F.lit(texts[0])]
+    for value, after in zip(values, texts[1:], strict=True):
+        parts += [value.cast("string"), F.lit(after)]
+    return F.concat(*parts)
+
+
 def first_sentences(x: Column, n: int) -> Column:
     return F.array_join(F.slice(sentences(x), 1, n), " ")
 

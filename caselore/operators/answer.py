@@ -127,16 +127,11 @@ def with_sources(routed: DataFrame) -> DataFrame:
         h = b["hit"]
         refs = F.transform(F.get(F.col("src.shown"), i), lambda r: F.concat(
             _rid(rids, r["resolution_id"]), F.lit(" ("), percent_text(r["share"]), F.lit(")")))
-        return F.concat(
-            F.lit("[P"), (i + 1).cast("string"), F.lit('] Past closed tickets of type "'), _label(h), F.lit('": '),
-            h["total_cases"].cast("string"), F.lit(" tickets; median time to close "),
-            format_duration(h["median_close_hours"]), F.lit("; 90% of tickets closed within "),
-            format_duration(h["p90_close_hours"]), F.lit(". Share of tickets by recorded resolution: "),
-            F.array_join(refs, ", "), F.lit("."))
+        return T.filled(V.PATTERN_LINE, i + 1, _label(h), h["total_cases"], format_duration(h["median_close_hours"]),
+                        format_duration(h["p90_close_hours"]), F.array_join(refs, ", "))
 
     def outcome_line(r: Column) -> Column:
-        return F.concat(F.lit("["), _rid(rids, r["resolution_id"]), F.lit('] Recorded resolution: "'),
-                        T.shorten(r["text"], TEXT_LIMIT, " ..."), F.lit('"'),
+        return F.concat(T.filled(V.OUTCOME_LINE, _rid(rids, r["resolution_id"]), T.shorten(r["text"], TEXT_LIMIT, " ...")),
                         F.when(T.is_truncated(r["text"]), V.CUT_NOTE).otherwise(""))
 
     def block_lines(b: Column, i: Column) -> Column:
@@ -177,11 +172,11 @@ def outcome_lines(main: Column, rids: Column, n: int = 4) -> Column:
 
     def render(shown: Column) -> Column:
         lines = F.transform(shown, lambda r: _item(
-            F.concat(percent_text(r["share"]), F.lit(" of tickets: "), T.first_sentences(r["text"], 1)),
+            T.filled(V.OUTCOME_SHARE, percent_text(r["share"]), T.first_sentences(r["text"], 1)),
             F.lit("P1"), _rid(rids, r["resolution_id"])))
         left = round_half_even(1 - F.aggregate(shown, F.lit(0.0), lambda a, r: a + r["share"]), 2)
         more = let(left, lambda rest: F.when(rest >= V.REMAINDER_MIN, F.array(_item(
-            F.concat(percent_text(rest), F.lit(" of tickets: " + V.REMAINDER_TEXT)), F.lit("P1")))))
+            T.filled(V.OUTCOME_SHARE, percent_text(rest), F.lit(V.REMAINDER_TEXT)), F.lit("P1")))))
         return F.concat(lines, F.coalesce(more, F.array().cast(f"array<{ITEM}>")))
 
     return let(listed, render)
@@ -192,13 +187,10 @@ def template_answer(main: Column, rids: Column) -> Column:
     rid = _rid(rids, top["resolution_id"])
     return F.struct(
         F.lit("").alias("opening"),
-        _item(F.concat(percent_text(top["share"]), F.lit(" of "), main["total_cases"].cast("string"),
-                       F.lit(" past tickets of this type ended with the same recorded resolution.")),
-              F.lit("P1"), rid).alias("summary"),
+        _item(T.filled(V.SUMMARY, percent_text(top["share"]), main["total_cases"]), F.lit("P1"), rid).alias("summary"),
         F.array(
-            _item(F.concat(F.lit("Tell the customer how these cases were resolved: "), T.first_sentences(top["text"], 2)), rid),
-            _item(F.concat(F.lit("Set expectations: the median time to close was "), format_duration(main["median_close_hours"]),
-                           F.lit(", and 90% of tickets closed within "), format_duration(main["p90_close_hours"]), F.lit(".")),
+            _item(T.filled(V.STEP_RESOLVED, T.first_sentences(top["text"], 2)), rid),
+            _item(T.filled(V.STEP_TIMES, format_duration(main["median_close_hours"]), format_duration(main["p90_close_hours"])),
                   F.lit("P1"))).alias("steps"),
         outcome_lines(main, rids, 3).alias("outcomes"))
 
@@ -291,11 +283,9 @@ def policy_notes(gate: float = V.GATE) -> Column:
     """Notes in fixed order; degraded answers carry only their own note."""
     score = F.col("top_score")
     cases = F.col("main")["total_cases"]
-    border = F.concat(F.lit("Borderline match (similarity "), fixed_places(score, 3), F.lit(f", threshold {gate}): "
-                      "check that the category fits before relying on this guidance."))
-    little = F.concat(F.lit("Low evidence: this ticket type has only "), cases.cast("string"),
-                      F.lit(" closed tickets, so the shares and times above are unreliable."))
-    high = F.concat(F.lit("High severity ("), F.col("severity").cast("string"), F.lit("/5): prioritise this ticket."))
+    border = T.filled(V.BORDERLINE_NOTE, fixed_places(score, 3), F.lit(str(gate)))
+    little = T.filled(V.LITTLE_NOTE, cases)
+    high = T.filled(V.SEVERE_NOTE, F.col("severity"))
     notes = F.array(F.when(score < gate + V.BORDERLINE_MARGIN, border), F.when(cases < 30, little),
                     F.when(F.col("severity") >= 4, high), F.when(F.col("severity") >= 5, V.EMERGENCY_NOTE))
     answered = F.filter(notes, lambda n: n.isNotNull())
@@ -349,20 +339,18 @@ def claims(answers: DataFrame) -> DataFrame:
 
 
 def selection_prompt(complaint: Column, hits: Column) -> Column:
-    return F.concat(F.lit('Complaint:\n"""\n'), complaint, F.lit('\n"""\n\nCandidates:\n'), candidate_block(hits))
+    return T.filled(V.SELECTION_PROMPT, complaint, candidate_block(hits))
 
 
 def draft_prompt(complaint: Column, hit: Column, severity: Column, sentiment: Column, block: Column) -> Column:
-    return F.concat(
-        F.lit('Customer complaint:\n"""\n'), complaint, F.lit('\n"""\n\nDetected: '), hit["complaint_type"], F.lit(" / "),
-        _raw_join(" / ", hit["descriptor"], hit["descriptor_2"]), F.lit("; severity "), severity.cast("string"),
-        F.lit("/5; sentiment "), sentiment, F.lit(".\n\nSOURCES:\n"), block)
+    return T.filled(V.DRAFT_PROMPT, complaint, hit["complaint_type"], _raw_join(" / ", hit["descriptor"], hit["descriptor_2"]),
+                    severity, sentiment, block)
 
 
 def judge_prompt(block: Column, texts: Column) -> Column:
     listing = F.transform(texts, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t))
-    return F.concat(F.lit("SOURCES:\n"), block, F.lit("\n\nCLAIMS:\n"), F.array_join(listing, "\n"))
+    return T.filled(V.JUDGE_PROMPT, block, F.array_join(listing, "\n"))
 
 
 def example_prompt(label: Column, n: int = 4) -> Column:
-    return F.concat(F.lit("Problem category (hidden from the resident): "), label, F.lit(f"\nWrite {n} different complaints."))
+    return T.filled(V.EXAMPLE_PROMPT, label, F.lit(n))

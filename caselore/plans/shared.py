@@ -11,6 +11,11 @@ from ..session import fresh_path
 _STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
+def forget() -> None:
+    """Build every shared table anew from now on, for instance after the data under a path has changed."""
+    _STORED.clear()
+
+
 def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` for the data under ``sf``; built on first use, then read with pruned columns."""
     key = (spark.sparkContext.applicationId, sf, name)
