@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0,
+def dual_descent(rows: list[np.ndarray], values: Callable[[int], np.ndarray], y: np.ndarray, size: int, cost: float = 1.0,
                  epochs: int = 10, seed: int = 0) -> np.ndarray:
     """Weights (the last one is the bias) that minimise |w|^2 / 2 + cost * sum of hinge losses.
 
-    One dual variable a row, moved to its optimum while the others stand; rows in random order.
+    ``values(i)`` are the entries of row i. One dual variable a row, moved to its optimum while the others stand; rows in
+    random order.
     """
     w, dual, rng = np.zeros(size + 1), np.zeros(len(rows)), np.random.default_rng(seed)
-    square = np.array([float(v @ v) + 1 for v in values])
+    square = np.array([float(v @ v) + 1 for v in map(values, range(len(rows)))])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            margin = y[i] * (float(w[rows[i]] @ values[i]) + w[size])
+            v = values(i)
+            margin = y[i] * (float(w[rows[i]] @ v) + w[size])
             new = min(max(dual[i] - (margin - 1) / square[i], 0.0), cost)
             step = (new - dual[i]) * y[i]
             if step:
                 dual[i] = new
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * v
                 w[size] += step
                 moved = max(moved, abs(step))
         if moved < 1e-4:
@@ -61,4 +65,4 @@ def labelled_sample(df: DataFrame, labels: DataFrame, rows: int, id_column: str,
     chosen = known.where(F.pmod(F.xxhash64("label_id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * rows)
     texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     joined = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-    return joined.select("id", "text", *columns).limit(2 * rows)
+    return joined.select("id", "text", *columns).limit(2 * rows).sortWithinPartitions("id")  # one small part, in a fixed order

@@ -48,9 +48,13 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray) -> Model | None:
     for x, g in zip(rows, good, strict=True):
         counts[int(g), x] += 1
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [ratios[x] / np.sqrt(ratios[x] @ ratios[x] + 1) for x in rows]
+    lengths = np.array([np.sqrt(ratios[x] @ ratios[x] + 1) for x in rows])
+
+    def values(i):  # worked out when they are needed: kept, they would be larger than the sample
+        return ratios[rows[i]] / lengths[i]
+
     w = linear.dual_descent(rows, values, np.where(good, 1.0, -1.0), QUALITY_SIZE)
-    margins = np.array([float(w[x] @ v) + w[-1] for x, v in zip(rows, values, strict=True)])
+    margins = np.array([float(w[x] @ values(i)) + w[-1] for i, x in enumerate(rows)])
     slope, _ = linear.logistic_curve(margins, good.astype(float), level=False)
     return Model(ratios.astype(np.float32), (w[:-1] * ratios).astype(np.float32), float(w[-1]), slope)
 
@@ -65,11 +69,12 @@ def fit(df: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_column: str =
         for part in slices(batches, 1, 1 << 20):
             yield [part.column(0), part.column(2), pa.array([x for x in quality_ngrams(part.column(1))], pa.list_(pa.int32()))]
 
-    got = arrow_map(sample, run, f"id {df.schema[id_column].dataType.simpleString()}, good int, found array<int>").toArrow().sort_by("id")
-    found = got.column("found").combine_chunks()
-    found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks)
-    flat, at = found.flatten().to_numpy(), found.offsets.to_numpy() - (found.offsets[0].as_py() if len(found) else 0)
-    return fit_rows([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], got.column("good").to_numpy() == 1)
+    got = arrow_map(sample, run, f"id {df.schema[id_column].dataType.simpleString()}, good int, found array<int>").toArrow()
+    found = []
+    for chunk in got.column("found").chunks:
+        flat, at = chunk.flatten().to_numpy(), chunk.offsets.to_numpy()
+        found += [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+    return fit_rows(found, got.column("good").to_numpy() == 1)
 
 
 def score(df: DataFrame, model: Model | None, text_column: str = "text", name: str = "score") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import arrow_map, slices, utf8
+from .common import arrow_map, slices, utf8, written
 from .shingles import BYTE, _POWERS, _mix, word_hashes
 
 FIT_ROWS = 8_000
@@ -124,47 +124,40 @@ class Chain:
 
 
 def _fit_link(rows, values, y, n_features, n_earlier):
-    w = linear.dual_descent(rows, values, np.where(y, 1.0, -1.0), n_features + n_earlier, cost=0.5)
+    w = linear.dual_descent(rows, values.__getitem__, np.where(y, 1.0, -1.0), n_features + n_earlier, cost=0.5)
     return w, np.array([float(w[x] @ v) + w[-1] for x, v in zip(rows, values, strict=True)])
 
 
-def _telling(index: list[np.ndarray], y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Features whose share differs between the two kinds of rows by more than ``CERTAIN`` standard errors, KEPT at most."""
-    n1 = np.zeros(len(n))
-    for i in np.flatnonzero(y):
-        n1[index[i]] += 1
-    total, positive = len(y), int(y.sum())
-    share = n / total
-    expected = share * positive
-    error = np.sqrt(np.maximum(expected * (1 - share), 1e-9) * (1 - positive / total))
-    z = np.abs(n1 - expected) / np.maximum(error, 0.5)
-    best = np.argsort(-z, kind="stable")[:KEPT]
-    return np.sort(best[z[best] >= CERTAIN])
-
-
-def _places(rows: list[np.ndarray], names: np.ndarray) -> list[np.ndarray]:
-    """The places of each row's hashes in ``names``, those that are there."""
-    out = []
-    for x in rows:
-        at = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
-        out.append(at[names[at] == x].astype(np.int32) if len(names) else np.zeros(0, np.int32))
-    return out
+def telling(sample: DataFrame, names: list[str], total: int, positive: list[int]) -> list[np.ndarray]:
+    """For each category the hashes whose share differs between its texts and the others by more than ``CERTAIN`` standard
+    errors, KEPT at most. ``sample`` has found and marks; the counting is done by Spark, only the kept ones come here.
+    """
+    each = sample.select("marks", F.explode("found").alias("hash")).groupBy("hash").agg(
+        F.count("*").alias("n"), *[F.sum(F.col("marks")[c]).alias(f"n{c}") for c in range(len(names))]).where("n >= 4")
+    share = F.col("n") / total
+    scores = []
+    for c in range(len(names)):
+        expected = share * positive[c]
+        error = F.sqrt(F.greatest(expected * (1 - share), F.lit(1e-9)) * (1 - positive[c] / total))
+        scores.append((F.abs(F.col(f"n{c}") - expected) / F.greatest(error, F.lit(0.5))).alias(f"z{c}"))
+    each = written(each.select("hash", *scores).where(" or ".join(f"z{c} >= {CERTAIN}" for c in range(len(names)))), "telling")
+    return [np.array([r[0] for r in each.where(f"z{c} >= {CERTAIN}").orderBy(F.desc(f"z{c}"), "hash").limit(KEPT).select("hash").collect()],
+                     np.int64).view(np.uint64) for c in range(len(names))]
+
+
+def places(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The places of a text's hashes in the sorted ``hashes``, those that are there."""
+    if not len(hashes):
+        return np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+    return at[hashes[at] == found].astype(np.int32)
 
 
-def fit_rows(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, names: list[str]) -> Chain:
-    """``flat``: the distinct hashes of each text, one text after the other; ``y``: 0/1 by text and category."""
-    rows = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    every = np.sort(flat)
-    begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[begin, len(every)])
-    common, n = every[begin[n >= 4]], n[n >= 4]  # the rest tells nothing
-    del every, begin
-    index = _places(rows, common)
+def fit_rows(index: list[np.ndarray], y: np.ndarray, names: list[str], hashes: np.ndarray, kept: list[np.ndarray]) -> Chain:
+    """``index``: the places of each text's features in ``hashes``; ``y``: 0/1 by text and category; ``kept``: hashes by category."""
+    rows = index
     fine = [len(rows) > 0 and 0 < y[:, c].sum() < len(rows) for c in range(len(names))]
-    kept = [common[_telling(index, y[:, c], n)] if fine[c] else np.zeros(0, np.uint64) for c in range(len(names))]
-    hashes = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
     m, fold = len(hashes), np.arange(len(rows)) % FOLDS
-    index = _places(rows, hashes)
     earlier, links = np.zeros((len(rows), 0)), []
     for c in range(len(names)):
         if not fine[c]:
@@ -203,18 +196,22 @@ def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], rows: int
             found, owner = features(part.column(1))
             begin = np.searchsorted(owner, np.arange(part.num_rows + 1))
             sets = [np.unique(found[:, a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield [part.column(0), part.column(2), pa.array([s[s > 0].astype("<u8").tobytes() for s in sets], pa.binary())]
+            yield [part.column(0), part.column(2), pa.array([s[s > 0].view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
     kind = df.schema[id_column].dataType.simpleString()
-    got = arrow_map(sample, run, f"id {kind}, marks array<int>, found binary").toArrow().sort_by("id")
-    y = np.array(got.column("marks").to_pylist(), np.int64).reshape(got.num_rows, len(names))
-    found = got.column("found").cast(pa.large_binary()).combine_chunks()
-    found = found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
-    if not len(found):
-        return fit_rows(np.zeros(0, np.uint64), np.zeros(1, np.int64), y, names)
-    _, offsets, data = found.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[found.offset:found.offset + len(found) + 1] // 8
-    return fit_rows(np.frombuffer(data, "<u8")[:offsets[-1]] if data is not None else np.zeros(0, np.uint64), offsets, y, names)
+    sample = written(arrow_map(sample, run, f"id {kind}, marks array<int>, found array<long>"), "features")
+    whole = sample.agg(F.count("*"), *[F.coalesce(F.sum(F.col("marks")[c]), F.lit(0)) for c in range(len(names))]).first()
+    kept = telling(sample, names, whole[0], list(whole[1:])) if whole[0] else [np.zeros(0, np.uint64)] * len(names)
+    hashes = np.unique(np.concatenate(kept))
+
+    def look_up(batches):
+        for batch in batches:
+            found = [places(x.astype(np.int64).view(np.uint64), hashes) for x in batch.column(2).to_numpy(zero_copy_only=False)]
+            yield [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))]
+
+    rows = arrow_map(sample, look_up, f"id {kind}, marks array<int>, places array<int>").orderBy("id").collect()
+    y = np.array([r["marks"] for r in rows], np.int64).reshape(len(rows), len(names))
+    return fit_rows([np.array(r["places"], np.int32) for r in rows], y, names, hashes, kept)
 
 
 def score(df: DataFrame, chain: Chain, text_column: str = "text", prefix: str = "p_") -> DataFrame:

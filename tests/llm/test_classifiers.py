@@ -18,7 +18,7 @@ def test_dual_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 3))
     y = np.where(x @ [1.0, -2, 0.5] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
-    w = linear.dual_descent([np.arange(3)] * 60, list(x), y, 3, epochs=500)
+    w = linear.dual_descent([np.arange(3)] * 60, x.__getitem__, y, 3, epochs=500)
 
     def loss(w):
         return w @ w / 2 + np.maximum(0, 1 - y * (x @ w[:3] + w[3])).sum()
