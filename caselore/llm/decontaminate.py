@@ -140,7 +140,7 @@ class Index:
         diagonal = at - starts[text] - place + self.reach + 2 * BAND
         out = []
         for half in (0, 1):
-            band = diagonal // BAND - half
+            band = (diagonal + half * BAND) // (2 * BAND)
             key = (text << 46) | (item << 26) | band
             order = np.argsort(key, kind="stable")
             key_s = key[order]
@@ -151,7 +151,7 @@ class Index:
                 rows = order[b:b + n]
                 i, t = int(item[rows[0]]), int(text[rows[0]])
                 places = np.unique(place[rows])
-                low = int(band[rows[0]]) * BAND - self.reach - 2 * BAND
+                low = (2 * int(band[rows[0]]) - half) * BAND - self.reach - 2 * BAND
                 begins, length, edits, bound = self.windows[i]
                 size_t = int(starts[t + 1] - starts[t])
                 for s in begins:

@@ -104,3 +104,26 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.matches(df, none).collect() == [] and D.mark(df, none).first().leaked is False
     assert D.matches(df.where("doc_id > 3"), df.withColumnRenamed("doc_id", "item_id")).collect() == []
+
+
+def alternating(item, every):
+    """The item with a byte put in and one taken out in turn, so that its diagonal goes back and forth by one."""
+    out = []
+    for k, c in enumerate(item):
+        turn = (k + 1) % every == 0 and (k + 1) // every
+        out.append("#" + c if turn and turn % 2 else "" if turn else c)
+    return "".join(out)
+
+
+def test_bands_overlap():
+    rng = random.Random(5)
+    for every in (13, 14, 15):
+        item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(130))
+        copy = alternating(item, every)
+        index = D.Index([(0, item)])
+        starts, n, edits, _ = index.windows[0]
+        assert min(plain_distance(item[s:s + n], copy) for s in starts) <= edits
+        for shift in range(2 * D.BAND):
+            text = ("~" * (40 + shift) + copy + "~" * 40).encode()
+            found = list(index.find(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+            assert len(found) == 1 and found[0][2] >= 35 + shift and found[0][4] <= edits, (every, shift)
