@@ -2,7 +2,13 @@
 
 A small tree builder (implied and omitted tags, void and raw elements, content misplaced in tables) is followed by a
 renderer that walks the tree once: blocks start lines, paragraphs and headings stand apart, lists are indented with
-their marks, table cells are aligned in columns, and what a browser hides is left out.
+their marks, table cells are aligned in columns, and what a browser hides is left out: elements that are never drawn,
+``hidden``, display and visibility (inherited, so a child may show itself again) from style attributes and from the rules
+of ``<style>`` whose selectors are made of a tag, classes and an id. Other selectors, media conditions on the viewport,
+rules for html and body (pages that hide themselves until their script runs) and linked sheets are not applied.
+
+Each ``text`` of an svg is a line; title, desc, defs and the like are not drawn, nor are the copies that ``use`` makes.
+Formulas are their tokens in order, with ``/`` for the bar of a fraction and the sign of a root; a matrix is a table.
 
 Defined results: a null page stays null, an empty one gives ""; tags that are never closed end with the page; a tag
 without an end (``<p`` at the very end) is dropped; nesting may be of any depth; repeated rows and ids give a row each.
@@ -13,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +31,7 @@ from .common import arrow_map, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("script style title head template noscript iframe noembed noframes audio video canvas object "
-                   "datalist svg math".split())
+                   "datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
                   "search section summary table ul".split())
@@ -37,7 +44,31 @@ ROW_GROUPS = frozenset("tbody thead tfoot".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+
+# Svg and MathML.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                       "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SVG_UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc title "
+                        "style script".split())
+MATH_UNDRAWN = frozenset("annotation annotation-xml style script".split())
+TOKENS = frozenset("mi mn mo ms mtext".split())
+DRAWN_AS = {"text": "div", "foreignobject": "div", "mtable": "table", "mtr": "tr", "mlabeledtr": "tr", "mtd": "td"}
+FONT = re.compile(r"\b(?:color|face|size)\s*=", re.I)
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'=]+\Z")
+UNPRINTED = dict.fromkeys(range(0x2061, 0x2065))  # invisible operators
+
+# Style rules.
+DISPLAYS = frozenset("none contents block inline flow flow-root table flex grid ruby math list-item inline-block inline-table "
+                     "inline-flex inline-grid run-in table-row table-cell table-caption table-column table-column-group "
+                     "table-row-group table-header-group table-footer-group -webkit-box -webkit-inline-box -webkit-flex "
+                     "-ms-flexbox inherit initial unset".split())
+VISIBILITIES = frozenset("visible hidden collapse inherit initial unset".split())
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+BRACE = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|[{};]")
+DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^()]*\)|[\"'(])++")
+SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+MEDIA = frozenset(["", "all", "screen", "only screen", "only all"])
+NO_RULES: dict = {}
 
 # New element -> (open elements that it ends, elements that it does not look beyond).
 ENDED_BY = {
@@ -66,10 +97,11 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; text nodes are strings."""
+def parse(page: str, sheets: list[str] | None = None) -> Node:
+    """The tree of a page; text nodes are strings. The texts of its style elements are added to ``sheets``."""
     root = Node("html")
     stack, at, n, last = [root], 0, len(page), page.rfind(">")
+    foreign = [""]  # for each open element, whether its content is svg or math
     opened: dict[str, int] = {}  # open elements by tag, so that a search for one that is not there costs nothing
 
     def put(node):
@@ -86,6 +118,13 @@ def parse(page: str) -> Node:
 
     def push(node):
         stack.append(node)
+        tag, around = node.tag, foreign[-1]
+        if tag in ("svg", "math"):
+            foreign.append(tag)
+        elif around and (tag in ("foreignobject", "desc") if around == "svg" else tag in TOKENS or tag == "annotation-xml"):
+            foreign.append("")
+        else:
+            foreign.append(around)
         opened[node.tag] = opened.get(node.tag, 0) + 1
 
     def close(tags, beyond):
@@ -95,12 +134,17 @@ def parse(page: str) -> Node:
             if stack[i].tag in tags:
                 for node in stack[i:]:
                     opened[node.tag] -= 1
-                del stack[i:]
+                del stack[i:], foreign[i:]
                 return True
             if stack[i].tag in beyond:
                 return False
         return False
 
+    def break_out():
+        while foreign[-1]:
+            opened[stack.pop().tag] -= 1
+            foreign.pop()
+
     while at < n:
         m = TOKEN.search(page, at) if at <= last else None
         if m is None:
@@ -115,8 +159,14 @@ def parse(page: str) -> Node:
             put(html.unescape(text) if "&" in text else text)
         at = m.end()
         if m[2] is None:
+            if foreign[-1] and page.startswith("<![CDATA[", m.start()):
+                end = page.find("]]>", m.start())
+                put(page[m.start() + 9:end if end >= 0 else n])
+                at = end + 3 if end >= 0 else n
             continue
         tag = m[2].lower()
+        if foreign[-1] and (tag in ("p", "br") if m[1] else tag in BREAKS_OUT or tag == "font" and FONT.search(m[3])):
+            break_out()
         if m[1]:
             if tag in ("html", "body"):
                 continue
@@ -140,9 +190,10 @@ def parse(page: str) -> Node:
             close(frozenset(["head"]), frozenset())
         elif stack[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "template", "noscript"):
             close(frozenset(["head"]), frozenset())  # content ends an open head
-        if tag in ENDS_P:
+        inside = foreign[-1]
+        if tag in ENDS_P and not inside:
             close(frozenset(["p"]), frozenset(["td", "th", "table", "button"]))
-        if tag in ENDED_BY:
+        if tag in ENDED_BY and not inside:
             ended, beyond = ENDED_BY[tag]
             while close(ended, beyond):
                 pass
@@ -153,11 +204,18 @@ def parse(page: str) -> Node:
                     push(node)
         node = Node(tag, _attributes(m[3]) if m[3].strip(" /\n\t") else ())
         put(node)
-        if tag in VOID:
+        if inside or tag in ("svg", "math"):
+            if m[3].endswith("/") and not UNQUOTED_END.search(m[3]):
+                continue
+        elif tag in VOID:
             continue
-        if tag in RAW:
+        if tag in RAW and (not inside or tag in ("script", "style", "title")):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             node.children.append(html.unescape(page[at:end.start() if end else n]))
+            if tag == "style" and sheets is not None and not opened.get("template") and not opened.get("noscript"):
+                a = node.attrs or {}
+                if a.get("media", "").strip().lower() in MEDIA and a.get("type", "").strip().lower() in ("", "text/css"):
+                    sheets.append(page[at:end.start() if end else n])
             close_at = page.find(">", end.start()) if end else -1
             at = close_at + 1 if close_at >= 0 else n
             continue
@@ -165,15 +223,160 @@ def parse(page: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN:
-        return False
-    a = node.attrs
-    if not a:
-        return node.tag != "dialog"
-    if "hidden" in a or "style" in a and UNSEEN.search(a["style"]):
-        return False
-    return not (node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a)
+def declarations(text: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of the valid settings of display and visibility."""
+    out = []
+    for m in DECLARATION.finditer(COMMENT.sub(" ", text)):
+        name, _, value = m[0].partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        important = value.endswith("important") and value[:-9].rstrip().endswith("!")
+        if important:
+            value = value[:-9].rstrip()[:-1].rstrip()
+        if name == "display" and value and DISPLAYS.issuperset(value.split()) or name == "visibility" and value in VISIBILITIES:
+            out.append((name, value, important))
+        elif name == "content-visibility" and value in ("hidden", "visible", "auto", "initial", "unset", "inherit"):
+            out.append((name, value, important))
+    return out
+
+
+def _blocks(css: str):
+    """(what stands before a block, the block) of a sheet."""
+    start = begin = depth = 0
+    head = ""
+    for m in BRACE.finditer(css):
+        if m[0] == "{":
+            if not depth:
+                head, begin = css[start:m.start()].strip(), m.end()
+            depth += 1
+        elif m[0] == "}":
+            depth -= depth > 0
+            if not depth:
+                if begin:
+                    yield head, css[begin:m.start()]
+                start, begin = m.end(), 0
+        elif m[0] == ";" and not depth:
+            start = m.end()
+    if depth:
+        yield head, css[begin:]
+
+
+def _own(body: str) -> str:
+    """A block without the blocks inside it."""
+    out, start, depth = [], 0, 0
+    for m in BRACE.finditer(body):
+        if m[0] == ";" and not depth:
+            out.append(body[start:m.end()])
+            start = m.end()
+        elif m[0] == "{":
+            depth += 1
+        elif m[0] == "}":
+            depth -= depth > 0
+            start = start if depth else m.end()
+    return "".join(out) + ("" if depth else body[start:])
+
+
+@lru_cache(64)
+def rules(sheets: tuple[str, ...]) -> dict:
+    """Rules by the id, class or tag that they ask for: (tag, ids, classes, property, value, rank) each."""
+    out: dict = {}
+    order, todo = 0, [_blocks(COMMENT.sub(" ", x)) for x in reversed(sheets) if "display" in x.lower() or "visibility" in x.lower()]
+    limit = len(todo) + 16  # nested media blocks
+    while todo:
+        head, body = next(todo[-1], (None, ""))
+        if head is None:
+            todo.pop()
+            continue
+        if head[:1] == "@":
+            if head[:6].lower() == "@media" and len(todo) < limit and any(q.strip().lower() in MEDIA for q in head[6:].split(",")):
+                todo.append(_blocks(body))
+            continue
+        settings = declarations(_own(body) if "{" in body else body)
+        for selector in head.split(",") if settings else ():
+            m = SELECTOR.fullmatch(selector.strip())
+            if m is None or not m[0]:
+                continue
+            tag = (m[1] or "*").lower()
+            names = re.findall(r"[.#][^.#]+", m[2])
+            ids, classes = ([x[1:] for x in names if x[0] == c] for c in "#.")
+            if tag in ("html", "body"):
+                continue
+            key = names[0] if names else tag
+            for name, value, important in settings:
+                order += 1
+                rank = (important, 0, len(ids), len(classes), tag != "*", order)
+                out.setdefault(key, []).append((tag, ids, classes, name, value, rank))
+    return out
+
+
+def seen(node: Node, around: str, sheet: dict) -> tuple[bool, str | None]:
+    """Whether the element is laid out, and its own visibility, if it has one."""
+    tag, a = node.tag, node.attrs
+    if tag in (SVG_UNDRAWN if around[:3] == "svg" else MATH_UNDRAWN if around == "math" else HIDDEN):
+        return False, None
+    laid_out, own = True, "hidden" if tag == "mphantom" and around == "math" else None
+    if tag == "dialog":
+        laid_out = bool(a) and "open" in a
+    if a:
+        if "hidden" in a:
+            laid_out = False
+        if tag == "input" and a.get("type", "").lower() == "hidden":
+            return False, None
+    if not a and not sheet:
+        return laid_out, own
+    best: dict = {}
+    if a and (around[:3] == "svg" or tag == "svg"):
+        for name in ("display", "visibility"):
+            if name in a:
+                for name_, value, _ in declarations(f"{name}:{a[name]}"):
+                    best[name_] = ((False, -1), value)
+    if sheet:
+        classes = a["class"].split() if a and "class" in a else ()
+        id_ = a.get("id") if a else None
+        for key in ("*", tag, *["." + c for c in set(classes)], *(["#" + id_] if id_ else [])):
+            for want, ids, needed, name, value, rank in sheet.get(key, ()):
+                if (want in ("*", tag) and all(x == id_ for x in ids) and all(c in classes for c in needed)
+                        and (name not in best or best[name][0] < rank)):
+                    best[name] = rank, value
+    if a and "style" in a:
+        for name, value, important in declarations(a["style"]):
+            if name not in best or best[name][0] <= (important, 1):
+                best[name] = (important, 1), value
+    if "display" in best:
+        laid_out = best["display"][1] != "none"
+    if "content-visibility" in best and best["content-visibility"][1] == "hidden":
+        laid_out = False
+    if "visibility" in best:
+        value = best["visibility"][1]
+        own = "visible" if value == "initial" else None if value in ("inherit", "unset") else value
+        if own == "collapse" and (tag == "tr" or tag in ROW_GROUPS):
+            laid_out = False
+    return laid_out, own
+
+
+def drawn_children(node: Node, around: str) -> list:
+    """The children that an svg or MathML element draws."""
+    tag = node.tag
+    if around == "svg" and tag == "switch":
+        parts = [c for c in node.children if isinstance(c, Node)]
+        return [c for c in parts if not c.attrs or not (c.attrs.get("requiredextensions") or "systemlanguage" in c.attrs)][:1]
+    if around == "math":
+        parts = [c for c in node.children if isinstance(c, Node)]
+        if tag in ("semantics", "maction"):
+            return parts[:1]
+        if tag == "mfrac" and len(parts) == 2:
+            bar = (node.attrs or {}).get("linethickness", "").strip()[:1] != "0"
+            return [parts[0], _sign("/" if bar else ""), parts[1]]
+        if tag == "msqrt":
+            return [_sign("\u221a"), *parts]
+        if tag == "mroot" and len(parts) == 2:
+            return [parts[1], _sign("\u221a"), parts[0]]
+    return node.children
+
+
+def _sign(text: str) -> Node:
+    node = Node("mo")
+    node.children.append(text)
+    return node
 
 
 def width(text: str) -> int:
@@ -281,27 +484,52 @@ def _span(node: Node, name: str, most: int) -> int:
     return min(max(int(value), 1), most) if value.strip().isdigit() and len(value) < 6 else 1
 
 
-def render(root: Node) -> str:
-    flow, flows, tables, lists, work = Flow(), [], [], [], [(root, False)]
+def render(root: Node, sheet: dict = NO_RULES) -> str:
+    # An element is left under the tag it was drawn as; content is shown or not, and stands in svg, svg text, math, a token or none.
+    flow, flows, tables, lists, work = Flow(), [], [], [], [(root, "", True, "")]
     while work:
-        node, leaving = work.pop()
+        node, leaving, shown, around = work.pop()
         if isinstance(node, str):
-            flow.text(node)
+            if shown and around in ("", "svg text"):
+                flow.text(node)
+            elif shown and around == "token":
+                flow.text(BLANKS.sub(" ", node).strip(" ").translate(UNPRINTED))
             continue
-        tag = node.tag
+        tag = leaving or node.tag
         if not leaving:
-            if not visible(node):
+            if around == "token":
+                around = ""
+            laid_out, own = seen(node, around, sheet)
+            if not laid_out:
                 continue
+            if own:
+                shown = own == "visible"
+            children, inside = node.children, around
+            if around:
+                children = drawn_children(node, around)
+                if tag == "foreignobject" and around == "svg":
+                    inside = ""
+                elif tag == "text" and around == "svg":
+                    inside = "svg text"
+                elif tag in TOKENS and around == "math":
+                    inside = "token" if all(isinstance(c, str) for c in children) else ""
+                elif tag == "svg" and around == "math":
+                    inside = "svg"
+                tag = DRAWN_AS.get(tag, "span")
+            elif tag in ("svg", "math"):
+                inside = tag
+                tag = "div" if tag == "math" and node.attrs and node.attrs.get("display", "").lower() == "block" else "span"
             if tag == "br":
                 flow.inline.append("\n")
                 continue
             if tag == "hr":
                 flow.block(2)
-                flow.put(["---"])
+                if shown:
+                    flow.put(["---"])
                 flow.gap = 2
                 continue
             if tag == "input":
-                if node.attrs and node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "file", "password", "image"):
+                if shown and node.attrs and node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "file", "password", "image"):
                     flow.text(node.attrs.get("value", ""))
                 continue
             if tag in LISTS:
@@ -315,7 +543,7 @@ def render(root: Node) -> str:
                 if lists and lists[-1][0] == "ol":
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
-                flow.mark = mark
+                flow.mark = mark if shown else ""
                 flow.indent = (lists[-1][2] if lists else "") + " " * len(mark)
             elif tag in ("blockquote", "dd"):
                 flow.block(2 if tag == "blockquote" else 1)
@@ -333,8 +561,8 @@ def render(root: Node) -> str:
                 flow, lists = Flow(), []
             elif tag in BLOCK or tag == "caption":
                 flow.block(2 if tag in APART else 1)
-            work.append((node, True))
-            work.extend((c, False) for c in reversed(node.children))
+            work.append((node, tag, shown, around))
+            work.extend([(c, "", shown, inside) for c in reversed(children)])
             continue
         if tag in LISTS:
             flow.block(1 if len(lists) > 1 else 2)
@@ -358,7 +586,7 @@ def render(root: Node) -> str:
             flow, lists = flows.pop()
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((_span(node, "colspan", 1000), _span(node, "rowspan", 1000), lines))
+            tables[-1].rows[-1].append((_span(node, "columnspan" if node.tag == "mtd" else "colspan", 1000), _span(node, "rowspan", 1000), lines))
         elif tag == "table":
             lines = tables.pop().lay_out()
             if lines:
@@ -370,7 +598,11 @@ def render(root: Node) -> str:
 
 
 def page_text(page: str | None) -> str | None:
-    return None if page is None else render(parse(page))
+    if page is None:
+        return None
+    sheets: list[str] = []
+    root = parse(page, sheets)
+    return render(root, rules(tuple(sheets)) if sheets else NO_RULES)
 
 
 def extract(df: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:

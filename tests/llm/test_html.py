@@ -79,3 +79,56 @@ def test_extract(spark):
     got = sorted((str(r.page_id), str(r.text)) for r in H.extract(df).collect())
     assert got == [("1", "None"), ("2", ""), ("2", ""), ("None", "x")]
     assert H.extract(df.where("page_id > 9")).collect() == []
+
+
+DRAWN = [
+    ("a<svg><title>no</title><desc>no<p>no</p></desc><defs><text>no</text></defs><style>.q{fill:red}</style>loose"
+     "<g><text x=1>one <tspan>two</tspan></text><path d='M0'/><text>three</text></g></svg>b", "a\none two\nthree\nb"),
+    ("<svg><title/><defs/><g><text>t</text></g></svg>u", "t\nu"), ("<svg><path d=x><p>out", "out"),
+    ("<svg><text><![CDATA[a < b]]></text></svg>", "a < b"), ("x<svg/>y", "xy"),
+    ("<svg><switch><foreignObject><div>rich <i>text</i></div></foreignObject><text>plain</text></switch></svg>", "rich text"),
+    ("<svg><text display=none>no</text><text visibility=hidden>no<tspan visibility=visible>yes</tspan></text></svg>", "yes"),
+    ("let <math><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><msqrt><mn>2</mn></msqrt></mfrac></math>.", "let x=1/\u221a2."),
+    ("<math><semantics><mrow><mi>a</mi><mo>&#x2062;</mo><mtext>if <b>b</b></mtext></mrow><annotation>no</annotation></semantics></math>",
+     "aif b"),
+    ("<math display=block><mtable><mtr><mtd><mn>10</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd><mtd><mn>4</mn>"
+     "</mtd></mtr></mtable></math>z", "10  2\n3   4\n\nz"),
+    ("<math><mphantom><mi>no</mi></mphantom><mi>y</mi></math>", "y"),
+    ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes <b>too</b></p>no</div>", "yes too"),
+    ("<ul style='visibility: hidden'><li>no<li style='visibility:visible'>yes</ul>", "* yes"),
+    ("<ol><li>a<li style='visibility:hidden'>no<li style='display:none'>no<li>c</ol>", "1. a\n3. c"),
+    ("<div style='display:none'>no<p style='display:block;visibility:visible'>no</p></div>yes", "yes"),
+    ("<p style='display:none;display:block'>yes</p>", "yes"),
+    ("<style>.off{display:none} #gone,b.dim{visibility:hidden}</style><p class='x off'>no<p id=gone>no<b class=dim>no</b>"
+     "<i class=dim>no</i><p class=Off>yes <b class=dim>no</b><i class=dim>too</i>", "yes too"),
+    ("<style>/* p{display:none} */ em{display:none}.on{display:inline}</style><p>yes <em>no</em><em class=on>too</em>", "yes too"),
+    ("<style>p{display:none!important}</style><p style='display:block'>no</p><div>yes", "yes"),
+    ("<style>p{display:none}</style><p style='display:block'>yes</p><p hidden>no</p>", "yes"),
+    ("<style>.show{display:block}</style><p hidden class=show>yes</p>", "yes"),
+    ("<style>@media print{p{display:none}} @media screen{i{display:none}} @import 'x';u{display:none}</style><p>yes<i>no</i><u>no</u>",
+     "yes"),
+    ("<style media=print>p{display:none}</style><noscript><style>p{display:none}</style></noscript><p>yes", "yes"),
+    ("<style>body{visibility:hidden}div p,p:hover,p.a{display:none}</style><div><p>yes", "yes"),
+    ("<style>p{color:red;&.x{display:none}; b{visibility:hidden}}</style><p>yes <b>too</b>", "yes too"),
+    ("<table><tr style='visibility:collapse'><td>no<tr><td>yes</table>", "yes"),
+]
+
+
+@pytest.mark.parametrize("page, want", DRAWN)
+def test_what_a_browser_draws(page, want):
+    assert H.page_text(page) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<svg>", "</svg>", "<math>", "</math>", "<mtd>", "<mtable>", "</mtable>", "<mfrac>", "<mi>", "</mi>", "<text>",
+                                 "<style>", "</style>", "p{display:none}", "{", "}", ";", "@media all{", "/*", "\"", "'", "<p>", "<td>", "<table>",
+                                 "</table>", "<switch>", "<foreignObject>", "<![CDATA[", "]]>", "<g/>", "<li style='visibility:hidden'>", "x"]),
+                max_size=40).map("".join))
+def test_foreign_never_fails(page):
+    H.page_text(page)
+
+
+def test_deep_foreign_and_hostile_rules():
+    assert H.page_text("<svg><g>" * 20000 + "<text>x") == "x"
+    for css in ("@media all{" * 20000, "a{" * 50000, "p{" + "a" * 200000 + "{}", "\"(" * 50000, "p,." * 50000 + "x{display:none}"):
+        H.page_text(f"<style>{css} display:none</style><p>x")
