@@ -127,3 +127,51 @@ def test_bands_overlap():
             text = ("~" * (40 + shift) + copy + "~" * 40).encode()
             found = list(index.find(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
             assert len(found) == 1 and found[0][2] >= 35 + shift and found[0][4] <= edits, (every, shift)
+
+
+def one_buffer(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+
+
+def test_passages_from_any_byte():
+    rng = random.Random(3)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(240))
+    index = D.Index([(0, item)])
+    for n in (93, 100):
+        texts = ["~" * (s % 7) + item[s:s + n] + "~" * (s % 5) for s in range(len(item) - n + 1)]
+        found = {t: (b, e, x) for t, _, b, e, x in index.find(*one_buffer(texts))}
+        assert len(found) == len(texts)
+        assert n < 100 or all(found[t][2] <= 7 and found[t][1] - found[t][0] >= 93 for t in found)
+
+
+def test_every_window_against_plain_alignment():
+    rng = random.Random(11)
+    items, docs = material(11)
+    items, docs = [x for x in items[:5]], [x for x in docs[:60] if x][:30]
+    for item in items:  # pieces at odd places, with edits
+        a = rng.randrange(len(item) // 3)
+        docs.append("q " * 9 + alternating(item[a:a + 105], 15) + " zz" * 9)
+    items += ["short one here only"]
+    want = set()
+    for k, item in enumerate(items):
+        b = D._PLAIN[np.frombuffer(item.encode(), np.uint8)]
+        _, n, edits, bound = D.Index([(0, item)]).windows[0]
+        for d, text in enumerate(docs):
+            t = D._PLAIN[np.frombuffer(text.encode(), np.uint8)]
+            if any(D.distances(b[s:s + n], t).min() <= edits for s in range(0, len(b) - n + 1)):
+                want.add((d, k))
+    got = list(D.Index(list(enumerate(items))).find(*one_buffer(docs)))
+    assert {f[:2] for f in got} == want and len(want) > 5
+    assert all(0 <= b < e <= len(docs[d].encode()) for d, _, b, e, _ in got)
+
+
+def test_band_alignment():
+    rng = np.random.default_rng(2)
+    windows = rng.integers(97, 100, (200, 12)).astype(np.uint8)
+    regions = rng.integers(97, 100, (200, 12 + 40)).astype(np.uint8)
+    regions[:, :12] = regions[:, 40:] = 255  # so that the best stretch stays on the diagonals
+    for w, r, *got in zip(windows, regions, *D.align_bands(windows, regions), strict=True):
+        begin, end, edits = map(int, got)
+        assert edits == D.distances(w, r).min()
+        assert edits == D.distances(w, r[begin:end], free_start=False)[-1]
