@@ -2,7 +2,8 @@
 
 Features are words (A-Z as a-z), their first 3 to 6 bytes, and word shapes, all as 64-bit hashes. For each category the
 features that differ most between its texts and the others are kept, and a linear model is fitted by dual coordinate
-descent. For training, the earlier probabilities come from models that did not see the row (out-of-fold), so later
+descent. For training, the earlier probabilities come from models that did not see the row (out-of-fold: neither their
+features nor their weights come from the row's fold), so later
 models learn from probabilities as uncertain as they will meet; for scoring they come from the models of all rows.
 
 ``FIT_ROWS`` bounds the labelled sample (about 8,000 rows by hash of the id); each text is scored whole, in one pass.
@@ -128,21 +129,35 @@ def _fit_link(rows, values, y, n_features, n_earlier):
     return w, np.array([float(w[x] @ v) + w[-1] for x, v in zip(rows, values, strict=True)])
 
 
-def telling(sample: DataFrame, names: list[str], total: int, positive: list[int]) -> list[np.ndarray]:
+def telling(sample: DataFrame, names: list[str]) -> list[list[np.ndarray]]:
     """For each category the hashes whose share differs between its texts and the others by more than ``CERTAIN`` standard
-    errors, KEPT at most. ``sample`` has found and marks; the counting is done by Spark, only the kept ones come here.
+    errors, KEPT at most: those of all rows first, then for each fold those of the rows outside it. ``sample`` has found,
+    marks and fold; the counting is done by Spark, only the kept ones come here.
     """
-    each = sample.select("marks", F.explode("found").alias("hash")).groupBy("hash").agg(
-        F.count("*").alias("n"), *[F.sum(F.col("marks")[c]).alias(f"n{c}") for c in range(len(names))]).where("n >= 4")
-    share = F.col("n") / total
+    every = range(len(names))
+    totals = {r[0]: list(r[1:]) for r in sample.groupBy("fold").agg(
+        F.count("*"), *[F.coalesce(F.sum(F.col("marks")[c]), F.lit(0)) for c in every]).collect()}
+    whole = [sum(t[k] for t in totals.values()) for k in range(len(names) + 1)]
+    each = sample.select("marks", "fold", F.explode("found").alias("hash")).groupBy("hash").agg(
+        F.count("*").alias("n"), *[F.sum(F.col("marks")[c]).alias(f"n{c}") for c in every],
+        *[F.count_if(F.col("fold") == f).alias(f"n_f{f}") for f in range(FOLDS)],
+        *[F.sum(F.when(F.col("fold") == f, F.col("marks")[c]).otherwise(0)).alias(f"n{c}_f{f}") for f in range(FOLDS) for c in every],
+    ).where("n >= 4")
     scores = []
-    for c in range(len(names)):
-        expected = share * positive[c]
-        error = F.sqrt(F.greatest(expected * (1 - share), F.lit(1e-9)) * (1 - positive[c] / total))
-        scores.append((F.abs(F.col(f"n{c}") - expected) / F.greatest(error, F.lit(0.5))).alias(f"z{c}"))
-    each = written(each.select("hash", *scores).where(" or ".join(f"z{c} >= {CERTAIN}" for c in range(len(names)))), "telling")
-    return [np.array([r[0] for r in each.where(f"z{c} >= {CERTAIN}").orderBy(F.desc(f"z{c}"), "hash").limit(KEPT).select("hash").collect()],
-                     np.int64).view(np.uint64) for c in range(len(names))]
+    for f in (None, *range(FOLDS)):
+        out = totals.get(f, [0] * (len(names) + 1))
+        total, *positive = (w - o for w, o in zip(whole, out, strict=True))
+        without = (lambda x: F.col(x)) if f is None else (lambda x, f=f: F.col(x) - F.col(f"{x}_f{f}"))
+        n, share = without("n"), without("n") / max(total, 1)
+        for c in every:
+            expected = share * positive[c]
+            error = F.sqrt(F.greatest(expected * (1 - share), F.lit(1e-9)) * (1 - positive[c] / max(total, 1)))
+            z = F.abs(without(f"n{c}") - expected) / F.greatest(error, F.lit(0.5))
+            scores.append(F.when(n >= 4, z).otherwise(0.0).alias(f"z{len(scores)}"))
+    each = written(each.select("hash", *scores).where(" or ".join(f"z{k} >= {CERTAIN}" for k in range(len(scores)))), "telling")
+    kept = [np.array([r[0] for r in each.where(f"z{k} >= {CERTAIN}").orderBy(F.desc(f"z{k}"), "hash").limit(KEPT).select("hash").collect()],
+                     np.int64).view(np.uint64) for k in range(len(scores))]
+    return [kept[k:k + len(names)] for k in range(0, len(kept), len(names))]
 
 
 def places(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -153,29 +168,36 @@ def places(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return at[hashes[at] == found].astype(np.int32)
 
 
-def fit_rows(index: list[np.ndarray], y: np.ndarray, names: list[str], hashes: np.ndarray, kept: list[np.ndarray]) -> Chain:
-    """``index``: the places of each text's features in ``hashes``; ``y``: 0/1 by text and category; ``kept``: hashes by category."""
+def fit_rows(index: list[np.ndarray], y: np.ndarray, names: list[str], hashes: np.ndarray, kept: list[list[np.ndarray]],
+             fold: np.ndarray) -> Chain:
+    """``index``: the places of each text's features in ``hashes``; ``y``: 0/1 by text and category; ``kept``: hashes by category
+    of all rows, then of the rows outside each fold; ``fold``: the fold of each text."""
     rows = index
     fine = [len(rows) > 0 and 0 < y[:, c].sum() < len(rows) for c in range(len(names))]
-    m, fold = len(hashes), np.arange(len(rows)) % FOLDS
+    m = len(hashes)
     earlier, links = np.zeros((len(rows), 0)), []
     for c in range(len(names)):
         if not fine[c]:
             links.append(None)
             earlier = np.hstack([earlier, np.zeros((len(rows), 1))])
             continue
-        own = np.isin(hashes, kept[c])
-        x = [np.r_[i[own[i]], m + np.arange(c)] for i in index]
-        v = [np.r_[np.ones(len(r) - c), earlier[k]] for k, r in enumerate(x)]
+
+        def chosen(hashes_of, c=c):
+            own = np.isin(hashes, hashes_of)
+            x = [np.r_[i[own[i]], m + np.arange(c)] for i in index]
+            return x, [np.r_[np.ones(len(r) - c), earlier[k]] for k, r in enumerate(x)]
+
         positive = y[:, c] == 1
         margins = np.zeros(len(rows))
         for f in range(FOLDS):
             seen, unseen = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             if len(unseen) == 0 or positive[seen].all() or not positive[seen].any():
                 continue
+            x, v = chosen(kept[1 + f][c])
             w, _ = _fit_link([x[i] for i in seen], [v[i] for i in seen], positive[seen], m, c)
             margins[unseen] = [float(w[x[i]] @ v[i]) + w[-1] for i in unseen]
         slope, level = linear.logistic_curve(margins, positive.astype(float))
+        x, v = chosen(kept[0][c])
         w, _ = _fit_link(x, v, positive, m, c)
         links.append(Link(w[:m], w[m:m + c], float(w[-1]), slope, level))
         unseen = links[-1].probability(margins)
@@ -199,19 +221,20 @@ def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], rows: int
             yield [part.column(0), part.column(2), pa.array([s[s > 0].view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
     kind = df.schema[id_column].dataType.simpleString()
-    sample = written(arrow_map(sample, run, f"id {kind}, marks array<int>, found array<long>"), "features")
-    whole = sample.agg(F.count("*"), *[F.coalesce(F.sum(F.col("marks")[c]), F.lit(0)) for c in range(len(names))]).first()
-    kept = telling(sample, names, whole[0], list(whole[1:])) if whole[0] else [np.zeros(0, np.uint64)] * len(names)
-    hashes = np.unique(np.concatenate(kept))
+    sample = written(arrow_map(sample, run, f"id {kind}, marks array<int>, found array<long>").withColumn(
+        "fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "features")
+    kept = telling(sample, names)
+    hashes = np.unique(np.concatenate([k for of in kept for k in of]))
 
     def look_up(batches):
         for batch in batches:
             found = [places(x.astype(np.int64).view(np.uint64), hashes) for x in batch.column(2).to_numpy(zero_copy_only=False)]
-            yield [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))]
+            yield [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), batch.column(3)]
 
-    rows = arrow_map(sample, look_up, f"id {kind}, marks array<int>, places array<int>").orderBy("id").collect()
+    rows = arrow_map(sample, look_up, f"id {kind}, marks array<int>, places array<int>, fold int").orderBy("id").collect()
     y = np.array([r["marks"] for r in rows], np.int64).reshape(len(rows), len(names))
-    return fit_rows([np.array(r["places"], np.int32) for r in rows], y, names, hashes, kept)
+    return fit_rows([np.array(r["places"], np.int32) for r in rows], y, names, hashes, kept,
+                    np.array([r["fold"] for r in rows], np.int64))
 
 
 def score(df: DataFrame, chain: Chain, text_column: str = "text", prefix: str = "p_") -> DataFrame:

@@ -105,3 +105,13 @@ def test_toxic_held_out(spark):
     toxic = {r.doc_id: r.toxic for r in labels.where("doc_id % 4 = 1").collect()}
     got = [r for r in toxicity.score(docs, chain).collect() if r.doc_id in toxic]
     assert sum((r.p_toxic >= 0.5) == (toxic[r.doc_id] == 1) for r in got) >= 0.93 * len(got)
+
+
+def test_fold_features_come_from_other_folds(spark):
+    rows = [(i, f"plain words here {i % 7}", [i % 2]) for i in range(200)]
+    own = [(1000 + i, [1], 0) for i in range(40)]  # a hash that tells the category, in rows of fold 0 alone
+    sample = spark.createDataFrame([([i % 7], m, i % 5) for i, _, m in rows] + [([99], m, f) for _, m, f in own],
+                                   "found array<long>, marks array<int>, fold int")
+    kept = toxicity.telling(sample, ["c"])
+    assert len(kept) == 1 + toxicity.FOLDS
+    assert 99 in kept[0][0] and 99 not in kept[1][0] and all(99 in k[0] for k in kept[2:])
