@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mtree, neardup, packing, preference, quality, shards, token_counts, toxicity
+from . import (decontaminate, html_text, infill, mtree, neardup, negatives, packing, preference, quality, shards, simhash, token_counts,
+               toxicity)
 from .common import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 from .token_counts import vocabulary_path
@@ -129,3 +130,53 @@ def op9(spark, sf):
 @query("op10_token_counts")
 def op10(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary_path())
+
+
+@query("op11_simhash")  # no SQL: XXH64 is not among its functions
+def op11(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op12_hard_negatives", """
+    with v as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+      where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+      select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_dot_product(a.e, v.e)::bigint as score
+      from v a join v on a.vec_id <> v.vec_id where a.vec_id % 50 = 0),
+    positives as (
+      select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank,
+           vec_id as negative_id, positive_score, score as negative_score
+    from positives p join scored s on s.anchor_id = p.anchor_id
+    where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+    qualify rank <= 3""")
+def op12(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+@query("op13_fill_in_middle", """
+    with d as (
+      select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+    u as (
+      select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units,
+             ('0x' || substr(h, 1, 8))::ubigint as h1, ('0x' || substr(h, 9, 8))::ubigint as h2,
+             ('0x' || substr(h, 17, 8))::ubigint as h3, ('0x' || substr(h, 25, 8))::ubigint as h4 from d),
+    c as (
+      select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1))::bigint as a,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))::bigint as b,
+             case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+                  when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+    p as (
+      select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle,
+             array_to_string(units[b + 1:n], '') as suffix from c)
+    select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+           case when form <> 'plain' then length(middle) end as middle_chars,
+           sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+           sha256(text) as restored_sha256 from p""")
+def op13(spark, sf):
+    return infill.digests(infill.transform(table(spark, sf, "documents")))
