@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import fresh_path
 
@@ -49,12 +51,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 4 <<
             a = b
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores behind it until none of the tables has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``fn(batches)`` yields lists of columns in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    kinds = StructType.fromDDL(schema)
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kinds)
 
     def run(batches):
@@ -64,4 +78,4 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                       for c, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kinds)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import arrow_map, slices, utf8
+from .common import arrow_map, column, free_name, slices, utf8
 
 Q = 10
 WINDOW = 100
@@ -261,8 +262,8 @@ def mark(df: DataFrame, benchmark: DataFrame, text_column: str = "text", name: s
     """The rows of ``df``, whatever their columns, and whether the text holds a stretch of any item."""
     if name in df.columns:
         raise ValueError(f"the table has a column {name} already; choose another name")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    last, out = len(df.columns), df.withColumn(name, F.lit(False))
+    last, out = len(df.columns), df.select("*", F.lit(False).alias(name))
+    kinds, text = StructType([*df.schema.fields, StructField(name, BooleanType())]), free_name("text_to_search", df)
     for items in parts(benchmark, item_column, item_text, part_bytes):
         index = Index(items)
 
@@ -272,5 +273,5 @@ def mark(df: DataFrame, benchmark: DataFrame, text_column: str = "text", name: s
                 leaked[[f[0] for f in index.find(*utf8(part.column(last + 1)))]] = True
                 yield [*part.columns[:last], pa.array(leaked)]
 
-        out = arrow_map(out.select("*", F.coalesce(F.col(text_column), F.lit("")).alias("__text")), run, f"{fields}, `{name}` boolean")
+        out = arrow_map(out.select("*", F.coalesce(column(text_column), F.lit("")).alias(text)), run, kinds)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,17 @@ def logistic_curve(margins: np.ndarray, positive: np.ndarray, steps: int = 50, l
     return float(a), float(b)
 
 
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of an Arrow column, as slices of one flat array."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+
+
+def in_one_task(sample: DataFrame) -> DataFrame:
+    """A bounded sample in one partition, in a fixed order: its fit is one task, repeated as it was if its executor is lost."""
+    return sample.coalesce(1).sortWithinPartitions("id")
+
+
 def labelled_sample(df: DataFrame, labels: DataFrame, rows: int, id_column: str, text_column: str, columns: list[str]) -> DataFrame:
     """About ``rows`` labelled texts (all, if there are fewer), chosen by the hash of their id; never more than twice as many.
 
@@ -65,4 +77,4 @@ def labelled_sample(df: DataFrame, labels: DataFrame, rows: int, id_column: str,
     chosen = known.where(F.pmod(F.xxhash64("label_id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * rows)
     texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     joined = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-    return joined.select("id", "text", *columns).limit(2 * rows).sortWithinPartitions("id")  # one small part, in a fixed order
+    return joined.select("id", "text", *columns).limit(2 * rows)

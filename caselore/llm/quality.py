@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import linear
-from .common import arrow_map, slices
+from .common import arrow_map, column, free_name, slices
 from .ngrams import QUALITY_SIZE, quality_ngrams
 
 FIT_ROWS = 10_000
@@ -61,7 +62,8 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray) -> Model | None:
 
 def fit(df: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text",
         label_column: str = "quality") -> Model | None:
-    """A model from the labels given (leave out what is held back)."""
+    """A model from the labels given (leave out what is held back). One task, bounded by the sample, turns its texts into
+    weights; only these come to the driver."""
     labels = labels.select(F.col(id_column).alias("label_id"), F.col(label_column).cast("int").alias("good")).where("good in (0, 1)")
     sample = linear.labelled_sample(df, labels, rows, id_column, text_column, ["good"])
 
@@ -69,20 +71,27 @@ def fit(df: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_column: str =
         for part in slices(batches, 1, 1 << 20):
             yield [part.column(0), part.column(2), pa.array([x for x in quality_ngrams(part.column(1))], pa.list_(pa.int32()))]
 
-    got = arrow_map(sample, run, f"id {df.schema[id_column].dataType.simpleString()}, good int, found array<int>").toArrow()
-    found = []
-    for chunk in got.column("found").chunks:
-        flat, at = chunk.flatten().to_numpy(), chunk.offsets.to_numpy()
-        found += [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
-    return fit_rows(found, got.column("good").to_numpy() == 1)
+    found = arrow_map(sample, run, f"id {df.schema[id_column].dataType.simpleString()}, good int, found array<int>")
+
+    def learn(batches):
+        index, good = [], []
+        for batch in batches:
+            index += linear.lists(batch.column(2))
+            good.append(batch.column(1).to_numpy() == 1)
+        model = fit_rows(index, np.concatenate([np.zeros(0, bool), *good]))
+        if model is not None:
+            yield [pa.array([model.ratios.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()),
+                   pa.array([model.bias]), pa.array([model.slope])]
+
+    got = arrow_map(linear.in_one_task(found), learn, "ratios binary, weights binary, bias double, slope double").first()
+    return got and Model(np.frombuffer(got.ratios, np.float32), np.frombuffer(got.weights, np.float32), got.bias, got.slope)
 
 
 def score(df: DataFrame, model: Model | None, text_column: str = "text", name: str = "score") -> DataFrame:
     """The rows of ``df``, whatever their columns, with the score of their text in column ``name``."""
     if name in df.columns:
         raise ValueError(f"the table has a column {name} already; choose another name")
-    rows = df.select("*", F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    rows = df.select("*", F.coalesce(column(text_column), F.lit("")).alias(free_name("text_to_score", df)))
     last = len(df.columns)
 
     def run(batches):
@@ -90,4 +99,4 @@ def score(df: DataFrame, model: Model | None, text_column: str = "text", name: s
             found = [0.5] * part.num_rows if model is None else [model.score(x) for x in quality_ngrams(part.column(last))]
             yield [*part.columns[:last], pa.array(found, pa.float64())]
 
-    return arrow_map(rows, run, f"{fields}, `{name}` double")
+    return arrow_map(rows, run, StructType([*df.schema.fields, StructField(name, DoubleType())]))

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import linear
-from .common import arrow_map, slices, utf8, written
+from .common import arrow_map, column, free_name, slices, utf8, written
 from .shingles import BYTE, _POWERS, _mix, word_hashes
 
 FIT_ROWS = 8_000
@@ -125,8 +126,7 @@ class Chain:
 
 
 def _fit_link(rows, values, y, n_features, n_earlier):
-    w = linear.dual_descent(rows, values.__getitem__, np.where(y, 1.0, -1.0), n_features + n_earlier, cost=0.5)
-    return w, np.array([float(w[x] @ v) + w[-1] for x, v in zip(rows, values, strict=True)])
+    return linear.dual_descent(rows, values, np.where(y, 1.0, -1.0), n_features + n_earlier, cost=0.5)
 
 
 def telling(sample: DataFrame, names: list[str]) -> list[list[np.ndarray]]:
@@ -182,10 +182,11 @@ def fit_rows(index: list[np.ndarray], y: np.ndarray, names: list[str], hashes: n
             earlier = np.hstack([earlier, np.zeros((len(rows), 1))])
             continue
 
-        def chosen(hashes_of, c=c):
+        def chosen(hashes_of, texts, c=c):
+            """Features and values of the given texts, the earlier probabilities behind their own hashes."""
             own = np.isin(hashes, hashes_of)
-            x = [np.r_[i[own[i]], m + np.arange(c)] for i in index]
-            return x, [np.r_[np.ones(len(r) - c), earlier[k]] for k, r in enumerate(x)]
+            x = [np.r_[i[own[i]], np.arange(m, m + c, dtype=np.int32)] for i in (index[t] for t in texts)]
+            return x, lambda k: np.r_[np.ones(len(x[k]) - c), earlier[texts[k]]]
 
         positive = y[:, c] == 1
         margins = np.zeros(len(rows))
@@ -193,12 +194,11 @@ def fit_rows(index: list[np.ndarray], y: np.ndarray, names: list[str], hashes: n
             seen, unseen = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             if len(unseen) == 0 or positive[seen].all() or not positive[seen].any():
                 continue
-            x, v = chosen(kept[1 + f][c])
-            w, _ = _fit_link([x[i] for i in seen], [v[i] for i in seen], positive[seen], m, c)
-            margins[unseen] = [float(w[x[i]] @ v[i]) + w[-1] for i in unseen]
+            w = _fit_link(*chosen(kept[1 + f][c], seen), positive[seen], m, c)
+            x, values = chosen(kept[1 + f][c], unseen)
+            margins[unseen] = [float(w[x[k]] @ values(k)) + w[-1] for k in range(len(unseen))]
         slope, level = linear.logistic_curve(margins, positive.astype(float))
-        x, v = chosen(kept[0][c])
-        w, _ = _fit_link(x, v, positive, m, c)
+        w = _fit_link(*chosen(kept[0][c], np.arange(len(rows))), positive, m, c)
         links.append(Link(w[:m], w[m:m + c], float(w[-1]), slope, level))
         unseen = links[-1].probability(margins)
         earlier = np.hstack([earlier, unseen[:, None]])
@@ -226,15 +226,25 @@ def fit(df: DataFrame, labels: DataFrame, categories: dict[str, str], rows: int
     kept = telling(sample, names)
     hashes = np.unique(np.concatenate([k for of in kept for k in of]))
 
-    def look_up(batches):
+    def learn(batches):
+        index, marks, folds = [], [], []
         for batch in batches:
-            found = [places(x.astype(np.int64).view(np.uint64), hashes) for x in batch.column(2).to_numpy(zero_copy_only=False)]
-            yield [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), batch.column(3)]
-
-    rows = arrow_map(sample, look_up, f"id {kind}, marks array<int>, places array<int>, fold int").orderBy("id").collect()
-    y = np.array([r["marks"] for r in rows], np.int64).reshape(len(rows), len(names))
-    return fit_rows([np.array(r["places"], np.int32) for r in rows], y, names, hashes, kept,
-                    np.array([r["fold"] for r in rows], np.int64))
+            index += [places(x.view(np.uint64), hashes) for x in linear.lists(batch.column(2))]
+            marks += batch.column(1).to_pylist()
+            folds.append(batch.column(3).to_numpy())
+        y = np.array(marks, np.int64).reshape(len(index), len(names))
+        chain = fit_rows(index, y, names, hashes, kept, np.concatenate([np.zeros(0, np.int32), *folds]).astype(np.int64))
+        for c, link in enumerate(chain.links):
+            if link is not None:
+                yield [pa.array([c], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (link.weights, link.earlier)],
+                       *[pa.array([float(x)]) for x in (link.bias, link.slope, link.level)]]
+
+    # One task, bounded by the sample; only the weights come here.
+    got = {r.c: r for r in arrow_map(linear.in_one_task(sample), learn,
+                                     "c int, weights binary, earlier binary, bias double, slope double, level double").collect()}
+    links = [got.get(c) and Link(np.frombuffer(got[c].weights), np.frombuffer(got[c].earlier), got[c].bias, got[c].slope, got[c].level)
+             for c in range(len(names))]
+    return Chain(names, hashes, links)
 
 
 def score(df: DataFrame, chain: Chain, text_column: str = "text", prefix: str = "p_") -> DataFrame:
@@ -242,8 +252,7 @@ def score(df: DataFrame, chain: Chain, text_column: str = "text", prefix: str =
     new = [prefix + n for n in chain.names]
     if set(new) & set(df.columns):
         raise ValueError(f"the table has one of the columns {new} already; choose another prefix")
-    rows = df.select("*", F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{n}` double" for n in new])
+    rows = df.select("*", F.coalesce(column(text_column), F.lit("")).alias(free_name("text_to_score", df)))
     last = len(df.columns)
 
     def run(batches):
@@ -251,4 +260,4 @@ def score(df: DataFrame, chain: Chain, text_column: str = "text", prefix: str =
             p = chain.score(part.column(last))
             yield [*part.columns[:last], *[pa.array(p[:, c]) for c in range(len(new))]]
 
-    return arrow_map(rows, run, fields)
+    return arrow_map(rows, run, StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in new]]))
