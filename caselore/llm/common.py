@@ -78,4 +78,5 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFram
                       for c, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, kinds)
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # functions go by place, so any names will do
+    return named.mapInArrow(run, kinds)

@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from caselore.llm import decontaminate, neardup, quality, queries, toxicity
 
@@ -44,3 +46,18 @@ def test_filters_keep_columns_and_odd_rows(spark):
     deduped = corpus_pipeline.keep_one_of_each(spark, rows, DATA)
     assert deduped.where("text = 'a second text under three'").count() == 2
     assert deduped.where("doc_id is null").count() == 1
+
+
+def test_columns_of_any_name(spark):
+    """Every stage keeps further columns, also those with the names it would use itself."""
+    extra = ["quality_score", "p_toxic", "p_low_quality", "leaked", "gone_id", "gone_hash", "text_to_score", "text_to_search",
+             "text_hash", "kept", "score", "label_id", "id", "v", "w", "fp", "n", "a.b"]
+    plain = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, docs, DATA), stage(spark, plain, DATA)
+        assert got.columns == docs.columns, name
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect()), name
+        assert [tuple(r)[5:] for r in got.limit(1).collect()] == [tuple(range(len(extra)))]
+    name, pack = corpus_pipeline.STAGES[-1]
+    assert pack(spark, docs, DATA).count() == pack(spark, plain, DATA).count()
