@@ -15,30 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselore.llm import decontaminate, neardup, packing, quality, queries, toxicity
-from caselore.llm.common import table, written
+from caselore.llm.common import free_name, table, written
 from caselore.llm.token_counts import vocabulary_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(docs, queries.quality_model(spark, sf_dir), name="quality_score")
-    return scored.where(F.col("quality_score") >= queries.QUALITY_FROM).drop("quality_score")
+    name = free_name("quality_score", docs)
+    scored = quality.score(docs, queries.quality_model(spark, sf_dir), name=name)
+    return scored.where(F.col(name) >= queries.QUALITY_FROM).drop(name)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, queries.toxicity_chain(spark, sf_dir))
-    return scored.where(F.col("p_toxic") < queries.TOXIC_FROM).drop("p_low_quality", "p_toxic")
+    chain = queries.toxicity_chain(spark, sf_dir)
+    prefix = "p_"
+    while any(free_name(prefix + n, docs) != prefix + n for n in chain.names):
+        prefix += "_"
+    scored = toxicity.score(docs, chain, prefix=prefix)
+    return scored.where(F.col(prefix + "toxic") < queries.TOXIC_FROM).drop(*[prefix + n for n in chain.names])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Dropped documents are named by id and text, so rows without id and ids with several texts are told apart."""
+    gone_id, gone_hash = free_name("gone_id", docs), free_name("gone_hash", docs)
     found = neardup.near_duplicates(docs).where(~F.col("kept")).select(
-        F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+        F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text_hash == F.col("gone_hash")), "left_anti")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (text_hash == F.col(gone_hash)), "left_anti")
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).where("not leaked").drop("leaked")
+    name = free_name("leaked", docs)
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), name=name).where(~F.col(name)).drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
