@@ -53,7 +53,7 @@ class PrefixCounts:
     def __init__(self, vocabulary: Vocabulary, most_words: int = 250_000):
         v = self.v = vocabulary
         self.words = regex.compile(WORDS)
-        self.runs = regex.compile(r"\s{2,}(?=\S)")
+        self.runs = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")  # each run is tried once, from its begin
         self.special = regex.compile("|".join(map(regex.escape, v.special))) if v.special else None
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -180,8 +180,8 @@ class PrefixCounts:
         for m in self.runs.finditer(text):
             run, end = m.group(), m.end()
             # a prefix that ends with the run has it as one word; with the next character the last blank leaves it
-            d = sum(np.frombuffer(steps(run), np.int8)) - sum(np.frombuffer(steps(run[:-1]), np.int8)) - \
-                sum(np.frombuffer(steps(run[-1]), np.int8))
+            whole, front, last = (int(np.frombuffer(steps(x), np.int8).sum(dtype=np.int64)) for x in (run, run[:-1], run[-1]))
+            d = whole - front - last
             if d:
                 if moved is None:
                     moved = out.copy()

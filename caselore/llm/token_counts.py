@@ -45,9 +45,16 @@ def _counts(stored: bytes | None) -> np.ndarray:
     return np.cumsum(np.frombuffer(stored, f"<i{stored[0]}", offset=1), dtype=np.int64)
 
 
+def _fits(changes: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix with at most ``budget`` tokens, from the counts of all prefixes."""
+    within = np.flatnonzero(np.cumsum(changes, dtype=np.int64) <= budget)
+    return int(within[-1]) + 1 if len(within) else 0
+
+
 def prefix_table(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text",
-                 keep_prefixes: bool = True) -> DataFrame:
-    """A row for each row of ``df``: its id, n_bytes, n_tokens and ``prefixes`` (null if they are not kept)."""
+                 keep_prefixes: bool = True, budget: int = 512) -> DataFrame:
+    """A row for each row of ``df``: its id, n_bytes, n_tokens, ``fits_chars`` (how many characters from the begin have at most
+    ``budget`` tokens) and ``prefixes`` (null if they are not kept)."""
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("id"), F.octet_length(F.coalesce(F.col(text_column), F.lit("")))
                      .cast("long").alias("n_bytes"), F.col(text_column).alias("text"))
@@ -57,9 +64,10 @@ def prefix_table(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
         for part in slices(batches, 2):
             found = [changes(t or "") for t in part.column(2).to_pylist()]
             yield [part.column(0), part.column(1), pa.array([int(x.sum(dtype=np.int64)) for x in found], pa.int64()),
+                   pa.array([_fits(x, budget) for x in found], pa.int64()),
                    pa.array([_binary(x) if keep_prefixes else None for x in found], pa.binary())]
 
-    return arrow_map(rows, count, f"`{id_column}` {kind}, n_bytes long, n_tokens long, prefixes binary")
+    return arrow_map(rows, count, f"`{id_column}` {kind}, n_bytes long, n_tokens long, fits_chars long, prefixes binary")
 
 
 def prefix_tokens(prefixes: str, n_chars: str):
@@ -91,6 +99,7 @@ def longest_prefix(prefixes: str, budget: int):
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """n_tokens, n_bytes and ``over_limit`` of each text, from the count at its last prefix."""
-    return prefix_table(df, path, id_column, text_column, keep_prefixes=False).select(
-        id_column, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    """n_tokens, n_bytes and ``over_limit`` of each text, from the count at its last prefix, and ``fits_chars``: where to
+    cut the text so that it keeps to the limit, from the counts of the others."""
+    return prefix_table(df, path, id_column, text_column, keep_prefixes=False, budget=limit).select(
+        id_column, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fits_chars")

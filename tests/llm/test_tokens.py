@@ -1,5 +1,6 @@
 """Token counts and packing against the tokenizer library."""
 
+import time
 import zlib
 
 import numpy as np
@@ -32,6 +33,17 @@ def test_count_of_every_prefix(text):
     assert ENCODER.encode(text, allowed_special="all") == ids(text)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n", "a \t"])
+def test_long_runs_take_linear_time(run):
+    text = (run * 1_000_000)[:1_000_000]
+    began = time.process_time()
+    changes = COUNTER.changes(text)
+    assert time.process_time() - began < 5
+    assert int(changes.sum(dtype=np.int64)) == len(ids(text))
+    for n in (1, 2, 63, 64, 65, 1000):  # prefixes too, and a run in front of a word
+        assert int(COUNTER.changes(run * n + "x").sum(dtype=np.int64)) == len(ids(run * n + "x"))
+
+
 def rows(spark):
     texts = [None, "", "one", "one", "two words\n", "x " * 5000, "Ünïcode 日本 <|endoftext|> end", "a" * 3000]
     return spark.createDataFrame([(i if i else None, t, "extra", 7) for i, t in enumerate(texts)],
@@ -47,9 +59,12 @@ def test_table_answers(spark):
         text, g = r.text or "", got[r.doc_id]
         assert (g.n_bytes, g.n_tokens) == (len(text.encode()), len(ids(text)))
         assert g.first40 == len(ids(text[:40]))
+        assert len(ids(text[:g.fits_chars])) <= 512 and (g.fits_chars == len(text) or len(ids(text[:g.fits_chars + 1])) > 512)
         assert len(ids(text[:g.fits3])) <= 3 and (g.fits3 == len(text) or len(ids(text[:g.fits3 + 1])) > 3)
     over = {r.doc_id: r.over_limit for r in token_counts.token_counts(rows(spark), PATH).collect()}
     assert over[5] and not over[1]
+    cut = {r.doc_id: r.fits_chars for r in token_counts.token_counts(rows(spark), PATH, limit=100).collect()}
+    assert cut[5] == next(k for k in range(400, 0, -1) if len(ids(("x " * 5000)[:k])) <= 100) and cut[1] == 0
     assert token_counts.token_counts(rows(spark).where("doc_id < 0"), PATH).collect() == []
 
 
