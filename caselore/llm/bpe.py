@@ -69,6 +69,7 @@ class PrefixCounts:
         self.pairs = 0
         self.stable: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.known_moves: dict[str, int] = {}
         self.most_words = most_words
         for word, t in v.ids.items():
             if self.whole(t):
@@ -180,8 +181,12 @@ class PrefixCounts:
         for m in self.runs.finditer(text):
             run, end = m.group(), m.end()
             # a prefix that ends with the run has it as one word; with the next character the last blank leaves it
-            whole, front, last = (int(np.frombuffer(steps(x), np.int8).sum(dtype=np.int64)) for x in (run, run[:-1], run[-1]))
-            d = whole - front - last
+            d = self.known_moves.get(run)
+            if d is None:
+                whole, front, last = (int(np.frombuffer(steps(x), np.int8).sum(dtype=np.int64)) for x in (run, run[:-1], run[-1]))
+                d = whole - front - last
+                if len(run) <= 64 and len(self.known_moves) < self.most_words:
+                    self.known_moves[run] = d
             if d:
                 if moved is None:
                     moved = out.copy()
