@@ -8,6 +8,11 @@ found wherever it starts (the missing bytes of a window count as edits; of an it
 
 The benchmark is measured first and shipped in parts of at most ``PART_BYTES``; a larger one takes several passes.
 
+Memory is bounded for any text: hits are expanded ``HITS`` at a time at most. Where a stretch of text and the items have
+more in common (repeated markup against a periodic item), the stretch is halved, with an overlap that holds a whole
+match; a short stretch is compared with the items a slice at a time, and long items are divided into overlapping
+segments, so that the smallest piece of work is one stretch against one segment. No q-gram is left out.
+
 Defined results: null texts and items are empty; items shorter than q bytes cannot match; repeated items match each;
 texts of any length are read whole, in overlapping chunks; repeated rows and ids give their matches each.
 """
@@ -30,6 +35,9 @@ BAND = 16  # half a band; two of them hold the 2 e + 1 diagonals of a match
 CHUNK = 1 << 20
 PART_BYTES = 8 << 20
 ALIGNED = 4096  # windows aligned at a time
+HITS = 1 << 20
+SEGMENT = 1024  # bytes of an item, and of the shortest stretch of text that is not halved
+OVERLAP = WINDOW + 4 * BAND
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -97,23 +105,31 @@ def align(window: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int,
     return end - int(np.flatnonzero(back == row[end])[-1]), end, int(row[end])
 
 
+def segments(b: np.ndarray) -> list[np.ndarray]:
+    """The item in overlapping segments; every window of it lies in one."""
+    step = SEGMENT - WINDOW + 1
+    return [b[k:k + SEGMENT] for k in range(0, max(len(b) - WINDOW + 1, 1), step)] if len(b) > SEGMENT else [b]
+
+
 class Index:
     """The q-grams of some items, sorted, with a bitmap in front."""
 
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
-        self.bytes = [_PLAIN[np.frombuffer((t or "").encode(), np.uint8)] for _, t in items]
+        cut = [segments(_PLAIN[np.frombuffer((t or "").encode(), np.uint8)]) for _, t in items]
+        self.bytes = [b for of in cut for b in of]
+        self.owner = np.repeat(np.arange(len(items)), [len(of) for of in cut]).tolist()
         codes = [_codes(b) for b in self.bytes]
         every = np.concatenate([*codes, np.zeros(0, np.uint64)])
         order = np.argsort(every, kind="stable")
-        self.item = np.repeat(np.arange(len(items)), [len(c) for c in codes])[order]
-        self.place = np.concatenate([*[np.arange(len(c)) for c in codes], np.zeros(0, np.int64)])[order].astype(np.int64)
+        self.item = np.repeat(np.arange(len(self.bytes), dtype=np.int32), [len(c) for c in codes])[order]
+        self.place = np.concatenate([*[np.arange(len(c), dtype=np.int32) for c in codes], np.zeros(0, np.int32)])[order]
         self.codes, self.first = np.unique(every[order], return_index=True)
         self.count = np.diff(np.r_[self.first, len(every)])
         self.known = np.zeros(1 << 22, bool)
         self.known[_slot(self.codes)] = True
         # (every STEP-th start, bytes, edits, bound) of the windows; find tries all starts, the tests' plain search only these
-        self.windows, self.least = [], np.full(len(items), 1 << 30)
+        self.windows, self.least = [], np.full(len(self.bytes), 1 << 30)
         for k, b in enumerate(self.bytes):
             n = min(WINDOW, len(b))
             starts = sorted({*range(0, len(b) - n + 1, STEP), len(b) - n}) if n >= Q else []
@@ -126,7 +142,6 @@ class Index:
 
     def find(self, data: np.ndarray, starts: np.ndarray):
         """(text, item, begin, end, edits) of every merged match in the texts of a buffer."""
-        overlap = WINDOW + 4 * BAND
         first = 0
         while first < len(starts) - 1:
             last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK, side="right")) - 1)
@@ -134,11 +149,11 @@ class Index:
                 found, at, end = [], int(starts[first]), int(starts[last])
                 while at < end:
                     stop = min(at + CHUNK, end)
-                    found += [(0, k, b + at - int(starts[first]), e + at - int(starts[first]), x)
-                              for _, k, b, e, x in self._chunk(data[at:stop], np.array([0, stop - at]))]
+                    found = merged(found + [(0, k, b + at - int(starts[first]), e + at - int(starts[first]), x)
+                                            for _, k, b, e, x in self._chunk(data[at:stop], np.array([0, stop - at]))])
                     if stop == end:
                         break
-                    at = stop - overlap
+                    at = stop - OVERLAP
             else:
                 found = self._chunk(data[starts[first]:starts[last]], starts[first:last + 1] - starts[first])
             yield from ((first + d, *rest) for d, *rest in merged(found))
@@ -153,13 +168,42 @@ class Index:
         k = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
         text = np.searchsorted(starts, at, side="right") - 1
         real = (self.codes[k] == codes[at]) & (at + Q <= starts[text + 1])
-        at, k, text = at[real], k[real], text[real]
+        return self._stretch(d, starts, at[real], k[real], text[real])
+
+    def _stretch(self, d: np.ndarray, starts: np.ndarray, at: np.ndarray, k: np.ndarray, text: np.ndarray) -> list[tuple]:
+        """Matches of the q-grams at some places (sorted), with at most HITS hits in memory."""
         if not len(at):
             return []
-        times = self.count[k]
-        hit = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        if self.count[k].sum() > HITS and at[-1] - at[0] > 2 * SEGMENT:
+            middle = int(at[0] + at[-1]) // 2
+            left, right = np.searchsorted(at, [middle + OVERLAP, middle])
+            halves = slice(0, left), slice(right, None)
+            return merged([m for part in halves for m in self._stretch(d, starts, at[part], k[part], text[part])])
+        if self.count[k].sum() <= HITS:
+            return merged(self._bands(d, starts, at, text, self.first[k], self.count[k]))
+        # a short stretch against as many items as HITS allow; one at least
+        distinct, of = np.unique(k, return_inverse=True)
+        items = [self.item[self.first[c]:self.first[c] + self.count[c]] for c in distinct]  # sorted, each
+        hits = np.zeros(len(self.bytes), np.int64)
+        for some, weight in zip(items, np.bincount(of), strict=True):
+            np.add.at(hits, some, weight)
+        found, low, total = [], 0, np.cumsum(hits)
+        while low < len(hits):
+            before = int(total[low - 1]) if low else 0
+            high = max(int(np.searchsorted(total, before + HITS, side="right")), low + 1)
+            range_ = np.array([np.searchsorted(some, [low, high]) for some in items])
+            begin, times = self.first[distinct] + range_[:, 0], range_[:, 1] - range_[:, 0]
+            some = np.flatnonzero(times[of])
+            if len(some):
+                found = merged(found + self._bands(d, starts, at[some], text[some], begin[of[some]], times[of[some]]))
+            low = high
+        return found
+
+    def _bands(self, d: np.ndarray, starts: np.ndarray, at: np.ndarray, text: np.ndarray, begin: np.ndarray, times: np.ndarray) -> list[tuple]:
+        """Matches of the hits: ``times`` ones from ``begin`` on for each place."""
+        hit = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
         at, text = np.repeat(at, times), np.repeat(text, times)
-        item, place = self.item[hit], self.place[hit]
+        item, place = self.item[hit].astype(np.int64), self.place[hit].astype(np.int64)
         diagonal = at - starts[text] - place + self.reach + 2 * BAND
         out, todo = [], {}
         for half in (0, 1):
@@ -182,6 +226,8 @@ class Index:
                 left = upto[length - Q + 1:length - Q + 1 + count] - upto[:count] >= bound
                 lines, times = np.unique(at[rows] - first - place[rows], return_counts=True)
                 for line in lines[times > length - Q]:  # a verbatim window has all its q-grams on one diagonal
+                    if not left.any():
+                        break
                     x, y = max(0, -int(line)), min(len(item_bytes), size_t - int(line))
                     if y - x < length:
                         continue
@@ -195,7 +241,7 @@ class Index:
                     todo.setdefault((length, edits), []).append((t, i, low - edits, at_s))
         for (length, edits), groups in todo.items():
             out += self._aligned(d, starts, length, edits, groups)
-        return out
+        return [(t, self.owner[i], b, e, x) for t, i, b, e, x in out]
 
     def _aligned(self, d: np.ndarray, starts: np.ndarray, length: int, edits: int, groups: list[tuple]):
         """Matches of the windows (text, item, lowest diagonal, starts in the item) that share a length."""

@@ -1,8 +1,10 @@
 """Decontamination against a plain search over all windows and texts."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -175,3 +177,36 @@ def test_band_alignment():
         begin, end, edits = map(int, got)
         assert edits == D.distances(w, r).min()
         assert edits == D.distances(w, r[begin:end], free_start=False)[-1]
+
+
+@pytest.mark.parametrize("unit", ["ab ", "a", " ", "\n\t", "abcdefghijkl"])
+def test_periodic_text_in_bounded_memory(unit, monkeypatch):
+    """A short period against an item of the same period: one match over all of it; memory does not grow with the text."""
+    item, text = (unit * 200)[:180], (unit * 30_000)[:30_000]
+    monkeypatch.setattr(D, "HITS", 1 << 16)
+    index = D.Index([(0, "nothing of the kind is to be found in any of the texts of this test, whatever their length is"), (7, item)])
+    tracemalloc.start()
+    found = list(index.find(*one_buffer(["x" * 50, text, "y " * 50])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[:4] for f in found] == [(1, 1, 0, len(text))] and found[0][4] <= 7 and peak < 80 << 20
+
+
+def test_slices_change_nothing(monkeypatch, hits=2000):
+    """The same matches however little may be in memory, with items that are periodic, long, and many."""
+    rng = random.Random(8)
+    items, docs = material(8)
+    items = [*items[:20], "ab " * 60, "a" * 150, "ab" * 1000, "".join(rng.choice("abc ") for _ in range(5000))]
+    docs = [x for x in docs[:40] if x] + ["ab " * 500, "a" * 700 + "b" * 50 + "a" * 90, "q " * 900 + items[-1][2100:2300] + " q" * 900, "ab" * 400]
+    index = D.Index(list(enumerate(items)))
+    want = sorted(index.find(*one_buffer(docs)))
+    monkeypatch.setattr(D, "HITS", hits)
+    assert sorted(index.find(*one_buffer(docs))) == want and {len(items) - k for k in range(1, 5)} <= {m[1] for m in want}
+
+
+def test_segments_hold_every_window():
+    rng = random.Random(9)
+    for n in (1, 99, 100, 1023, 1024, 1025, 1948, 1949, 1950, 5000):
+        b = np.frombuffer(bytes(rng.randrange(256) for _ in range(n)), np.uint8)
+        got = {s.tobytes()[k:k + 100] for s in D.segments(b) for k in range(max(len(s) - 99, 1))}
+        assert got == {b.tobytes()[k:k + 100] for k in range(max(n - 99, 1))} and all(len(s) <= D.SEGMENT for s in D.segments(b))
