@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.embed import Embed, hash_embed
 from ..functions.numbers import round_half_even
+from ..functions.ranking import join_on
 from ..operators import changes as D
 from ..operators import clean as C
 from ..operators import patterns as P
 from ..operators import vectors as X
 from ..session import materialise
 from ..sources import state as S
+from ..sources.prefix_log import prefixes_for
 from ..sources.tickets import check_columns, check_size, write_report
 
 HASH_MODEL = "hashed-words"
@@ -50,24 +52,29 @@ def init_state(spark: SparkSession, root: str, clean: DataFrame, examples: DataF
     live = S.current(spark, root)
     if live is not None:
         raise ValueError(f"{root} already holds version {live.v}; load into a new root")
-    tickets = S.put_batch(clean, root, "tickets", 0)
-    counts = S.put_version(P.outcome_counts(tickets), root, "outcome_counts", 0)
-    close = S.put_batch(P.close_counts(tickets), root, "close_counts", 0)
-    patterns = S.put_version(_patterns_from(counts, _times(close)), root, "patterns", 0)
-    S.put_version(P.resolution_catalogue(tickets), root, "resolutions", 0)
+    attempt = S.new_attempt()
+    tickets = S.put(clean, root, "tickets", 0, attempt)
+    counts = S.put(P.outcome_counts(tickets), root, "outcome_counts", 0, attempt)
+    prefixes = prefixes_for(tickets.count())
+    keys = S.key_index(spark, root, prefixes).put(tickets)
+    log = S.close_log(spark, root, prefixes)
+    close = log.put(P.close_counts(tickets))
+    patterns = S.put(_patterns_from(counts, _times(log.read(S.CLOSE_SCHEMA, of=[close]))), root, "patterns", 0, attempt)
+    S.put(P.resolution_catalogue(tickets), root, "resolutions", 0, attempt)
     kept = None
     if examples is not None:
         kept = examples.join(patterns.select("pattern_id"), "pattern_id", "left_semi")
-        kept.write.mode("overwrite").json(f"{root}/examples/batch=0")
-    _write_vectors(patterns, kept, root, 0, embed, dim)
-    S.commit(spark, root, 0, 0, model, LABEL_ONLY if examples is None else WITH_EXAMPLES, dim)
+        kept.write.json(S.folder(root, "examples", 0, attempt))
+    _write_vectors(patterns, kept, root, 0, attempt, embed, dim)
+    S.commit(spark, root, 0, attempt, model, LABEL_ONLY if examples is None else WITH_EXAMPLES, dim, prefixes,
+             [keys], [close])
     return S.current(spark, root)
 
 
-def _write_vectors(patterns: DataFrame, examples: DataFrame | None, root: str, batch: int, embed: Embed, dim: int):
+def _write_vectors(patterns: DataFrame, examples: DataFrame | None, root: str, v: int, attempt: str, embed: Embed, dim: int):
     rows = X.index_rows(patterns, examples)
     out = X.check_dim(X.embed_rows(rows, embed), dim).select("vec_id", "pattern_id", "slot", "embedding")
-    return S.put_batch(out, root, "vectors", batch)
+    return S.put(out, root, "vectors", v, attempt)
 
 
 def merged_patterns(old: DataFrame, counts: DataFrame, close: DataFrame, touched: DataFrame) -> DataFrame:
@@ -78,20 +85,35 @@ def merged_patterns(old: DataFrame, counts: DataFrame, close: DataFrame, touched
 
 
 def apply_batch(spark: SparkSession, root: str, raw: DataFrame, examples: DataFrame | None = None,
-                embed: Embed = hash_embed, model: str = HASH_MODEL, max_rows: int | None = None) -> BatchReport:
-    """Add one batch of raw tickets. The same batch again adds nothing and writes no version."""
+                embed: Embed = hash_embed, model: str = HASH_MODEL, max_rows: int | None = None, tries: int = 5) -> BatchReport:
+    """Add one batch of raw tickets. The same batch again adds nothing and writes no version.
+
+    If another writer commits first, the batch is applied anew to the version that is there now, ``tries`` times at most.
+    """
     t0 = time.perf_counter()
-    old = S.current(spark, root)
-    if old is None:
-        raise ValueError(f"no state at {root}")
-    X.guard_model(old.model_name, model)
     check_columns(raw)
-    v, batch = old.v + 1, old.batch + 1
     # The raw batch is read once; the funnel, the key lookup and the fresh rows come from the repaired copy.
     repaired = materialise(C.flagged(raw), "repaired")
     funnel = C.count_flags(repaired).first()
     check_size(funnel.raw_rows, max_rows)
-    tickets = S.put_batch(D.dedupe_against_state(C.usable_tickets(repaired), old.tickets), root, "tickets", batch)
+    for left in range(tries - 1, -1, -1):
+        try:
+            return _apply(spark, root, repaired, funnel, examples, embed, model, t0)
+        except S.Conflict:
+            if not left:
+                raise
+
+
+def _apply(spark: SparkSession, root: str, repaired: DataFrame, funnel, examples: DataFrame | None, embed: Embed, model: str,
+           t0: float) -> BatchReport:
+    old = S.current(spark, root)
+    if old is None:
+        raise ValueError(f"no state at {root}")
+    X.guard_model(old.model_name, model)
+    v, attempt = old.v + 1, S.new_attempt()
+    usable = C.usable_tickets(repaired)
+    fresh = join_on(usable, old.keys.seen(usable), [S.KEY], "left_anti")
+    tickets = S.put(fresh, root, "tickets", v, attempt)
     ingested = tickets.count()
     base = {"received": funnel.raw_rows, "usable": funnel.usable, "duplicates_skipped": funnel.usable - ingested,
             "ingested": ingested, "closed": funnel.closed, "with_resolution": funnel.with_resolution}
@@ -102,23 +124,24 @@ def apply_batch(spark: SparkSession, root: str, raw: DataFrame, examples: DataFr
                  "examples_generated": 0, "index_vectors": old.vectors.count()}
         return BatchReport(_row(spark, {**base, **extra}, t0), D.new_patterns(none, none), D.tier_changes(none, none))
 
-    counts = S.put_version(P.sum_outcome_counts(old.outcome_counts, P.outcome_counts(tickets)), root, "outcome_counts", v)
-    delta = S.put_batch(P.close_counts(tickets), root, "close_counts", batch)
-    close = old.grown("close_counts").unionByName(delta)
+    counts = S.put(P.sum_outcome_counts(old.outcome_counts, P.outcome_counts(tickets)), root, "outcome_counts", v, attempt)
+    delta = old.close.put(P.close_counts(tickets))
     touched = tickets.select("pattern_id").distinct()
-    patterns = S.put_version(merged_patterns(old_patterns, counts, close, touched), root, "patterns", v)
+    log = S.close_log(spark, root, old.prefixes, [*old.close_segments, delta])
+    close = log.read(S.CLOSE_SCHEMA, log.touched(touched))
+    patterns = S.put(merged_patterns(old_patterns, counts, close, touched), root, "patterns", v, attempt)
     resolutions = (old.resolutions.unionByName(P.resolution_catalogue(tickets))
                    .groupBy("resolution_id", "resolution_description").agg(F.sum("total_count").alias("total_count")))
-    resolutions = S.put_version(resolutions, root, "resolutions", v)
+    resolutions = S.put(resolutions, root, "resolutions", v, attempt)
 
-    moved = S.put_version(D.batch_changes(patterns, old_patterns), root, "changes", v)
+    moved = S.put(D.batch_changes(patterns, old_patterns), root, "changes", v, attempt)
     new_rows = patterns.join(moved.where("change = 'new'").select("pattern_id"), "pattern_id", "left_semi")
     kept, generated = None, 0
     if examples is not None:
         kept = examples.join(new_rows.select("pattern_id"), "pattern_id", "left_semi")
-        kept.write.mode("overwrite").json(f"{root}/examples/batch={batch}")
+        kept.write.json(S.folder(root, "examples", v, attempt))
         generated = kept.agg(F.coalesce(F.sum(F.size("complaints")), F.lit(0))).first()[0]
-    vectors = _write_vectors(new_rows, kept, root, batch, embed, old.dim)
+    vectors = _write_vectors(new_rows, kept, root, v, attempt, embed, old.dim)
     seen = moved.agg(F.count_if(F.col("change") == "new").alias("new"), F.count_if(F.col("change") == "tier").alias("tier"),
                      F.count_if(F.col("old_cases") != F.col("total_cases")).alias("updated")).first()
     extra = {
@@ -128,8 +151,10 @@ def apply_batch(spark: SparkSession, root: str, raw: DataFrame, examples: DataFr
     report = BatchReport(_row(spark, {**base, **extra}, t0),
                          moved.where("change = 'new'").select("pattern_id", "pattern"),
                          moved.where("change = 'tier'").select("pattern_id", "pattern", "tier_from", "tier_to"))
-    write_report(report.summary.withColumn("at", F.current_timestamp()).coalesce(1), f"{root}/audit/v={v}")
-    S.commit(spark, root, v, batch, model, old.doc_format if examples is None else WITH_EXAMPLES, old.dim)
+    write_report(report.summary.withColumn("at", F.current_timestamp()).coalesce(1), S.folder(root, "audit", v, attempt))
+    keys = old.keys.grown(old.keys.put(tickets), tickets.select(S.KEY).schema)
+    S.commit(spark, root, v, attempt, model, old.doc_format if examples is None else WITH_EXAMPLES, old.dim,
+             old.prefixes, keys, old.close.grown(delta, S.CLOSE_SCHEMA))
     return report
 
 

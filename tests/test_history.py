@@ -170,7 +170,7 @@ def test_audit_belongs_to_committed_versions(spark, state):
 
 def test_uncommitted_files_stay_invisible(spark, state):
     root, _ = state
-    S.put_batch(C.clean_tickets(tickets(spark, FRESH, "B")), root, "tickets", 1)
+    S.put(C.clean_tickets(tickets(spark, FRESH, "B")), root, "tickets", 1, S.new_attempt())
     assert S.current(spark, root).tickets.count() == TOTAL
     I.apply_batch(spark, root, tickets(spark, MORE, "C"))
     assert S.current(spark, root).tickets.count() == TOTAL + MORE_SIZE
