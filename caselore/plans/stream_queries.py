@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.embed import hash_embed
 from ..operators import acceptance as Q
 from ..operators import answer as G
@@ -18,8 +19,9 @@ from ..sources import adapters as A
 from ..sources import state as S
 from ..sources import tickets as K
 from ..streaming import jobs as J
+from ..streaming.alerts import start_alerts
 from . import ingest as I
-from .answer_queries import LOG, MAIN, REASON, TEMPLATE_SUMMARY, kept_answers, outcomes_sql, sources_sql, windows_sql
+from .answer_queries import BROKEN, LOG, MAIN, REASON, TEMPLATE_SUMMARY, kept_answers, outcomes_sql, sources_sql, windows_sql
 from .base_queries import _labels_sql
 from .check_sql import DIFF, with_
 from .history_queries import base_state, later_raw
@@ -78,6 +80,30 @@ def stream_window_alerts(spark, sf):
                     F.round("p95_latency", 9).alias("p95_latency"))
 
 
+STATE_SQL = f"""
+last_closed as (select max(window_end) as mark from {windows_sql(60)} w where window_end <= (select max(ts) from log) - interval 10 minute),
+closed as (select b.*, mark from ({BROKEN}) b, last_closed where window_end <= mark),
+marked as (select *, case when lag(window_end) over (partition by alert order by window_end) = window_end - interval 5 minute
+ then 0 else 1 end as starts from closed),
+runs as (select *, sum(starts) over (partition by alert order by window_end) as run from marked),
+sinces as (select alert, window_end, mark, run, min(window_end) over (partition by alert, run) as since,
+ max(window_end) over (partition by alert, run) as last from runs)"""
+
+
+@query("stream_alert_states", with_(LOG + "," + STATE_SQL, f"""
+select alert, window_end, since, case when date_diff('minute', since, window_end) >= case alert
+ {' '.join(f"when '{n}' then {r[4]}" for n, r in V.ALERT_RULES.items())} end then 'firing' else 'pending' end as state from sinces
+union all select distinct alert, last + interval 5 minute, since, 'resolved' from sinces where last + interval 5 minute <= mark"""))
+def stream_alert_states(spark, sf):
+    """States come out as windows close; what the watermark has not passed is still open."""
+    events = A.table(spark, sf, "events")
+    log = A.log_of_events(J.ticket_files(spark, sf, events.schema, glob="events.parquet"))
+    root = fresh_path(spark, "alerts")
+    start_alerts(log, root)
+    return spark.read.parquet(f"{root}/states").select(
+        "alert", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_end", "since")], "state")
+
+
 @query("ingest_verdict", with_(DIFF + f""",
 lab as (select pattern_id, {embed_sql('t')} as e from (select pattern_id,
  {_labels_sql('. ', 'complaint_type descriptor descriptor_2')} as t from n_patterns) x),
