@@ -34,6 +34,15 @@ def ask_metrics(log: DataFrame) -> DataFrame:
             .groupBy("metric", "label1", "label2").agg(F.sum("n").alias("n")))
 
 
+def service_counters(log: DataFrame, batches: DataFrame) -> DataFrame:
+    """(metric, n): failed requests of the log, and what the batches of a state's audit have brought in all."""
+    errors = log.agg(F.lit("errors_total").alias("metric"), F.count_if(F.col("reason") == "internal error").alias("n"))
+    sums = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("ingested", "new_patterns")])
+    rows = F.array(F.struct(F.lit("ingested_tickets_total").alias("metric"), F.col("ingested").alias("n")),
+                   F.struct(F.lit("new_patterns_total").alias("metric"), F.col("new_patterns").alias("n")))
+    return errors.unionByName(sums.select(F.inline(rows)))
+
+
 def histogram_le(df: DataFrame, value: Column, buckets: list[float], keys: tuple = ()) -> DataFrame:
     """Cumulative bucket counts with +Inf, sum and count. Bounds become columns of one aggregate, not joined rows."""
     bounds = [*buckets, float("inf")]

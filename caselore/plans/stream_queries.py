@@ -104,6 +104,16 @@ def stream_alert_states(spark, sf):
         "alert", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_end", "since")], "state")
 
 
+@query("service_counters", with_(LOG + "," + DIFF, """
+select 'errors_total' as metric, count(*) filter (reason = 'internal error') as n from log
+union all select 'ingested_tickets_total', count(*) from later
+union all select 'new_patterns_total', count(*) from n_patterns where pattern_id not in (select pattern_id from o_patterns)"""))
+def service_counters(spark, sf):
+    root, _ = base_state(spark, sf)
+    I.apply_batch(spark, root, later_raw(spark, sf))
+    return M.service_counters(A.answer_log(spark, sf), S.audit(spark, root))
+
+
 @query("ingest_verdict", with_(DIFF + f""",
 lab as (select pattern_id, {embed_sql('t')} as e from (select pattern_id,
  {_labels_sql('. ', 'complaint_type descriptor descriptor_2')} as t from n_patterns) x),
