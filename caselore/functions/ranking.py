@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps the left copy of the keys."""
@@ -119,19 +121,29 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
 
 
 def first_n(df: DataFrame, n: int, order: list[Column], levels: list[Column]) -> DataFrame:
-    """``orderBy(order).limit(n)`` without pulling ``n`` rows from every task into one.
+    """``orderBy(order).limit(n)`` without pulling ``n`` rows from every task into one, and without carrying the other columns.
 
-    ``levels`` are ever finer buckets along the sort order (say day, then second). At each level a small
-    histogram finds the bucket where the n-th row falls, and everything behind it is filtered out.
+    ``levels`` are ever finer buckets along the sort order (say day, then second). Only they are computed for all rows, and
+    written. At each level a histogram of the bucket in question finds the next one, where the n-th row falls. The rows
+    themselves are then read once, up to that bucket; whatever stands behind ``df`` - joins, say - runs for them alone.
     """
-    kept = df
-    for level in levels:
-        hist = kept.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        upto = hist.select("b", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
-        last = upto.where(F.col("before") < n).agg(F.max("b").alias("last"))
-        kept = kept.where((level <= last.scalar()) | level.isNull())
-    return kept.orderBy(*order).limit(n)
+    names = [f"level{i}" for i in range(len(levels))]
+    kept = materialise(df.select(*[c.alias(x) for c, x in zip(levels, names, strict=True)]), "levels")
+    left, wanted, here = n, F.lit(False), F.lit(True)
+    for level, name in zip(levels, names, strict=True):
+        hist = kept.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        run = Window.orderBy(F.col(name).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        upto = hist.select(name, F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before")).where(F.col("before") < left)
+        last = upto.orderBy(F.desc("before")).first()
+        if last is None:
+            return df.orderBy(*order).limit(n)  # no rows, or none wanted
+        at = F.lit(last[name])
+        if last[name] is not None:
+            wanted = wanted | (here & (level.isNull() | (level < at)))
+        here = here & level.eqNullSafe(at)
+        left -= last["before"]
+        kept = kept.where(F.col(name).eqNullSafe(at))
+    return df.where(wanted | here).orderBy(*order).limit(n)
 
 
 def outcome_ranks(outcomes: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.numbers import round_half_even, support_bucket
+from ..functions.ranking import join_on
 from ..session import materialise
 from . import patterns as P
 from .changes import dedupe_against_state
 
+SHIP_LIMIT = 64 << 20
+PARTS = 1000
 VALUES = ["seen", "type_seen", "res_seen", "p_pattern", "p_type", "p_global", "top1", "top3", "tier", "train_n",
           "pred_top1_share"]
 
@@ -60,10 +63,33 @@ def scored_pairs(counts: DataFrame, test: DataFrame) -> DataFrame:
 
 def backtest_rows(train: DataFrame, test: DataFrame) -> DataFrame:
     """One row per later ticket; tickets already in the history are skipped."""
-    test = dedupe_against_state(test, train)
-    pairs = scored_pairs(history_counts(train), test).drop("n")
-    return test.select("unique_key", "pattern_id", "resolution_id").join(
-        pairs, ["pattern_id", "resolution_id"]).select("unique_key", "pattern_id", *VALUES)
+    test = dedupe_against_state(test, train).select("unique_key", "pattern_id", "complaint_type", "resolution_id")
+    test = materialise(test, "later")  # read for the pairs, and again for the rows
+    pairs = materialise(scored_pairs(history_counts(train), test), "pairs")
+    return with_pairs(test.drop("complaint_type"), pairs).select("unique_key", "pattern_id", *VALUES)
+
+
+def with_pairs(rows: DataFrame, pairs: DataFrame, ship_limit: int = SHIP_LIMIT, parts: int = PARTS) -> DataFrame:
+    """Every row with the values of its (pattern, outcome); ``pairs`` has each pair once, with the rows ``n`` that it has.
+
+    The pairs are measured: a small table is shipped and the rows stay where they are. Beyond that both sides are
+    shuffled, and a pair with more than a ``parts``-th of all rows - there are fewer than ``parts`` of them - is copied
+    for as many salts as it holds such parts, so that no task gets more than one part of it.
+    """
+    keys = ["pattern_id", "resolution_id"]
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in (*keys, "tier")), F.lit(100))
+    size = pairs.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    values = pairs.drop("n")
+    if size["bytes"] <= ship_limit:
+        return join_on(rows, F.broadcast(values), keys)
+    part = max(size["rows"] // parts, 1)
+    hot = pairs.where(F.col("n") > part).select(*keys, F.ceil(F.col("n") / part).cast("int").alias("salts"))
+    hot = F.broadcast(materialise(hot, "hot"))  # fewer than ``parts`` rows
+    salted = join_on(rows, hot, keys, "left").withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64("unique_key"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    copied = join_on(values, hot, keys, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return join_on(salted, copied.hint("shuffle_merge"), [*keys, "salt"]).drop("salt")
 
 
 def _means(d: DataFrame, keys: list[str]) -> DataFrame:

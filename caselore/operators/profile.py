@@ -7,6 +7,7 @@ map side and never gathered in one task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..fixed_values import WHITE_SPACE
 from ..functions.numbers import cut_bins, round_half_even
 from ..functions.ranking import exact_percentiles
 from ..functions.text import strip
+from ..session import materialise
 
 PAIR = ["complaint_type", "descriptor"]
 TRIPLE = [*PAIR, "descriptor_2"]
@@ -56,10 +58,18 @@ def _as_text(field: ST.StructField) -> Column:
 
 
 def column_values(df: DataFrame) -> DataFrame:
-    """(column, value, n) for all columns at once; nested values as JSON text."""
-    pairs = F.array(*[F.struct(F.lit(f.name).alias("column_name"), _as_text(f).alias("value")) for f in df.schema])
-    return (df.select(F.explode(pairs).alias("p")).select("p.*")
-            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    """(column, value, n) of all columns; nested values as JSON text.
+
+    The table is written once, as text; each column is then read and counted for itself, so no row is multiplied and what is
+    shuffled of a column are its distinct values.
+    """
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    stored = materialise(df.select(*[_as_text(f).alias(c) for f, c in zip(df.schema, names, strict=True)]), "columns")
+    parts = [stored.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(f.name).alias("column_name"), "value", "n") for f, c in zip(df.schema, names, strict=True)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def column_counts(df: DataFrame, **counts: Callable[[Column], Column]) -> DataFrame:

@@ -74,6 +74,13 @@ def date_bounded_pull(spark, sf):
     return K.oldest_first(K.created_from(tickets_export(spark, sf), "1999-06-01"), 100_000)
 
 
+@query("capped_pull", with_(EXPORT, """
+select * from export where created_date >= '1995-01-01' order by created_date, unique_key limit 5000"""))
+def capped_pull(spark, sf):
+    """The same with a cap that cuts."""
+    return K.oldest_first(K.created_from(tickets_export(spark, sf), "1995-01-01"), 5_000)
+
+
 @query("schema_contract", with_(RAW, "select 0::bigint as missing, 3::bigint as extra_columns, count(*) as records from raw"))
 def schema_contract(spark, sf):
     raw = tickets_raw(spark, sf)

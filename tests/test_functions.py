@@ -5,6 +5,7 @@ import textwrap
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from caselore import fixed_values as V
@@ -146,3 +147,32 @@ def test_normalise_and_prefix(spark):
     one = column(spark, ["q"])
     assert run(one, query_text(F.col("x"), "BAAI/bge-m3")) == ["q"]
     assert run(one, query_text(F.col("x"), "BAAI/bge-small-en-v1.5"))[0].endswith("passages: q")
+
+
+def test_first_n_reads_the_rows_once(spark):
+    from caselore.functions.ranking import first_n
+
+    rows = [(k, None if k % 11 == 0 else (k * 37) % 50, f"x{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, t long, other string").repartition(4)
+    order = [F.col("t"), F.col("k")]
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    for n in (0, 1, 5, 28, 29, 120, 300, 500):
+        got = first_n(df, n, order, [F.floor(F.col("t") / 10), F.col("t")])
+        assert [tuple(r) for r in got.collect()] == ordered[:n]
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") <= 1
+    assert first_n(df.where("k < 0"), 3, order, [F.col("t")]).collect() == []
+
+
+@pytest.mark.parametrize("limit, parts", [(1 << 20, 1000), (0, 1000), (0, 4), (0, 1)])
+def test_pairs_shipped_or_salted(spark, limit, parts):
+    from caselore.operators import backtest
+
+    rows = spark.createDataFrame([(f"k{i}", "hot" if i % 3 == 0 else f"p{i % 40}", f"r{i % 2 if i % 3 else 0}") for i in range(600)],
+                                 "unique_key string, pattern_id string, resolution_id string")
+    pairs = rows.groupBy("pattern_id", "resolution_id").agg(F.count(F.lit(1)).alias("n")).withColumns(
+        {"tier": F.lit("x"), "value": F.concat("pattern_id", "resolution_id")})
+    got = backtest.with_pairs(rows, pairs, limit, parts)
+    assert sorted((r.unique_key, r.value) for r in got.collect()) == sorted(
+        (r.unique_key, r.pattern_id + r.resolution_id) for r in rows.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (limit == 0)
