@@ -7,15 +7,18 @@ prefix. A conversation of any length is therefore only ever a set of rows.
 Defined results: a null role or text is empty; a null turn number stands behind all others; a null pair id is a pair of
 its own; turns repeated under one number are compared as a bag and ordered by role and text; equal conversations give
 a prompt and no completion; if one conversation is the beginning of the other its completion is empty; other columns
-are not read.
+are not read. ``pairs`` gives a row for each pair (several for one too long for a row), with the spans to be trained on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LAST = (1 << 63) - 1
+BLOCK_BITS = 8
+ROW_CHARS = 1 << 20
 
 
 def turns(df: DataFrame, pair: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -68,6 +71,48 @@ def examples(parts: DataFrame) -> DataFrame:
                       spans("rejected").alias("rejected_loss"))
 
 
+def placed(parts: DataFrame) -> DataFrame:
+    """The segments with ``at``: the characters of their part (prompt, chosen or rejected) in front of them.
+
+    Turns are first added up per block of 256 turn numbers, the blocks are added up per part, and a segment's offset
+    is its block's plus what stands before it in the block; so a conversation with very many turns is many small groups.
+    """
+    cut = parts.withColumns({"block": F.shiftright("turn", BLOCK_BITS), "chars": F.length("rendered").cast("long")})
+    sums = cut.groupBy("pair_id", "part", "block").agg(F.sum("chars").alias("chars"))
+    before = W.partitionBy("pair_id", "part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("pair_id").alias("of"), F.col("part").alias("in"), F.col("block").alias("by"),
+                       F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("from"))
+    inside = W.partitionBy("pair_id", "part", "block").orderBy("turn", "role", "rendered").rowsBetween(W.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("chars").over(inside), F.lit(0))
+    joined = cut.join(sums, F.col("pair_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")) & (F.col("block") == F.col("by")))
+    return joined.select("pair_id", "part", "turn", "role", "rendered", "loss", (F.col("from") + own).alias("at"), "chars")
+
+
+def pairs(parts: DataFrame, row_chars: int = ROW_CHARS) -> DataFrame:
+    """Paired masked completions: pair_id, piece, n_pieces, prompt, chosen, rejected, and the character spans [from, to) with a
+    loss in chosen and rejected.
+
+    A pair whose parts have at most ``row_chars`` characters each is one row, ready for training. A longer one has several
+    rows, of as many characters a part as that (and one segment more at most): its parts are the pieces' texts one
+    after the other, and spans count from the part's begin, so nothing is cut off and no row grows with a conversation.
+    """
+    rows = placed(parts).withColumn("piece", F.floor(F.col("at") / row_chars).cast("long"))
+    item = F.struct("at", "turn", "role", "rendered", "loss", "chars")
+    out = rows.groupBy("pair_id", "piece").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("part") == p, item))).alias(p) for p in ("prompt", "chosen", "rejected")])
+    ends = rows.groupBy("pair_id").agg(F.countDistinct("piece").alias("n_pieces")).withColumnRenamed("pair_id", "of")
+
+    def text(p):
+        return F.array_join(F.transform(p, lambda x: x["rendered"]), "")
+
+    def spans(p):
+        return F.transform(F.filter(p, lambda x: x["loss"]), lambda x: F.struct(x["at"].alias("from"), (x["at"] + x["chars"]).alias("to")))
+
+    return out.join(ends, F.col("pair_id").eqNullSafe(F.col("of"))).select(
+        "pair_id", "piece", "n_pieces", text("prompt").alias("prompt"), text("chosen").alias("chosen"), text("rejected").alias("rejected"),
+        spans("chosen").alias("chosen_loss"), spans("rejected").alias("rejected_loss"))
+
+
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs out of plain conversations: each one as it is, and with its last reply taken from its neighbour (id xor 1).
 

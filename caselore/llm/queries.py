@@ -59,7 +59,7 @@ def op5(spark, sf):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query("op6_preference", """
+_SEGMENTS = """
     with last as (
       select conv_id, max(turn) as t from conversations where role = 'assistant' group by conv_id),
     reply as (
@@ -75,16 +75,44 @@ def op5(spark, sf):
       where c.text is distinct from r.text or c.role is distinct from r.role group by 1),
     parts as (
       select conv_id as pair_id, 'chosen' as side, turn, role, text from conversations
-      union all select conv_id, 'rejected', turn, role, text from rejected_turns)
-    select p.pair_id, case when first_other is null or turn < first_other then 'prompt' else side end as part, turn, role,
-           '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered,
-           coalesce(turn >= first_other, false) and role = 'assistant' as loss
-    from parts p left join ends e on e.pair_id = p.pair_id
-    where side = 'chosen' or turn >= first_other""")
-def op6(spark, sf):
+      union all select conv_id, 'rejected', turn, role, text from rejected_turns),
+    segments as (
+  select p.pair_id, case when first_other is null or turn < first_other then 'prompt' else side end as part, turn, role,
+             '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered,
+             coalesce(turn >= first_other, false) and role = 'assistant' as loss
+      from parts p left join ends e on e.pair_id = p.pair_id
+      where side = 'chosen' or turn >= first_other)"""
+
+
+@query("preference_segments", _SEGMENTS + " select * from segments")
+def preference_segments(spark, sf):
+    """A row for each rendered turn."""
     return preference.segments(*preference.swapped_replies(table(spark, sf, "conversations")))
 
 
+@query("op6_preference", _SEGMENTS + """,
+    placed as (
+      select *, length(rendered) as chars, coalesce(sum(length(rendered)) over (
+        partition by pair_id, part order by turn, role, rendered rows between unbounded preceding and 1 preceding), 0)::bigint as begins
+      from segments),
+    pieces as (select *, begins // 1048576 as piece from placed),
+    counted as (select pair_id, count(distinct piece) as n_pieces from pieces group by pair_id)
+    select p.pair_id, piece, any_value(n_pieces) as n_pieces,
+           coalesce(string_agg(rendered, '' order by begins) filter (part = 'prompt'), '') as prompt,
+           coalesce(string_agg(rendered, '' order by begins) filter (part = 'chosen'), '') as chosen,
+           coalesce(string_agg(rendered, '' order by begins) filter (part = 'rejected'), '') as rejected,
+           coalesce(string_agg(begins || '-' || (begins + chars), ',' order by begins) filter (part = 'chosen' and loss), '') as chosen_loss,
+           coalesce(string_agg(begins || '-' || (begins + chars), ',' order by begins) filter (part = 'rejected' and loss), '') as rejected_loss
+    from pieces p join counted e on e.pair_id = p.pair_id group by p.pair_id, piece""")
+def op6(spark, sf):
+    """Paired masked completions; the spans to be trained on as from-to, in characters."""
+    def spans(name):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["from"], s["to"])), ",").alias(name)
+
+    rows = preference.pairs(preference.segments(*preference.swapped_replies(table(spark, sf, "conversations"))))
+    return rows.select("pair_id", "piece", "n_pieces", "prompt", "chosen", "rejected", spans("chosen_loss"), spans("rejected_loss"))
+
+
 @query("op7_near_duplicates", """
     with recursive w as (
       select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -51,8 +51,30 @@ def test_examples(spark):
     assert rows[2].chosen == "" and rows[2].rejected == "" and rows[3].chosen == ""
 
 
+def test_pairs_of_any_length(spark):
+    """Whole parts and exact spans, in one row or in many."""
+    long = [(9, t, "assistant" if t % 2 else "user", f"turn {t} " * 20) for t in range(1200)]
+    other = [(p, t, r, "else" if t == 900 else x) for p, t, r, x in long]
+    parts = P.segments(frame(spark, CHOSEN + long), frame(spark, REJECTED + other))
+    for row_chars in (1 << 20, 5000, 30):
+        rows = {}
+        for r in P.pairs(parts, row_chars).collect():
+            rows.setdefault(r.pair_id, []).append(r)
+        want = {r.pair_id: r for r in P.examples(parts).collect()}
+        assert set(rows) == set(want)
+        for k, got in rows.items():
+            got.sort(key=lambda r: r.piece)
+            assert {r.n_pieces for r in got} == {len(got)}
+            for name in ("prompt", "chosen", "rejected"):
+                assert "".join(r[name] for r in got) == want[k][name]
+            for name in ("chosen_loss", "rejected_loss"):
+                assert [tuple(x) for r in got for x in r[name]] == [tuple(x) for x in want[k][name]]
+            assert row_chars < 5000 or max(len(r.prompt) for r in got) <= row_chars + 400 or k == 7
+        assert len(rows[1]) == 1 or row_chars == 30
+
+
 def test_no_python_in_the_plan(spark):
-    plan = P.segments(frame(spark, CHOSEN), frame(spark, REJECTED))._jdf.queryExecution().toString()
+    plan = P.pairs(P.segments(frame(spark, CHOSEN), frame(spark, REJECTED)))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
