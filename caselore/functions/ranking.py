@@ -27,6 +27,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 FINER = 4096
+MOST_VALUES = 100_000
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
@@ -62,46 +63,46 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     return percentiles_of_counts(freq, keys, "__v", "__n", probs, width)
 
 
-def percentiles_of_counts(freq: DataFrame, keys: list[str], value: str, count: str,
-                          probs: dict[str, float], width: float = 1.0) -> DataFrame:
+def percentiles_of_counts(freq: DataFrame, keys: list[str], value: str, count: str, probs: dict[str, float], width: float = 1.0,
+                          most_values: int = MOST_VALUES) -> DataFrame:
     """The same from ``(keys, value, count)`` rows that hold each value once per key.
 
-    The buckets that hold a wanted rank are split again into ``FINER`` parts each, so that what has to be put in order
-    stays small however many values a step of ``width`` holds.
-
-    Null values weigh nothing instead of being filtered out: a filter would be pushed into the plan below and keep it
-    from being shared with other readers of the same counts.
+    Selection by refinement: a histogram of step ``width`` finds the buckets that hold a wanted rank. While some such bucket
+    has more than ``most_values`` distinct values, its own range is split into ``FINER`` parts and the parts that hold a
+    wanted rank take its place, so that what has to be put in order stays small whatever the spread of the values. The
+    counts are written once; each pass reads only the values of the buckets before it.
     """
-    def weight(c: Column) -> Column:
-        return F.sum(F.when(F.col("__v").isNotNull(), c).otherwise(0))
-
-    freq = freq.select(*keys, F.col(value).cast("double").alias("__v"), F.col(count).alias("__n"),
-                       F.floor(F.col(value) / F.lit(float(width))).alias("__b"))
-    hist = freq.groupBy(*keys, "__b").agg(weight(F.col("__n")).alias("__bn"))
-    run = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*keys, "__b", "__bn",
-                       F.coalesce(F.sum("__bn").over(run), F.lit(0)).alias("__from"),
-                       F.sum("__bn").over(Window.partitionBy(*keys)).alias("__total"))
-
     def rank(p: float) -> Column:
         return (F.col("__total") - 1) * F.lit(float(p))
 
     def within(r: Column, start: Column, n: Column) -> Column:
         return (r >= start) & (r < start + n)
 
-    wanted = []
-    for p in probs.values():
-        wanted += [within(F.floor(rank(p)), F.col("__from"), F.col("__bn")),
-                   within(F.ceil(rank(p)), F.col("__from"), F.col("__bn"))]
-    picked = hist.where(reduce(lambda a, b: a | b, wanted)).select(*keys, "__b", "__from", "__total")
-    rows = join_on(freq, picked, [*keys, "__b"]).withColumn("__c", F.floor(F.col("__v") / F.lit(width / FINER)))
-    fine = rows.groupBy(*keys, "__b", "__c").agg(weight(F.col("__n")).alias("__bn"), F.max("__from").alias("__from"),
-                                                 F.max("__total").alias("__total"))
-    run = Window.partitionBy(*keys, "__b").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    fine = fine.withColumn("__from", F.col("__from") + F.coalesce(F.sum("__bn").over(run), F.lit(0)))
-    picked = fine.where(reduce(lambda a, b: a | b, wanted)).select(*keys, "__b", "__c", "__from", "__total")
-    rows = join_on(rows.drop("__from", "__total"), picked, [*keys, "__b", "__c"])
-    inside = Window.partitionBy(*keys, "__b", "__c").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = [f(rank(p)) for p in probs.values() for f in (F.floor, F.ceil)]
+    wanted = reduce(lambda a, b: a | b, [within(r, F.col("__from"), F.col("__bn")) for r in ranks])
+    tally = [F.sum("__n").alias("__bn"), F.count(F.lit(1)).alias("__d")]
+
+    freq = freq.select(*keys, F.col(value).cast("double").alias("__v"), F.col(count).alias("__n"),
+                       F.array(F.floor(F.col(value) / F.lit(float(width))).cast("long")).alias("__b")).where(F.col("__v").isNotNull())
+    rows = materialise(freq, "values")
+    run = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = rows.groupBy(*keys, "__b").agg(*tally).withColumns({
+        "__from": F.coalesce(F.sum("__bn").over(run), F.lit(0)), "__total": F.sum("__bn").over(Window.partitionBy(*keys))})
+    picked = materialise(hist.where(wanted), "buckets")
+    rows = join_on(rows, picked.drop("__bn"), [*keys, "__b"])
+    while (picked.agg(F.max("__d")).first()[0] or 0) > most_values:
+        rows = materialise(rows, "values")
+        ends = rows.groupBy(*keys, "__b").agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        place = F.floor((F.col("__v") / 2 - F.col("__low") / 2) / (F.col("__high") / 2 - F.col("__low") / 2) * (FINER - 1))
+        split = join_on(rows, ends, [*keys, "__b"]).withColumn(
+            "__part", F.when(F.col("__d") <= most_values, F.lit(0)).otherwise(place).cast("long"))
+        inner = Window.partitionBy(*keys, "__b").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        hist = split.groupBy(*keys, "__b", "__part").agg(*tally, F.max("__from").alias("__from"), F.max("__total").alias("__total"))
+        hist = hist.withColumn("__from", F.col("__from") + F.coalesce(F.sum("__bn").over(inner), F.lit(0)))
+        picked = materialise(hist.where(wanted).withColumn("__b", F.array_append("__b", F.col("__part"))), "buckets")
+        split = split.select(*keys, "__v", "__n", F.array_append("__b", F.col("__part")).alias("__b"))
+        rows = join_on(split, picked.drop("__bn", "__part"), [*keys, "__b"])
+    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__start", F.col("__from") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     aggs = []
     for name, p in probs.items():

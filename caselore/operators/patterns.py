@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.numbers import round_half_even
 from ..functions.ranking import outcome_ranks, percentiles_of_counts
+from ..session import materialise
 
 PAGE = 1000
 
@@ -78,12 +79,22 @@ def pattern_table(counts: DataFrame, close: DataFrame) -> DataFrame:
         "top1_raw"))
 
 
+def joint_counts(tickets: DataFrame) -> DataFrame:
+    """Tickets per (pattern, outcome, close time), written: one pass over the tickets that both count tables are sums of."""
+    return materialise(tickets.groupBy("pattern_id", *V.LABELS, "resolution_id", "close_hours").agg(F.count(F.lit(1)).alias("n")), "joint")
+
+
+def outcomes_of(joint: DataFrame) -> DataFrame:
+    return joint.groupBy("pattern_id", *V.LABELS, "resolution_id").agg(F.sum("n").alias("count"))
+
+
+def close_of(joint: DataFrame) -> DataFrame:
+    return joint.where(F.col("close_hours").isNotNull()).groupBy("pattern_id", "close_hours").agg(F.sum("n").alias("n"))
+
+
 def build_patterns(tickets: DataFrame) -> DataFrame:
-    """One pass over the tickets: both count tables come from one shared aggregation, whose shuffle Spark reuses."""
-    both = tickets.groupBy("pattern_id", *V.LABELS, "resolution_id", "close_hours").agg(F.count(F.lit(1)).alias("n"))
-    counts = both.groupBy("pattern_id", *V.LABELS, "resolution_id").agg(F.sum("n").alias("count"))
-    close = both.groupBy("pattern_id", "close_hours").agg(F.sum("n").alias("n"))
-    return pattern_table(counts, close)
+    joint = joint_counts(tickets)
+    return pattern_table(outcomes_of(joint), close_of(joint))
 
 
 def outcome_table(counts: DataFrame) -> DataFrame:

@@ -412,9 +412,10 @@ def state_snapshot(spark, sf):
 select pattern_id, total_cases, n_resolutions, top1_share, tier, median_close_hours, p90_close_hours from n_patterns"""))
 def incremental_stats(spark, sf):
     base, later = split(spark, sf)
-    counts = P.sum_outcome_counts(P.outcome_counts(base), P.outcome_counts(later))
-    close = P.close_counts(base).unionByName(P.close_counts(later))
-    out = I.merged_patterns(P.build_patterns(base), counts, close, later.select("pattern_id").distinct())
+    old, new = P.joint_counts(base), P.joint_counts(later)  # each half is read once
+    counts = P.sum_outcome_counts(P.outcomes_of(old), P.outcomes_of(new))
+    out = I.merged_patterns(P.pattern_table(P.outcomes_of(old), P.close_of(old)), counts, P.close_of(old).unionByName(P.close_of(new)),
+                            new.select("pattern_id").distinct())
     return out.select("pattern_id", "total_cases", "n_resolutions", "top1_share", "tier", "median_close_hours", "p90_close_hours")
 
 

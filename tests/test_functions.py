@@ -176,3 +176,20 @@ def test_pairs_shipped_or_salted(spark, limit, parts):
         (r.unique_key, r.pattern_id + r.resolution_id) for r in rows.collect())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert ("SortMergeJoin" in plan) == (limit == 0)
+
+
+@pytest.mark.parametrize("most", [100_000, 40, 1])
+def test_percentiles_of_crowded_values(spark, most):
+    """Values that crowd inside a tiny step, over many magnitudes, or repeat: refined until few are left, always exact."""
+    from caselore.functions.ranking import percentiles_of_counts
+
+    rng = np.random.default_rng(6)
+    groups = {"tiny": 5 + rng.random(700) * 1e-9, "wide": np.exp(rng.normal(size=500) * 40) * rng.choice([-1, 1], 500),
+              "same": np.full(90, 3.25), "one": np.array([7.0]), "two": np.array([1.0, 2.0]),
+              "mixed": np.r_[np.zeros(400), rng.normal(size=300), 1e9]}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("none", None)]
+    freq = spark.createDataFrame(rows, "k string, x double").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
+    got = {r.k: r for r in percentiles_of_counts(freq, ["k"], "x", "n", {"a": 0.5, "b": 0.9, "c": 0.0}, most_values=most).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert np.allclose([got[k].a, got[k].b, got[k].c], np.percentile(v, [50, 90, 0]), rtol=1e-12, atol=0), k
