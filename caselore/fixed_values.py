@@ -91,3 +91,9 @@ SELECTION_PROMPT = 'Complaint:\n"""\n{}\n"""\n\nCandidates:\n{}'
 DRAFT_PROMPT = 'Customer complaint:\n"""\n{}\n"""\n\nDetected: {} / {}; severity {}/5; sentiment {}.\n\nSOURCES:\n{}'
 JUDGE_PROMPT = "SOURCES:\n{}\n\nCLAIMS:\n{}"
 EXAMPLE_PROMPT = "Problem category (hidden from the resident): {}\nWrite {} different complaints."
+
+# Limits and labels of the profile's bins.
+DIVERSITY = ([0, 1, 3, 5, 10, None],
+             ["1 resolution", "2-3 resolutions", "4-5 resolutions", "6-10 resolutions", "11+ resolutions"])
+SHARE_EDGES = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+SHARE_LABELS = ["very_diverse", "diverse", "moderate", "near_det", "deterministic"]

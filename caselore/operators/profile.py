@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from ..fixed_values import WHITE_SPACE
+from ..fixed_values import DIVERSITY, SHARE_EDGES, SHARE_LABELS, WHITE_SPACE
 from ..functions.numbers import cut_bins, round_half_even
 from ..functions.ranking import exact_percentiles
 from ..functions.text import strip
@@ -20,10 +20,6 @@ from ..functions.text import strip
 PAIR = ["complaint_type", "descriptor"]
 TRIPLE = [*PAIR, "descriptor_2"]
 RES = "resolution_description"
-DIVERSITY = ([0, 1, 3, 5, 10, None],
-             ["1 resolution", "2-3 resolutions", "4-5 resolutions", "6-10 resolutions", "11+ resolutions"])
-SHARE_EDGES = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-SHARE_LABELS = ["very_diverse", "diverse", "moderate", "near_det", "deterministic"]
 
 
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
