@@ -9,8 +9,10 @@ down, with 8e-4 five levels down, 3e-3 at seven and 1.2e-2 at ten. At 80 % it is
 
 A node that keeps almost all classes of its parent is a large group of near copies which no branching can divide. Its
 classes are dealt into blocks, and a few pivots of the node join every block, so the group grows together in linear
-work; afterwards whatever did not end up in the node's main component is compared with the whole node, block by
-block, so no link is lost by the blocks.
+work; afterwards whatever did not end up in the node's main component (its strays) is brought together with the whole
+node, so no link is lost by the blocks. Small groups are compared block by block. In larger ones, families that share a
+template but stay below the threshold among them, two documents meet only if they share a shingle outside the template
+(``beside_core``), which is exact, so such a family costs work in proportion to its shingles.
 
 Links: 100 * |A and B| >= 75 * |A or B| on the 64-bit hashes of the full sets. Inside a group a pair is not compared if
 the two are already connected.
@@ -26,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -37,6 +39,8 @@ ROOT_SLOTS = 16  # twelve trees, every third of which picks a second slot
 SMALL = 96
 PIVOTS = 16
 STRAY = 128
+PLAIN = 64  # pairs of blocks of a group's strays and its members that are compared without looking at their shingles
+TOKENS = 1 << 21
 DENSE = 0.72
 DEPTH = 12
 SURE = 34  # of 64 slots equal: a pair at the threshold has fewer with a chance of 4e-5
@@ -202,6 +206,40 @@ def stars(v: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def joined_names(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Numbers of the parts that the links and the common labels of a cluster hold together."""
+    names = np.unique(label, return_inverse=True)[1].reshape(-1)
+    size = np.array([len(x) for x in sets], np.int64)
+    if len(sets) <= 3 or size.sum() > TOKENS:
+        for x in range(1, len(sets)):
+            for y in range(x):
+                if names[x] == names[y] or 100 * min(size[x], size[y]) < SIMILAR * max(size[x], size[y]):
+                    continue
+                both = S.shared(sets[x], sets[y])
+                if 100 * both >= SIMILAR * (size[x] + size[y] - both):
+                    names = np.where(names == names[x], names[y], names)
+        return names
+    token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    token = token.reshape(-1)
+    both = np.full((len(sets), len(sets)), int((n == len(sets)).sum()), np.int64)
+    some = (n > 1) & (n < len(sets))  # the others are in one set only, or in all of them
+    place, owner = np.cumsum(some) - 1, np.repeat(np.arange(len(sets)), size)
+    owner, place = owner[some[token]], place[token[some[token]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for a in range(0, int(some.sum()), 16384):
+        i, j = np.searchsorted(place, [a, a + 16384])
+        held = np.zeros((len(sets), 16384), np.float32)
+        held[owner[i:j], place[i:j] - a] = 1
+        both += (held @ held.T).astype(np.int64)
+    near = (100 * both >= SIMILAR * (size + size[:, None] - both)) | (names == names[:, None])
+    while True:
+        new = np.where(near, names, len(sets)).min(1)
+        if (new == names).all():
+            return names
+        names = new
+
+
 def linked(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): stars over the parts of each cluster that its links, checked on full sets, hold together.
 
@@ -216,23 +254,10 @@ def linked(clusters: DataFrame, sets: DataFrame) -> DataFrame:
             begin = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
             found = []
             for i, k in zip(begin, np.diff(np.r_[begin, len(cluster)]), strict=True):
-                new_links = False
                 sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(3).slice(i, k)]
-                names = list(np.unique(label[i:i + k], return_inverse=True)[1])
-                for x in range(1, k):
-                    for y in range(x):
-                        if names[x] == names[y]:
-                            continue
-                        p, q = len(sets[x]), len(sets[y])
-                        if 100 * min(p, q) < SIMILAR * max(p, q):
-                            continue
-                        both = S.shared(sets[x], sets[y])
-                        if 100 * both >= SIMILAR * (p + q - both):
-                            new_links = True
-                            old, new = names[x], names[y]
-                            names = [new if z == old else z for z in names]
-                if new_links:
-                    found += stars(v[i:i + k], np.array(names))
+                names = joined_names(sets, label[i:i + k])
+                if len(np.unique(names)) < len(np.unique(label[i:i + k])):
+                    found += stars(v[i:i + k], names)
             if found:
                 pairs = np.array(found, np.int64)
                 yield [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
@@ -245,7 +270,73 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(of, F.col("v") == F.col("w"), "left").withColumn("label", F.coalesce("root", "v")).drop("w", "root")
 
 
-def strays(dense: DataFrame, roots: DataFrame) -> DataFrame:
+def blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Units (unit, v, label) of bounded size in which all rows of ``left`` meet all of ``right`` (main, v, label) of their group."""
+    sides = []
+    for rows, name in ((left, "o"), (right, "b")):
+        sizes = rows.groupBy("main").agg(F.ceil(F.count("*") / STRAY).cast("int").alias(name + "_blocks"))
+        sides.append((rows, sizes, name))
+    sizes = sides[0][1].join(sides[1][1], "main").withColumnRenamed("main", "of")
+    out = []
+    for (rows, _, own), other in zip(sides, ("b", "o"), strict=True):
+        rows = rows.join(sizes, F.col("main") == F.col("of"))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("v", "main"), F.col(own + "_blocks")).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(other + "_blocks") - 1)))
+        out.append(rows.select(F.xxhash64("main", "o", "b", F.lit("stray")).alias("unit"), "v", "label"))
+    return out[0].unionByName(out[1]).distinct()
+
+
+def beside_core(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Units for ``rows`` (main, v, label, n) with ``sets`` (v, shingles), whose strays are too many to compare by blocks.
+
+    The core of a group is what at least half of its members hold. Two sets of a and b shingles, c and d of them in the
+    core, link only if they share 3/7 (a + b) - min(c, d) or more outside it. Where c < 6/7 a and d < 6/7 b that is at
+    least (6/7 a - c) / 2 and as much for b, which is above zero: they have one of the rarest shingles outside the core in
+    common, of which each set needs to show all but that many less one. Sets with more than 6/7 in the core may link by the core
+    alone; they meet all strays, and the strays among them all members, by blocks.
+    """
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                for a in range(0, len(one), 1 << 16):
+                    part = one[a:a + (1 << 16)]
+                    yield [pa.array(np.full(len(part), batch.column(0)[i].as_py())), pa.array(np.full(len(part), batch.column(1)[i].as_py())),
+                           pa.array(part)]
+
+    texts = rows.select("main", F.col("v").alias("w")).join(sets, F.col("v") == F.col("w")).select("main", "v", "shingles")
+    tokens = written(arrow_map(texts, run, "main long, v long, token long"), "tokens")
+    held = tokens.groupBy("main", "token").agg(F.count("*").alias("held")).where("held > 1")
+    sizes = rows.groupBy("main").agg(F.first("n").alias("n"))
+    held = held.join(sizes, "main").select(F.col("main").alias("of"), F.col("token").alias("t"), "held",
+                                           (2 * F.col("held") >= F.col("n")).alias("core"))
+    common = written(tokens.join(held, (F.col("main") == F.col("of")) & (F.col("token") == F.col("t"))).select(
+        "main", "v", "token", "held", "core"), "tokens")
+    all_of = tokens.groupBy("main", "v").agg(F.count("*").alias("a"))
+    core_of = common.groupBy("main", "v").agg(F.count_if("core").alias("c"), F.count_if(~F.col("core")).alias("rest"))
+    sums = all_of.join(core_of, ["main", "v"], "left").na.fill(0, ["c", "rest"])
+    sums = sums.withColumn("need", F.expr("(6 * a - 7 * c + 13) div 14")).select(
+        F.col("main").alias("of"), F.col("v").alias("w"), (7 * F.col("c") >= 6 * F.col("a")).alias("light"),
+        (F.col("rest") - F.col("need") + 1).alias("shown"))  # those held once come first and meet nobody
+    of = (F.col("main") == F.col("of")) & (F.col("v") == F.col("w"))
+    marked = written(rows.join(sums, of).drop("of", "w"), "marked")
+    heavy = marked.where("not light").select(F.col("main").alias("of"), F.col("v").alias("w"), "label", "shown")
+    order = Window.partitionBy("main", "v").orderBy("held", "token")
+    shown = common.where("not core").join(heavy, of).withColumn("place", F.row_number().over(order)).where("place <= shown")
+    shown = written(shown.select("main", "token", "v", "label"), "shown")
+    meet = shown.groupBy("main", "token").agg(
+        F.count("*").alias("m"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("who"), F.min("label").alias("x"), F.max("label").alias("y"))
+    meet = meet.where("x <> y").groupBy("main", "m", "who").agg(F.min("token").alias("t")).select(  # equal members: one unit
+        F.col("main").alias("of"), "t", "m")
+    met = shown.join(meet, (F.col("main") == F.col("of")) & (F.col("token") == F.col("t")))
+    met = written(met.select(F.xxhash64("main", "token").alias("main"), "v", "label", "m"), "met")
+    few = met.where(F.col("m") <= STRAY).select(F.col("main").alias("unit"), "v", "label")
+    many = met.where(F.col("m") > STRAY).drop("m")
+    stray, light = marked.where("label <> main"), marked.where("light")
+    return few.unionByName(blocks(many, many)).unionByName(blocks(stray, light)).unionByName(blocks(stray.where("light"), marked))
+
+
+def strays(dense: DataFrame, roots: DataFrame, sets_of) -> DataFrame:
     """Units (unit, v, label) that bring all classes outside their dense node's main component together with the node.
 
     Nodes of different trees that have the same main component are taken together, so each comparison happens once.
@@ -256,14 +347,14 @@ def strays(dense: DataFrame, roots: DataFrame) -> DataFrame:
     main = main.where("labels > 1").select(F.col("node").alias("at"), "main")
     rows = written(rows.join(main, F.col("node") == F.col("at")).select("main", "v", "label").distinct(), "dense")
     sizes = rows.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("others"))
-    rows = rows.join(sizes.select(F.col("main").alias("of"), "n", "others"), F.col("main") == F.col("of"))
-    o_blocks, n_blocks = F.ceil(F.col("others") / STRAY).cast("int"), F.ceil(F.col("n") / STRAY).cast("int")
-    mine = F.xxhash64("v", "main")
-    stray = rows.where("label <> main").withColumn("o", F.pmod(mine, o_blocks).cast("int")).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    every = rows.withColumn("b", F.pmod(mine, n_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), o_blocks - 1)))
-    out = [x.select(F.xxhash64("main", "o", "b", F.lit("stray")).alias("unit"), "v", "label") for x in (stray, every)]
-    return out[0].unionByName(out[1]).distinct()
+    rows = rows.join(sizes.select(F.col("main").alias("of"), "n", "others"), F.col("main") == F.col("of")).drop("of")
+    work = F.ceil(F.col("others") / STRAY) * F.ceil(F.col("n") / STRAY)
+    rows = written(rows.withColumn("large", work > PLAIN), "dense")
+    plain, large = rows.where("not large"), rows.where("large")
+    units = blocks(plain.where("label <> main"), plain)
+    if large.isEmpty():
+        return units
+    return units.unionByName(beside_core(large, sets_of(large)))
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -278,7 +369,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     links = written(linked(clusters, full_sets(df, classes, clusters, id_column, text_column)), "links")
     roots = components(links)
     if dense is not None:
-        clusters = written(alike(strays(dense, roots), classes), "clusters")
+        units = strays(dense, roots, lambda rows: full_sets(df, classes, rows, id_column, text_column))
+        clusters = written(alike(units, classes), "clusters")
         if not clusters.isEmpty():
             more = linked(clusters, full_sets(df, classes, clusters, id_column, text_column))
             roots = components(more.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))

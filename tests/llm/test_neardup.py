@@ -98,3 +98,58 @@ def test_sketch_estimates():
     b = np.unique(np.r_[a[:3400], rng.integers(0, 1 << 63, 500).astype(np.uint64)])
     exact = shingles.shared(a, b) / (len(a) + len(b) - shingles.shared(a, b))
     assert abs((shingles.sketch(a) == shingles.sketch(b)).mean() - exact) < 0.2
+
+
+def families(seed=11):
+    """Documents that share a template: mostly below the threshold, with linked pairs, parts of the template and a second template."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    out, template, second = [], [word() for _ in range(120)], [word() for _ in range(14)]
+    for i in range(90):
+        own = [word() for _ in range(rng.choice([8, 20, 28, 28, 28, 36]))]
+        own = second[:rng.randint(6, 14)] + own if i % 3 == 0 else own
+        out.append(template + own)
+        if i % 10 == 1:  # linked through own words, or just not
+            other = list(own)
+            for _ in range(rng.randint(1, 6)):
+                other[rng.randrange(len(other))] = word()
+            out.append(template + other)
+        if i % 10 == 2:  # a template with holes
+            part = list(template)
+            for _ in range(rng.randint(1, 9)):
+                part[rng.randrange(len(part))] = word()
+            out.append(part)
+        if i % 10 == 3:
+            out.append(template[rng.randint(0, 30):])
+    rng.shuffle(out)
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+@pytest.mark.parametrize("plain", [0, 1 << 30])
+def test_families_below_the_threshold(spark, monkeypatch, seed, plain):
+    for name, value in dict(SMALL=8, PIVOTS=2, STRAY=8, PLAIN=plain).items():
+        monkeypatch.setattr(neardup, name, value)
+    rows = families(seed)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = plain_components(rows)
+    assert 1 < len({x for _, _, x in want}) < len(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 40), min_size=1), st.integers(0, 9)), min_size=2, max_size=12), st.sampled_from([0, 1 << 21]))
+def test_parts_of_a_cluster(members, most):
+    """The comparison by a matrix and the one by pairs find the same parts."""
+    before, neardup.TOKENS = neardup.TOKENS, most
+    try:
+        got = neardup.joined_names([np.array(sorted(s), np.uint64) for s, _ in members], np.array([x for _, x in members]))
+    finally:
+        neardup.TOKENS = before
+    name = [x for _, x in members]
+    for i, (a, _) in enumerate(members):
+        for j, (b, _) in enumerate(members[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                old, new = name[i], name[j]
+                name = [new if x == old else x for x in name]
+    assert [[x == y for y in got] for x in got] == [[x == y for y in name] for x in name]
