@@ -41,6 +41,7 @@ PIVOTS = 16
 STRAY = 128
 PLAIN = 64  # pairs of blocks of a group's strays and its members that are compared without looking at their shingles
 TOKENS = 1 << 21
+FILTER_WORDS = 1 << 20
 DENSE = 0.72
 DEPTH = 12
 SURE = 34  # of 64 slots equal: a pair at the threshold has fewer with a chance of 4e-5
@@ -180,12 +181,29 @@ def alike(units: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "cluster long, v long, label long").distinct()
 
 
+def may_be_in(rows: DataFrame, wanted: DataFrame, key: list[str], wanted_key: list[str]) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``wanted``, before they are shuffled: a Bloom filter with one hash.
+
+    It is a table of at most ``FILTER_WORDS`` words of 64 bits, whatever the data; more keys only let more rows through.
+    """
+    def places(h):
+        return F.pmod(h, F.lit(FILTER_WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+    word, bit = places(F.xxhash64(*wanted_key))
+    words = wanted.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(
+        F.expr("bit_or(shiftleft(1L, bit_))").alias("bits_"))
+    word, bit = places(F.xxhash64(*key))
+    return rows.join(F.broadcast(words), word == F.col("word_")).where(F.getbit("bits_", bit) == 1).drop("word_", "bits_")
+
+
 def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(v, shingles) of the wanted classes, from the text of each class' first document."""
     rep = classes.join(wanted.select(F.col("v").alias("w")).distinct(), F.col("v") == F.col("w")).select(
         "v", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_hash"))
     texts = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn(
         "text_hash", F.xxhash64("text"))
+    rep = written(rep, "wanted")
+    texts = may_be_in(texts, rep, ["id", "text_hash"], ["rep", "rep_hash"])
     rows = texts.join(rep, F.col("id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
     rows = rows.dropDuplicates(["id", "text_hash"]).select("v", "text")
 

@@ -153,3 +153,13 @@ def test_parts_of_a_cluster(members, most):
                 old, new = name[i], name[j]
                 name = [new if x == old else x for x in name]
     assert [[x == y for y in got] for x in got] == [[x == y for y in name] for x in name]
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_filter_keeps_what_is_wanted(spark, monkeypatch, words):
+    monkeypatch.setattr(neardup, "FILTER_WORDS", words)
+    rows = spark.createDataFrame([(i if i else None, i * 7) for i in range(2000)], "id long, h long")
+    wanted = rows.where("h % 5 = 0").toDF("w", "x")
+    got = {r.h for r in neardup.may_be_in(rows, wanted, ["id", "h"], ["w", "x"]).collect()}
+    assert got >= {i * 7 for i in range(0, 2000, 5)}
+    assert words == 1 or len(got) == 400
