@@ -39,7 +39,7 @@ ROOT_SLOTS = 16  # twelve trees, every third of which picks a second slot
 SMALL = 96
 PIVOTS = 16
 STRAY = 128
-PLAIN = 64  # pairs of blocks of a group's strays and its members that are compared without looking at their shingles
+PLAIN = 1024  # pairs of blocks of a group's strays and its members that are compared without looking at their shingles
 TOKENS = 1 << 21
 FILTER_WORDS = 1 << 20
 DENSE = 0.72
