@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,24 @@ def test_repeated_and_null_query_ids(spark, data):
         assert got == want
 
 
+def test_blocked_search_with_a_payload_that_is_never_null(spark, data):
+    q, v, _, _ = data
+    v = v.withColumn("name", F.coalesce(F.col("vec_id").cast("string"), F.lit("")))
+    assert not v.schema["name"].nullable
+    shipped, blocked = (X.knn(q, v, 3, ["name"], broadcast_limit=limit, shard_rows=20) for limit in (1 << 20, -1))
+    assert sorted(map(str, shipped.collect())) == sorted(map(str, blocked.collect()))
+
+
+def test_search_holds_a_bounded_block_of_scores():
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(2_000, 4)), rng.normal(size=(3_000, 4))
+    tracemalloc.start()
+    got = list(X._best(q, v, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2_000 and peak < 64 << 20
+
+
 def test_size_counts_numbers_and_payload(spark):
     rows = [(i, [1.0] * 50, "p" * 100) for i in range(20)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, name string")
