@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from caselore.operators import evaluate as H
 from caselore.operators import retrieve as R
 from caselore.operators import vectors as X
+from caselore.sources import adapters as A
 
 
 def frame(spark, m, name="query_id"):
@@ -140,3 +141,24 @@ def test_auroc_against_pairs(spark):
     assert abs(H.abstention_auroc(df).first().auroc - want) < 1e-12
     curve = {r.threshold: r for r in H.threshold_curve(df).collect()}
     assert len(curve) == 18 and abs(curve[0.6].in_domain_kept - (a >= 0.5 + 0.02 * 5).mean()) < 1e-12
+
+
+def test_vector_tickets_ship_the_vector_labels(spark, tmp_path):
+    """Two numbers a vector are shipped even where the embeddings' file is too big to be; tickets move once, for the orders."""
+    spark.createDataFrame([(i, 9 if i == 4 else i, [1.0]) for i in range(5)], "vec_id long, label int, embedding array<float>"
+                          ).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(o, "1999-01-01 00:00:00") for o in range(3)], "o_orderkey long, o_orderdate string").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(o, 1, p, 0, "1999-01-03 00:00:00", 50.0, "R", "F") for o, p in ((0, 3), (1, 9), (2, 10), (7, 1))],
+                          "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate string, "
+                          "l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        t = A.vector_tickets(spark, str(tmp_path))
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.unique_key, r.complaint_type, r.descriptor) for r in t.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [("0-1-3-0", "CLASS 3", "Block 0"), ("1-1-9-0", "CLASS 4", "Block 0"), ("2-1-10-0", "CLASS 0", "Block 0")]
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
