@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.embed import Embed, hash_embed
 from ..functions.numbers import round_half_even
-from ..functions.ranking import join_on
 from ..operators import changes as D
 from ..operators import clean as C
 from ..operators import patterns as P
@@ -112,8 +111,7 @@ def _apply(spark: SparkSession, root: str, repaired: DataFrame, funnel, examples
     X.guard_model(old.model_name, model)
     v, attempt = old.v + 1, S.new_attempt()
     usable = C.usable_tickets(repaired)
-    fresh = join_on(usable, old.keys.seen(usable), [S.KEY], "left_anti")
-    tickets = S.put(fresh, root, "tickets", v, attempt)
+    tickets = S.put(old.keys.fresh(usable), root, "tickets", v, attempt)
     ingested = tickets.count()
     base = {"received": funnel.raw_rows, "usable": funnel.usable, "duplicates_skipped": funnel.usable - ingested,
             "ingested": ingested, "closed": funnel.closed, "with_resolution": funnel.with_resolution}
