@@ -15,7 +15,7 @@ from ..sources import state as S
 from ..sources import tickets as K
 from ..sources.adapters import CUTOFF, table, tickets_export, tickets_raw
 from . import ingest as I
-from .base_queries import _labels_sql, clean
+from .base_queries import _labels_sql, clean, clean_from_raw
 from .check_sql import CLEAN, DIFF, EXPORT, RAW, SPLIT, with_
 from .registry import query
 
@@ -315,8 +315,9 @@ def temporal_split_replay(spark, sf):
 
 
 def base_state(spark, sf):
+    """A state with the tickets before the cutoff, cleaned and written once: its own table is the one they are read from."""
     root = fresh_path(spark, "state")
-    return root, I.init_state(spark, root, split(spark, sf)[0])
+    return root, I.init_state(spark, root, clean_from_raw(spark, sf).where(before_cutoff()))
 
 
 @query("init_state", with_(SPLIT, """
@@ -367,7 +368,7 @@ def state_reinit(spark, sf):
     """A second first load is refused and the state stays as it was."""
     root, _ = base_state(spark, sf)
     try:
-        I.init_state(spark, root, split(spark, sf)[1])
+        I.init_state(spark, root, clean_from_raw(spark, sf).where(~before_cutoff()))
         refused = False
     except ValueError:
         refused = True
