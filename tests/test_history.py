@@ -7,7 +7,12 @@ from caselore.operators import changes as D
 from caselore.operators import clean as C
 from caselore.operators import patterns as P
 from caselore.operators import vectors as X
+from caselore.plans import base_queries as B
+from caselore.plans import history_queries as H
 from caselore.plans import ingest as I
+from caselore.plans import search_queries as Q
+from caselore.plans import shared
+from caselore.plans import stream_queries as ST
 from caselore.session import fresh_path
 from caselore.sources import state as S
 from caselore.sources import tickets as K
@@ -204,3 +209,59 @@ def test_hysteresis(spark):
     new = make([("p", "a", "b", "", 60, "rag_core", 0.495), ("q", "a", "c", "", 60, "rag_core", 0.4)])
     assert D.tier_changes(new, old).count() == 2
     assert [r.pattern_id for r in D.tier_changes(new, old, margin=0.02).collect()] == ["q"]
+
+
+def test_many_new_tickets_meet_the_state_at_once(spark, monkeypatch):
+    batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("d", 5)], "unique_key string, n int")
+    state = spark.createDataFrame([("b",), ("b",), (None,), ("c",)], "unique_key string")
+    found = []
+    for limit in (D.SHIP_KEYS, 0):
+        monkeypatch.setattr(D, "SHIP_KEYS", limit)
+        out = D.dedupe_against_state(batch, state)
+        found.append(sorted(r.n for r in out.collect()))
+    assert found == [[1, 2, 5]] * 2
+    monkeypatch.setattr(D, "SHIP_KEYS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = D.dedupe_against_state(batch, state)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # each side once
+
+
+def small_tables(spark, path):
+    """Parcels ordered before and after the cutoff, in the tables the tickets are made of."""
+    day = "timestamp_ntz '2000-{}-02 00:00:00'"
+    spark.range(60).selectExpr(
+        "id as l_orderkey", "1 as l_linenumber", "id % 6 as l_partkey", "id % 3 as l_suppkey", "0.0 as l_discount", "0.0 as l_tax",
+        f"{day.format('11')} as l_shipdate", "cast(id % 50 as int) as l_quantity", "'R' as l_returnflag", "'F' as l_linestatus",
+    ).write.parquet(f"{path}/lineitem.parquet")
+    spark.range(60).selectExpr(
+        "id as o_orderkey", f"if(id % 4 = 0, {day.format('08')}, {day.format('03')}) as o_orderdate", "'1-URGENT' as o_orderpriority",
+        "'F' as o_orderstatus").write.parquet(f"{path}/orders.parquet")
+    spark.range(6).selectExpr("id as p_partkey", "cast(id + 1 as int) as p_size", "'SMALL' as p_type", "concat('Brand ', id % 3) as p_brand",
+                              "'crate' as p_name").write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def test_tickets_are_read_once_for_counts_and_state(spark, tmp_path):
+    shared.forget()
+    sf = small_tables(spark, str(tmp_path))
+    for query in (B.dist_explode_query, B.rank_outcomes, Q.self_retrieval_check):
+        scans = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_linenumber" not in scans and "unique_key" not in scans
+    assert {name for _, _, name in shared._STORED} == {"outcome-counts"}
+    assert sorted(r.n for r in B.dist_explode_query(spark, sf).collect()) == [1, 1, 1]
+    assert {r.itself for r in Q.self_retrieval_check(spark, sf).collect()} <= {True, False}
+    root, state = H.base_state(spark, sf)
+    assert state.tickets.count() == 45 and {name for _, _, name in shared._STORED} == {"outcome-counts"}
+    assert ST.stream_ingest(spark, sf).agg(F.sum("total_cases")).first()[0] == 60
+
+
+def test_a_streamed_batch_is_not_kept_in_memory(spark, state, tmp_path, monkeypatch):
+    root, _ = state
+    tickets(spark, FRESH, "B").write.parquet(str(tmp_path / "in"))
+    kept = []
+    monkeypatch.setattr(J, "apply_batch", lambda s, root, batch, **k: kept.append(batch.is_cached))
+    J.stream_ingest(J.ticket_files(spark, str(tmp_path / "in"), tickets(spark).schema), root, str(tmp_path / "check")).awaitTermination()
+    assert kept == [False]
