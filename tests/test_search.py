@@ -65,6 +65,50 @@ def test_blocked_search_with_a_payload_that_is_never_null(spark, data):
     assert sorted(map(str, shipped.collect())) == sorted(map(str, blocked.collect()))
 
 
+def test_blocked_search_moves_each_side_once(spark, data):
+    """No row is copied for a pair of blocks, and no partial result is shuffled: the disk holds each side once."""
+    q, v, _, _ = data
+    plans = []
+    for rows in (90, 5):  # one shard of the index or 18
+        near = X.knn(q, v, 7, broadcast_limit=-1, shard_rows=rows, block_rows=15)
+        plans.append(near._jdf.queryExecution().executedPlan().toString())
+        assert plans[-1].count("Exchange") == 1 and "Generate" not in plans[-1] and "Sort" not in plans[-1]
+    assert near.rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 400])
+def test_nearest_rows_of_an_index_in_pieces(piece):
+    """Any order of the pieces, ties across them, rows that all tie, queries and rows out of the range of single precision."""
+    rng = np.random.default_rng(4)
+    q, v = rng.normal(size=(50, 16)), rng.normal(size=(400, 16))
+    v[100:180] = v[3]
+    v[200:203], q[0], q[1], q[2] = 0.0, 0.0, q[1] * 1e40, -v[3]
+    v[210] *= 1e25
+    ids = rng.permutation(400)
+    near = X._Nearest(q, 30)
+    for start in range(0, 400, piece):
+        near.add(v[start:start + piece], ids[start:start + piece], start)
+    near.merge()
+    query, score, vec, place = near.best
+    scores = np.round(q @ v.T, 9) + 0.0
+    for i in (x for x in range(50) if x != 1):  # its scores are equal up to their last bits only
+        want = np.lexsort((ids, -scores[i]))[:30]
+        assert list(vec[query == i]) == list(ids[want]) and list(place[query == i]) == list(want)
+    assert np.allclose(score[query == 1], -np.sort(-scores[1])[:30], rtol=1e-12)
+
+
+def test_nearest_rows_hold_a_bounded_part_of_ties():
+    q, v = np.ones((2_000, 4)), np.ones((8_000, 4))
+    near = X._Nearest(q, 5)
+    tracemalloc.start()
+    for start in range(0, 8_000, 2_000):
+        near.add(v[start:start + 2_000], np.arange(8_000 - start, 6_000 - start, -1), start)
+    near.merge()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near.best[2].reshape(2_000, 5).tolist() == [[1, 2, 3, 4, 5]] * 2_000 and peak < 100 << 20
+
+
 def test_search_holds_a_bounded_block_of_scores():
     rng = np.random.default_rng(3)
     q, v = rng.normal(size=(2_000, 4)), rng.normal(size=(3_000, 4))
