@@ -8,6 +8,8 @@ import pytest
 import __spark_entry__ as entry
 from caselore.operators import retrieve as R
 from caselore.operators import vectors as X
+from caselore.plans import answer_queries as Q
+from caselore.sources import adapters as A
 
 NAMES = """candidate_prompt claims degraded_answer generation_breakdowns generation_report policy_notes route_by_tier score_percentiles
 search_hits selection_distributions support_prior_rank template_fallback threshold_curve abstention_auroc alpha_sweep answer_batch
@@ -55,3 +57,14 @@ def test_query_gives_the_same_rows_by_blocks(spark, folders, monkeypatch, name):
     shipped = sorted(map(str, run(spark, folders[0]).collect()))
     monkeypatch.setattr(R, "PreparedIndex", Blocks)
     assert shipped and sorted(map(str, run(spark, folders[1]).collect())) == shipped
+
+
+def test_texts_are_read_only_where_they_are_shown(spark, folders):
+    """Neither the cases nor the answers carry the texts of complaints; a draft's text moves once, not once per attempt."""
+    assert "complaint" not in Q.cases(spark, folders[0]).columns and "complaint" not in Q.kept_answers(spark, folders[0]).columns
+    drafts = A.drafts(spark, folders[0])._jdf.queryExecution().executedPlan().toString()
+    assert drafts.count("Exchange") == 1 and drafts.index("Generate") < drafts.index("Exchange")
+    with_vectors, texts = A.complaints(spark, folders[0]), A.complaint_texts(spark, folders[0])
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(map(str, texts.collect())) == sorted(map(str, with_vectors.select(*texts.columns).collect()))
