@@ -190,3 +190,35 @@ def test_alerts_wait_for_their_hold_time(spark):
         F.lit(0.9).alias("top_score"), F.lit(100.0).alias("total_ms"))
     got = [r.state for r in M.alert_states(log).where("alert = 'errors_present'").orderBy("window_end").collect()]
     assert got == ["pending", "firing", "firing", "firing", "pending"]
+
+
+def test_report_has_reasons_tiers_methods_latency_and_what_passed(spark):
+    low, none = "low_similarity (top cosine 0.100 < 0.4)", "llm_no_matching_candidate"
+    rows = [  # id, inside, reason, tier, method, category, product, gold, attempts, first violations, remaining
+        (1, True, None, "rag_core", "llm", "Ferry", "Late", "ferry", 1, 0, []),
+        (2, True, None, "rag_core", "template", "Ferry", "Late", "Parcel", 2, 3, ["a"]),
+        (3, True, None, "fast_lookup", "template", "Parcel", "Wet", "Parcel", 0, 0, []),
+        (4, True, low, None, None, None, None, "Parcel", 0, 0, []), (5, True, none, None, None, None, None, "Parcel", 0, 0, []),
+        (6, True, low, None, None, None, None, "Ferry", 0, 0, []), (7, False, low, None, None, None, None, None, 0, 0, []),
+        *[(i, False, None, "rag_light", "llm", "Parcel", "Wet", None, 1, 0, []) for i in range(8, 18)]]
+    a = spark.createDataFrame(
+        [(i, d, r is not None, r, t, m, c, p, g, (m, n, f, left)) for i, d, r, t, m, c, p, g, n, f, left in rows],
+        "query_id long, in_domain boolean, abstained boolean, abstain_reason string, tier string, method string, category string, "
+        "product string, gold_type string, "
+        "grounding struct<method:string,attempts:int,first_attempt_violations:int,remaining_violations:array<string>>")
+    v = spark.createDataFrame([(1, 1, "supported"), (1, 2, "partial"), (2, 1, "supported"), (3, 1, "unsupported"), (9, 1, "supported")],
+                              "query_id long, id int, verdict string")
+    t = spark.createDataFrame([(1, {"total": 100.0, "retrieve": 10.0, "generate": 80.0}), (2, {"total": 300.0, "parse": 9.0}),
+                               (3, {"total": 200.0, "retrieve": 5.0, "generate": None}), (4, {"total": 9000.0}), (9, {"total": 7000.0})],
+                              "query_id long, stage_ms map<string,double>")
+    r = M.generation_report(a, v, t).first().asDict()
+    assert (r["n"], r["ood_n"], r["answered_pct"]) == (6, 11, 50.0)
+    assert r["abstain_reasons"] == "llm_no_matching_candidate 1|low_similarity 2"
+    assert r["tier_mix"] == "fast_lookup 1|rag_core 2" and r["by_method"] == "llm 1 2 50.0|template 2 2 50.0"
+    assert (r["latency_p50_ms"], r["latency_p95_ms"]) == (200, 290)
+    assert (r["mean_retrieve_ms"], r["mean_parse_ms"], r["mean_generate_ms"]) == (5, 3, 26)
+    assert r["ood_reasons"] == "answered 10|low_similarity 1"
+    assert r["ood_passed_through"] == "|".join(f"Parcel / Wet <- {i}" for i in range(8, 16))
+    empty = M.generation_report(a.limit(0), v, t).first().asDict()
+    assert (empty["n"], empty["tier_mix"], empty["latency_p50_ms"], empty["ood_passed_through"]) == (0, "", None, "")
+    assert "latency_p50_ms" not in M.generation_report(a, v).columns
