@@ -68,3 +68,9 @@ def test_texts_are_read_only_where_they_are_shown(spark, folders):
     plan = texts._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     assert sorted(map(str, texts.collect())) == sorted(map(str, with_vectors.select(*texts.columns).collect()))
+
+
+def test_the_search_behind_the_metrics_runs_once(spark, folders, monkeypatch):
+    monkeypatch.setattr(R, "PreparedIndex", Blocks)
+    plan = entry.queries()["alpha_sweep"](spark, folders[1])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "CartesianProduct" not in plan and "Cogroup" not in plan
